@@ -1,0 +1,60 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from graphlake.llm import queries, sharding, topk_search
+
+from .helpers import ODD, folder
+
+
+@pytest.mark.parametrize("k", [1, 5])
+def test_maxscore_equals_brute_force(monkeypatch, k):
+    monkeypatch.setattr(topk_search, "CHUNK", 64)
+    rng = np.random.default_rng(1)
+    vectors = np.floor(rng.normal(size=(700, 16)) * rng.gamma(1, 1, 16) * 8).astype(np.int64)
+    vectors[100:160] = vectors[99]
+    ids = np.arange(700) * 3
+    rows, found, scores = topk_search.maxscore(vectors[::50], ids[::50], vectors, ids, k)
+    for i, q in enumerate(range(0, 700, 50)):
+        score = vectors @ vectors[q]
+        order = [j for j in np.lexsort((ids, -score)) if j != q][:k]
+        assert found[rows == i].tolist() == ids[order].tolist() and scores[rows == i].tolist() == score[order].tolist()
+
+
+def test_top_k_in_blocks_and_odd_rows(spark, monkeypatch):
+    monkeypatch.setattr(topk_search, "SHARD_ROWS", 7)
+    monkeypatch.setattr(topk_search, "BLOCK_QUERIES", 3)
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.integers(-4, 5, 6)]) for i in range(40)]
+    rows += [(40, None), (41, [1.0, None]), (42, [float("nan")]), (43, [float("inf")]), (None, [1.0]), (44, []), rows[3], (45, [2.0])]
+    table = spark.createDataFrame(rows, "id int, e array<double>")
+    vectors = topk_search.scaled(table, "id", "e", 1)
+    assert vectors.count() == 42
+    got = topk_search.top_k(vectors, vectors.where(F.col("vec_id") % 5 == 0), 3).collect()
+    full = {i: np.pad(v, (0, 6 - len(v))) for i, v in rows if i is not None and v is not None and i not in (41, 42, 43)}
+    for q in [i for i in full if i % 5 == 0]:
+        want = sorted(((-int(full[q] @ v), i) for i, v in full.items() if i != q))[:3]
+        assert [(-r.score, r.vec_id) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == want
+    assert topk_search.top_k(vectors.limit(0), vectors.limit(0), 3).count() == 0
+    alone = vectors.where("vec_id = 0")
+    assert topk_search.top_k(alone, alone, 3).count() == 0
+
+
+def test_schedule_is_lpt():
+    assert sharding.schedule([(1, 7), (2, 7), (3, 6), (4, 5), (5, 4)], 2) == {1: 0, 2: 1, 3: 0, 4: 1, 5: 1}
+
+
+def test_shards(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sharding, "UNIT_ROWS", 5)
+    monkeypatch.setattr(sharding, "PARTS", 4)
+    texts = ODD + ["copy " * 30] * 60 + [f"text number {i} " * (i % 7 + 1) for i in range(400)]
+    got = queries.op8_lpt_shards(spark, folder(spark, tmp_path, texts)).toPandas()
+    assert len(got) == len(texts) and (got["law"] == "bytes").all()
+    got["text"] = [texts[i] if texts[i] is not None else "<null>" for i in got.doc_id]
+    spread = got.groupby("text")["shard"].nunique()
+    assert spread.max() == 1, spread[spread != 1]
+    for _, part in got.groupby("shard"):
+        assert sorted(part.slot) == list(range(len(part)))
+    loads = got.groupby("shard")["size"].sum()
+    assert loads.max() - loads.min() <= got.groupby("text")["size"].sum().max()
+    assert sharding.lpt_shards(spark.createDataFrame([], "group_key long, size long, x int"), 16).count() == 0
