@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a lookup table that may be broadcast; larger ones are joined by a shuffle.
@@ -48,6 +48,17 @@ def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> Da
     return F.broadcast(df) if rows <= limit else df
 
 
-def lower_ascii(column) -> "F.Column":
-    """Lower-cases A-Z alone."""
-    return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def lower_ascii(column) -> Column:
+    """Lower-cases A-Z alone. Texts without other capitals take the engine's own, faster lower()."""
+    column = F.col(column) if isinstance(column, str) else column
+    other_capitals = F.rlike(column, F.lit(r"[[^\x00-\x7F]&&[\p{IsUppercase}\p{Lt}]]"))
+    plain = F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.when(other_capitals, plain).otherwise(F.lower(column))
+
+
+def same_doc(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
+    """Null-safe equality of the keys of two tables."""
+    condition = F.lit(True)
+    for key in keys:
+        condition = condition & a[key].eqNullSafe(b[key])
+    return condition

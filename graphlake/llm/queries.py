@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlake.llm import common, sharding, subwords, token_counts, token_files, topk_search
+from graphlake.llm import common, decontamination, sharding, subwords, token_counts, token_files, topk_search
+
+
+def op1_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in a 10-word window of a benchmark item."""
+    return decontamination.decontaminate(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "benchmark"), 10)
 
 
 def op3_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,13 +47,30 @@ def op8_lpt_shards(spark: SparkSession, sf_dir: str, shards: int = 16) -> DataFr
 
 
 QUERIES = {
+    "op1_positional_index": op1_positional_index,
     "op3_maxscore_topk": op3_maxscore_topk,
     "op5_token_counts": op5_token_counts,
     "op6_token_files": op6_token_files,
     "op8_lpt_shards": op8_lpt_shards,
 }
 
+WORDS_SQL = r"""list_filter(regexp_split_to_array(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"""
+
 ORACLE_SQL = {
+    "op1_positional_index": f"""
+        WITH d AS (SELECT doc_id, coalesce({WORDS_SQL.format("text")}, []) AS w FROM documents),
+        b AS (SELECT item_id, {WORDS_SQL.format("text")} AS w FROM benchmark),
+        g AS (SELECT item_id, w[i : i + 9] AS win FROM (SELECT item_id, w, unnest(range(1, greatest(2, len(w) - 8))) AS i FROM b WHERE len(w) > 0)),
+        n AS (SELECT DISTINCT len(win) AS n FROM g),
+        p AS (SELECT doc_id, w, n.n, unnest(range(1, len(w) - n.n + 2)) AS i FROM d, n WHERE len(w) >= n.n),
+        m AS (SELECT doc_id, i, n, item_id FROM (SELECT doc_id, i, n, w[i : i + n - 1] AS win FROM p) JOIN g USING (win)),
+        h AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS pos FROM m) GROUP BY doc_id),
+        t AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS s FROM m GROUP BY doc_id)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+               sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+    """,
     "op3_maxscore_topk": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
                    FROM embeddings
