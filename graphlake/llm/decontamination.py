@@ -120,7 +120,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of every document row.
 
     A word is hit if it lies in an occurrence of a window of `size` consecutive item words. Null ids and texts, repeated
-    rows and empty tables are allowed: a null text has no words, each input row gives one output row.
+    rows and empty tables are allowed: a null text has no words, each input row gives one output row, and an item without
+    id hits words but is not listed.
     """
     tokens = token_table(docs, id_col, text_col)
     phrases, of_item = phrase_table(items, size)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlake.llm import common, decontamination, sharding, subwords, token_counts, token_files, topk_search
+from graphlake.llm import common, decontamination, near_dedup, sharding, subwords, token_counts, token_files, topk_search
 
 
 def op1_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,12 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(files)
 
 
+def op7_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and near-duplicate component."""
+    found = near_dedup.near_duplicates(common.read(spark, sf_dir, "documents"), 3, 3)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op8_lpt_shards(spark: SparkSession, sf_dir: str, shards: int = 16) -> DataFrame:
     """Documents in 16 shards of near equal bytes; equal texts share one."""
     text = F.col("text")
@@ -51,6 +57,7 @@ QUERIES = {
     "op3_maxscore_topk": op3_maxscore_topk,
     "op5_token_counts": op5_token_counts,
     "op6_token_files": op6_token_files,
+    "op7_simhash_vptree": op7_simhash_vptree,
     "op8_lpt_shards": op8_lpt_shards,
 }
 
