@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlake.llm import common, decontamination, near_dedup, sharding, subwords, token_counts, token_files, topk_search
+from graphlake.llm import common, decontamination, language_id, near_dedup, sharding, subwords, token_counts, token_files, topk_search, toxicity
 
 
 def op1_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,6 +13,13 @@ def op1_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "benchmark"), 10)
 
 
+def op2_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from three quarters of them."""
+    docs = common.read(spark, sf_dir, "documents").withColumn("held_out", language_id.held_out("doc_id", 4, 2))
+    prototypes = language_id.learn(docs.where(~F.col("held_out")))
+    return language_id.identify(docs, prototypes, keep=["held_out"])
+
+
 def op3_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every 50th vector's five best by integer inner product."""
     vectors = common.written(topk_search.scaled(common.read(spark, sf_dir, "embeddings"), "vec_id", "embedding"), "vectors")
@@ -20,6 +27,12 @@ def op3_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("rank", F.col("rank").cast("int"))
 
 
+def op4_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The expected severity of every document."""
+    docs = common.read(spark, sf_dir, "documents")
+    return toxicity.grade(docs, toxicity.train(docs, common.read(spark, sf_dir, "labels")))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document."""
     docs = common.read(spark, sf_dir, "documents")
@@ -54,7 +67,9 @@ def op8_lpt_shards(spark: SparkSession, sf_dir: str, shards: int = 16) -> DataFr
 
 QUERIES = {
     "op1_positional_index": op1_positional_index,
+    "op2_hyperdimensional_langid": op2_hyperdimensional_langid,
     "op3_maxscore_topk": op3_maxscore_topk,
+    "op4_ordinal_toxicity": op4_ordinal_toxicity,
     "op5_token_counts": op5_token_counts,
     "op6_token_files": op6_token_files,
     "op7_simhash_vptree": op7_simhash_vptree,

@@ -9,17 +9,22 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
 
-#: Chunks that a worker keeps; beyond it the cache starts afresh.
-CACHE_CHUNKS = 600_000
+#: Chunks in each of a worker's two generations; a full younger one takes the older one's place.
+CACHE_CHUNKS = 500_000
 #: Bytes of text that are cut and encoded at once.
 SLICE_BYTES = 8 << 20
-_WORD = re.compile(r"[A-Za-z]+[,.]?\Z")
+#: Letters that normal form C leaves alone and that are lower-cased one by one.
+_WORD = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+\\Z")
 #: Runs of white space that a byte-level pre-tokenizer joins across a single-space boundary, and special strings.
 _UNSAFE = re.compile(r"\s\s\s|\s\s\Z|<\|")
+#: A byte's character in byte-level vocabularies: printable bytes stand for themselves, the others follow from 256 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_CHARACTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(_PRINTED))}
 _loaded: dict[str, "Subwords"] = {}
 
 
@@ -47,7 +52,9 @@ class Subwords:
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 65536 else "<u4")
         #: Where spaces belong to the following word, they stay in the chunk.
         self.keeps_space = "Ġthe" in self.library.get_vocab()
-        self.cache: dict[bytes, bytes] = {}
+        self.code = {2: "H", 4: "I"}[self.dtype.itemsize]
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def slices(self, texts: pa.Array):
         """Row ranges of about SLICE_BYTES each: batches are balanced by bytes, not by rows."""
@@ -103,17 +110,22 @@ class Subwords:
         data = np.frombuffer(texts.buffers()[2], np.uint8)[base:end] if end > base else np.zeros(0, np.uint8)
         starts = offsets - base
         slow = {}
-        if self.keeps_space:
-            odd = [i for i, x in enumerate(texts.to_pylist()) if _UNSAFE.search(x)]
+        if self.keeps_space or b"<|" in data.tobytes():
+            odd = [i for i, x in enumerate(texts.to_pylist()) if (_UNSAFE.search(x) if self.keeps_space else "<|" in x)]
             slow = {i: np.array(self.library.encode(texts[i].as_py(), add_special_tokens=False).ids, self.dtype) for i in odd}
+        if not self.keeps_space:
+            data = data | ((data - np.uint8(65) < 26).view(np.uint8) << 5)
         line = data == 10
         blank = line | (data == 32)
+        letter = (data | 32) - np.uint8(97) < 26
         cut = np.zeros(len(data) + 1, bool)
+        cut[1:-1] = letter[:-1] & ~letter[1:] & (data[1:] < 128)
         if self.keeps_space:
-            cut[:-1] = blank
+            cut[:-1] |= blank
             cut[1:] |= line
         else:
-            cut[1:-1] = blank[:-1] & ~blank[1:]
+            cut[1:-1] &= ~blank[1:]
+            cut[1:-1] |= blank[:-1] & ~blank[1:]
         cut[starts] = True
         cut[-1] = False
         at = np.flatnonzero(cut)
@@ -124,29 +136,31 @@ class Subwords:
         return coded.indices.to_numpy(zero_copy_only=False), known, np.searchsorted(at, starts), slow
 
     def _known(self, chunks: list[bytes]) -> list[bytes]:
-        if len(self.cache) + len(chunks) > CACHE_CHUNKS:
-            self.cache.clear()
-        cache = self.cache
+        if len(self.young) > CACHE_CHUNKS:
+            self.young, self.old = {}, self.young
+        young, old, found = self.young, self.old, []
         for chunk in chunks:
-            if chunk not in cache:
-                cache[chunk] = self._ids(chunk.decode("utf-8", "replace"))
-        return [cache[x] for x in chunks]
+            ids = young.get(chunk)
+            if ids is None:
+                ids = old.get(chunk)
+                young[chunk] = ids = self._ids(chunk.decode()) if ids is None else ids
+            found.append(ids)
+        return found
 
     def _ids(self, chunk: str) -> bytes:
-        """Plain ASCII words go to the library's model at once; the rest through its normalizer and pre-tokenizer."""
+        """Plain words go to the library's model at once; the rest through its normalizer and pre-tokenizer."""
         if not self.keeps_space:
             chunk = chunk.strip(" \n")
-        tokens = self.library.model.tokenize
-        word = chunk[1:] if self.keeps_space and chunk[:1] == " " else chunk
-        if _WORD.match(word):
-            mark, word = ("Ġ" if len(word) < len(chunk) else ""), word if self.keeps_space else word.lower()
-            pieces = [mark + word[:-1], word[-1]] if word[-1] in ",." else [mark + word]
-        elif "<|" in chunk:
-            return np.array(self.library.encode(chunk, add_special_tokens=False).ids, self.dtype).tobytes()
+        model = self.library.model
+        space = self.keeps_space and chunk[:1] == " "
+        if _WORD.match(chunk, space):
+            word = chunk if self.keeps_space else chunk.lower()
+            ids = [t.id for t in model.tokenize(word.encode().decode("latin-1").translate(_CHARACTERS))]
         else:
             plain = self.library.normalizer.normalize_str(chunk) if self.library.normalizer else chunk
-            pieces = [x for x, _ in self.library.pre_tokenizer.pre_tokenize_str(plain)] if plain else []
-        return np.array([t.id for x in pieces for t in tokens(x)], self.dtype).tobytes()
+            pieces = self.library.pre_tokenizer.pre_tokenize_str(plain) if plain else []
+            ids = [t.id for x, _ in pieces for t in model.tokenize(x)]
+        return array(self.code, ids).tobytes()
 
 
 def _plain(texts: pa.Array) -> pa.Array:
