@@ -122,13 +122,15 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "
     names = list(prototypes)
     units = np.array([v / (np.linalg.norm(v) or 1) for v in prototypes.values()], np.float32).reshape(len(names), DIMENSIONS)
     columns = [id_col, *keep]
+    sent = columns if text_col in columns else [*columns, text_col]
+    at = sent.index(text_col)
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns) + ", lang_pred string, score double"
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs = np.full(batch.num_rows, UNDETERMINED, object)
             scores = np.zeros(batch.num_rows)
-            for first, vectors, has in bundles(batch.column(len(columns)).fill_null("").to_pylist()):
+            for first, vectors, has in bundles(batch.column(at).fill_null("").to_pylist()):
                 norms = np.linalg.norm(vectors, axis=1)
                 if names:
                     cosines = (vectors @ units.T) / np.where(norms > 0, norms, 1)[:, None]
@@ -138,7 +140,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "
                     scores[rows] = np.clip(cosines.max(axis=1), 0, 1)[has]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(langs.tolist(), pa.string()), pa.array(scores)], [*columns, "lang_pred", "score"])
 
-    return docs.select(*columns, F.col(text_col).alias("text_")).mapInArrow(predict, schema)
+    return docs.select(*sent).mapInArrow(predict, schema)
 
 
 def held_out(id_col: str, modulus: int, remainder: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlake.llm import common, decontamination, language_id, near_dedup, packing, sharding, subwords, token_counts, token_files, topk_search, toxicity
+from graphlake.llm import common, decontamination, language_id, lm_scoring, near_dedup, packing, sharding, subwords, token_counts, token_files, topk_search, toxicity
 
 
 def op1_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +65,12 @@ def op8_lpt_shards(spark: SparkSession, sf_dir: str, shards: int = 16) -> DataFr
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log10 probability of every document by the attention model and by a unigram base."""
+    docs = common.read(spark, sf_dir, "documents").withColumn("held_out", language_id.held_out("doc_id", 5, 1))
+    return lm_scoring.score_documents(docs, subwords.tokenizer_path("word_bpe_49k.json"))
+
+
 def op10_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of all documents, packed with their lexical neighbours."""
     return packing.pack_documents(common.read(spark, sf_dir, "documents"), subwords.tokenizer_path("word_bpe_49k.json"), 2048, 1)
@@ -79,6 +85,7 @@ QUERIES = {
     "op6_token_files": op6_token_files,
     "op7_simhash_vptree": op7_simhash_vptree,
     "op8_lpt_shards": op8_lpt_shards,
+    "op9_attention_lm": op9_attention_lm,
     "op10_bm25_packing": op10_bm25_packing,
 }
 

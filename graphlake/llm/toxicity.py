@@ -190,13 +190,15 @@ def grade(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
     """
     common.arrow_batches(docs.sparkSession)
     columns = [id_col, *keep]
+    sent = columns if text_col in columns else [*columns, text_col]
+    at = sent.index(text_col)
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns) + ", severity double, p_toxic double, grade int, toxic boolean"
     cache: dict[str, float] = {}
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = np.zeros(batch.num_rows)
-            for first, row, code, words in distinct_words(batch.column(len(columns))):
+            for first, row, code, words in distinct_words(batch.column(at)):
                 if len(cache) > 500_000:
                     cache.clear()
                 for w in words:
@@ -210,4 +212,4 @@ def grade(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
             out = [pa.array(above.sum(axis=1)), pa.array(above[:, 0]), pa.array(by_grade.argmax(axis=1).astype(np.int32)), pa.array(above[:, 0] >= 0.5)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], *out], [*columns, "severity", "p_toxic", "grade", "toxic"])
 
-    return docs.select(*columns, F.col(text_col).alias("text_")).mapInArrow(score, schema)
+    return docs.select(*sent).mapInArrow(score, schema)
