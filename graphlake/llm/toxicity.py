@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from graphlake.llm import common
 
 #: Labelled documents that the model is fitted on, at most about; a hash of the id chooses them.
-TRAIN_DOCS = 12_000
+TRAIN_DOCS = 8_000
 #: Features with a weight, those most associated with grades above 0. No weight is negative.
 FEATURES = 8_192
 #: Lengths of the word beginnings that count as features, besides the word.
@@ -158,8 +158,8 @@ def fit(docs: list[np.ndarray], toxic: np.ndarray) -> OrdinalModel:
 
 
 def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel:
-    """Fits on a sample of about train_docs labelled documents at most (all, where there are fewer), the only rows that
-    reach the driver. Null labels and ids are passed over; of several labels of an id the largest holds."""
+    """Fits on a sample of about train_docs labelled documents at most (all, where there are fewer), in one task that holds
+    no more; the driver gets FEATURES weights at most. Null labels and ids are passed over; of several labels of an id the largest holds."""
     spark = docs.sparkSession
     common.arrow_batches(spark)
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("label_"))
@@ -177,9 +177,16 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, labe
                 lists = [np.concatenate([of_word[c] for c in g]).tobytes() if len(g) else b"" for g in groups]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(lists)).cast(pa.int32()), pa.array(lists, pa.binary())], ["label", "f"])
 
-    rows = sample.mapInArrow(hashed, "label int, f binary").collect()
-    rows.sort(key=lambda r: (bytes(r.f), r.label))
-    return fit([np.frombuffer(r.f, np.int64) for r in rows], np.array([r.label for r in rows]))
+    def fitted(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("f", "ascending"), ("label", "ascending")])
+        model = fit([np.frombuffer(x.as_buffer(), np.int64) for x in table.column("f")], table.column("label").to_numpy())
+        n = len(model.weights)
+        feature = pa.array([*model.weights, *range(len(model.cuts))], pa.int64())
+        return pa.table([pa.array([False] * n + [True] * len(model.cuts)), feature, pa.array([*model.weights.values(), *model.cuts], pa.float64())], ["is_cut", "feature", "x"])
+
+    rows = sample.mapInArrow(hashed, "label int, f binary").withColumn("all_", F.lit(0)).groupBy("all_").applyInArrow(fitted, "is_cut boolean, feature long, x double").collect()
+    cuts = sorted((r.feature, r.x) for r in rows if r.is_cut)
+    return OrdinalModel({r.feature: r.x for r in rows if not r.is_cut}, np.array([x for _, x in cuts]))
 
 
 def grade(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = ()) -> DataFrame:
