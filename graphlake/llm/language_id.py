@@ -92,6 +92,8 @@ def learn(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
     common.arrow_batches(spark)
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     share = labelled.groupBy(lang_col).agg(F.least(F.lit(1.0), F.lit(float(train_docs)) / F.count("*")).alias("share"))
+    share = common.written(share, "languages")
+    share = common.maybe_broadcast(share, share.count())
     draw = F.pmod(F.xxhash64(id_col, F.octet_length(text_col)), F.lit(1_000_000)) / F.lit(1_000_000)
     chosen = labelled.join(share, lang_col).where(draw < F.col("share")).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
