@@ -68,11 +68,11 @@ def q_keyword_score(spark, sf):
 @query("""WITH c AS (SELECT event_id, (event_id % 11) / 10.0::DOUBLE AS c, CASE WHEN event_id % 13 = 0 THEN 7 END AS o, event_type = 'click' AS agg FROM events)
     SELECT event_id, coalesce(o, CASE WHEN c >= 0.85 THEN 30 WHEN c >= 0.6 THEN 18 ELSE 15 END) AS top_k, CAST(CASE WHEN c >= 0.85 THEN 0.6 ELSE 0.7 END AS DOUBLE) AS vector_weight,
         CAST(CASE WHEN c >= 0.85 THEN 0.4 ELSE 0.3 END AS DOUBLE) AS keyword_weight, CASE WHEN c >= 0.85 THEN 2 WHEN c >= 0.6 THEN 1 ELSE 0 END AS hops,
-        CASE WHEN agg THEN 1000 ELSE 100 END AS first_limit, CASE WHEN agg THEN 5000 END AS max_documents FROM c""")
+        CASE WHEN agg THEN 1000 ELSE 100 END AS first_limit, CASE WHEN agg THEN 5000 ELSE 0 END AS max_documents FROM c""")
 def q_route_params(spark, sf):
     """Limits, weights and hops by confidence, an override first."""
     confidence, override = (F.col("event_id") % 11) / 10, F.when(F.col("event_id") % 13 == 0, 7)
-    return read(spark, sf, "events").select("event_id", *[c.alias(n) for n, c in (R.route_params(confidence, override) | R.initial_limit(F.col("event_type") == "click")).items()])
+    return read(spark, sf, "events").select("event_id", *[F.coalesce(c, F.lit(0)).alias(n) for n, c in (R.route_params(confidence, override) | R.initial_limit(F.col("event_type") == "click")).items()])
 
 
 @query("SELECT doc_id FROM documents WHERE contains(lower(text), 'idiot') OR contains(lower(text), 'und der')")
@@ -90,7 +90,7 @@ def q_id_contains(spark, sf):
     return read(spark, sf, "documents").where(R.id_match(F.col("doc_id").cast("string"), F.col("text"), F.lit("15"))).select("doc_id")
 
 
-_KEYED = _RERANK + ", k AS (SELECT *, contains(lower(text), {word}) AS passes FROM re WHERE new_rank <= 30)"
+_KEYED = _RERANK + ", k AS (SELECT *, contains(lower(text), @word) AS passes FROM re WHERE new_rank <= 30)"
 _FALLBACK = """, w AS (SELECT *, bool_or(passes) OVER (PARTITION BY query_id) AS any_pass, count(*) FILTER (passes) OVER (PARTITION BY query_id ORDER BY new_rank) AS place FROM k)
     SELECT query_id, doc_id, new_rank, passes FROM w WHERE CASE WHEN any_pass THEN passes AND place <= 15 ELSE new_rank <= 5 END"""
 
@@ -100,13 +100,13 @@ def _filtered(spark, sf, word):
     return R.filter_with_fallback(ranked, F.contains(F.lower("text"), F.lit(word)), F.lit(True)).select("query_id", "doc_id", "new_rank", "passes")
 
 
-@query("WITH " + _KEYED.format(word="'th'") + _FALLBACK)
+@query("WITH " + _KEYED.replace("@word", "'th'") + _FALLBACK)
 def q_filter_truncate(spark, sf):
     """At most 15 rows of a question pass an active filter."""
     return _filtered(spark, sf, "th")
 
 
-@query("WITH " + _KEYED.format(word="'no such words'") + _FALLBACK)
+@query("WITH " + _KEYED.replace("@word", "'no such words'") + _FALLBACK)
 def q_filter_fallback(spark, sf):
     """Where no row passes, the first five stand."""
     return _filtered(spark, sf, "no such words")

@@ -87,10 +87,10 @@ def q_extract_attribute(spark, sf):
     return _notes(spark, sf).select("c_custkey", T.attribute(F.col("note"), "operator").alias("operator"))
 
 
-@query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 1900 + c_nationkey END AS year FROM customer")
+@query("SELECT c_custkey, 1900 + c_nationkey AS year FROM customer WHERE c_custkey % 4 = 0")
 def q_extract_temporal(spark, sf):
     note = F.col("note")
-    return _notes(spark, sf).select("c_custkey", T.year(F.coalesce(T.attribute(note, "year"), T.attribute(note, "temporal"), T.attribute(note, "date"))).alias("year"))
+    return _notes(spark, sf).select("c_custkey", T.year(F.coalesce(T.attribute(note, "year"), T.attribute(note, "temporal"), T.attribute(note, "date"))).alias("year")).where("year is not null")
 
 
 _PLACES = ["WABASH RIVER AT TERRE HAUTE, IN", "VERMILION RIVER NEAR DANVILLE, IL", "no place", "SPRING CREEK BELOW SALINA, Kansas"]
@@ -109,7 +109,7 @@ def q_extract_state_city(spark, sf):
     return read(spark, sf, "supplier").select("s_suppkey", state.alias("state"), city.alias("city"))
 
 
-@query("""WITH f AS (SELECT user_id, event_type, min(event_id) AS at FROM events GROUP BY ALL), l AS (SELECT user_id, list(event_type ORDER BY at) AS v FROM f GROUP BY user_id)
+@query("""WITH f AS (SELECT user_id, event_type, min(event_id) AS seen FROM events GROUP BY ALL), l AS (SELECT user_id, list(event_type ORDER BY seen) AS v FROM f GROUP BY user_id)
     SELECT user_id, CASE WHEN len(v) <= 5 THEN array_to_string(v, ', ') ELSE len(v) || ' values: ' || array_to_string(v[1:5], ', ') END AS types FROM l""")
 def q_multi_values(spark, sf):
     """Distinct values in the order they were first seen."""
