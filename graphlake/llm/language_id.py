@@ -141,6 +141,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "
                     langs[rows] = np.array(names, object)[best[has]]
                     scores[rows] = np.clip(cosines.max(axis=1), 0, 1)[has]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(langs.tolist(), pa.string()), pa.array(scores)], [*columns, "lang_pred", "score"])
+            common.give_back()
 
     return docs.select(*sent).mapInArrow(predict, schema)
 

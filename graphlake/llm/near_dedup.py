@@ -19,7 +19,7 @@ SHARD_POINTS, LEAF = 256, 192
 #: Shards that one task works through in turn.
 TASK_POINTS = 20_000
 #: Shingles whose bits are counted at once.
-COUNTED = 1 << 17
+COUNTED = 1 << 16
 #: Pairs that a task holds before it joins them.
 HELD_PAIRS = 1 << 20
 
@@ -47,7 +47,6 @@ def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_co
             lists = batch.column(1)
             counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             values = lists.flatten().to_numpy(zero_copy_only=False)
-            ends = np.cumsum(counts)
             ones = np.zeros((len(counts) + 1, 64), np.int64)
             owner = np.repeat(np.arange(len(counts)), counts)
             for at in range(0, len(values), COUNTED):
@@ -56,8 +55,8 @@ def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_co
                 first = np.flatnonzero(np.diff(own, prepend=-1))
                 ones[own[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int32)
             fp = np.packbits(ones[:-1] * 2 > counts[:, None], axis=1, bitorder="little").view(np.int64).ravel()
-            assert len(ends) == len(fp)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64())], ["id", "fp"])
+            common.give_back()
 
     return hashed.mapInArrow(majority, f"id {kind}, fp long").withColumnRenamed("id", id_col)
 

@@ -15,9 +15,9 @@ import numpy as np
 import pyarrow as pa
 
 #: Chunks in each of a worker's two generations; a full younger one takes the older one's place.
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 300_000
 #: Bytes of text that are cut and encoded at once.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: Letters that normal form C leaves alone and that are lower-cased one by one.
 _WORD = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+\\Z")
 #: Runs of white space that a byte-level pre-tokenizer joins across a single-space boundary, and special strings.

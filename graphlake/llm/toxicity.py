@@ -22,7 +22,7 @@ STEMS = (4, 5, 6)
 #: Least chi-square of a feature against the label: a level that chance reaches about once in 10^5 features.
 GAIN = 12.0
 STEPS, RATE, PENALTY = 400, 0.1, 1e-4
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 SALTS = np.arange(1, 49, 2, dtype=np.int64) * 0x9E3779B97F4A7C1 | 1
 _TRIM = ".,;:!?\"'()[]{}#$%&*-_<>/\\|`~"
 
@@ -176,6 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, labe
                 groups = np.split(code, np.searchsorted(row, np.arange(1, n_rows))) if len(row) else [np.zeros(0, np.int64)] * n_rows
                 lists = [np.concatenate([of_word[c] for c in g]).tobytes() if len(g) else b"" for g in groups]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(lists)).cast(pa.int32()), pa.array(lists, pa.binary())], ["label", "f"])
+            common.give_back()
 
     def fitted(table: pa.Table) -> pa.Table:
         table = table.sort_by([("f", "ascending"), ("label", "ascending")])
@@ -206,7 +207,7 @@ def grade(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
         for batch in batches:
             scores = np.zeros(batch.num_rows)
             for first, row, code, words in distinct_words(batch.column(at)):
-                if len(cache) > 500_000:
+                if len(cache) > 200_000:
                     cache.clear()
                 for w in words:
                     if w not in cache:
@@ -218,5 +219,6 @@ def grade(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
             by_grade = -np.diff(np.column_stack([np.ones(len(above)), above, np.zeros(len(above))]), axis=1)
             out = [pa.array(above.sum(axis=1)), pa.array(above[:, 0]), pa.array(by_grade.argmax(axis=1).astype(np.int32)), pa.array(above[:, 0] >= 0.5)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], *out], [*columns, "severity", "p_toxic", "grade", "toxic"])
+            common.give_back()
 
     return docs.select(*sent).mapInArrow(score, schema)
