@@ -98,7 +98,7 @@ def phrase_matches(tokens: DataFrame, phrases: DataFrame) -> DataFrame:
     near = common.maybe_broadcast(wanted_docs, wanted_docs.count())
     held = _split(tokens)
     held = held.join(near, common.same_doc(held, near, DOC), "left_semi").dropDuplicates(DOC)
-    checks = found.join(common.maybe_broadcast(phrases, n_anchors), "phrase_id")
+    checks = found.join(common.maybe_broadcast(phrases, phrases.count()), "phrase_id")
     by_doc = checks.groupBy(*DOC).agg(F.collect_list(F.struct("phrase_id", "start", "n_terms", "terms")).alias("c"))
     exact = held.join(by_doc, common.same_doc(held, by_doc, DOC)).select(held["doc_id"], held["h"], "w", "c")
     right = F.filter("c", lambda x: F.slice(F.col("w"), x["start"] + 1, x["n_terms"]) == x["terms"])
