@@ -31,7 +31,7 @@ def cell(value: Column) -> Column:
 
 
 def read_two_header_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a CSV file under two header rows, blank rows left out. Only the two header lines reach the driver."""
+    """Rows of one CSV file under two header rows, blank rows left out. Only the two header lines reach the driver."""
     lines = spark.read.text(path)
     first, second = (spark.read.csv(spark.sparkContext.parallelize([r.value])).first() for r in lines.limit(2).collect())
     names = header_names(list(first), list(second))
@@ -40,7 +40,7 @@ def read_two_header_csv(spark: SparkSession, path: str) -> DataFrame:
     # the header is where the file begins: the two least lines of the least partition
     body = raw.join(F.broadcast(raw.orderBy("line_").limit(2).select("line_")), "line_", "left_anti")
     cells = [cell(F.col(f"c{i}")).alias(n) for i, n in enumerate(names)]
-    out = body.orderBy("line_").select(*cells)
+    out = body.select(*cells)
     return out.where(F.coalesce(*[F.col(f"`{n}`") for n in names]).isNotNull())
 
 
