@@ -22,6 +22,9 @@ TASK_POINTS = 20_000
 COUNTED = 1 << 16
 #: Pairs that a task holds before it joins them.
 HELD_PAIRS = 1 << 20
+#: Bands of a shingle set's signature and minimum hashes of a band. A pair of Jaccard similarity s shares no band with
+#: probability (1 - s**4)**32: 5e-8 at 0.8, 1e-15 at 0.9.
+SET_BANDS, BAND_ROWS = 32, 4
 
 
 def shingle_hashes(text: str, size: int = 3) -> tuple[Column, Column]:
@@ -227,3 +230,90 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3, bands: int
     ids = known.groupBy("root").agg(F.min("least").alias("component_id"))
     members = known.join(ids, "root").select("fp", "component_id")
     return found.join(members, "fp").select(id_col, "fp", "component_id")
+
+
+def signatures(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, h, node, n, bands): h tells texts of one id apart, node stands for the set of a text's shingles, n is their
+    number, and two sets share each of the bands' keys with probability s**BAND_ROWS. No words or null: node 0, no bands.
+    """
+    common.arrow_batches(docs.sparkSession)
+    w, hashes = shingle_hashes(text_col, size)
+    hashed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), w.alias("w")).select("id", "h", hashes.alias("x"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    rng = np.random.default_rng(5)
+    odd = rng.integers(0, 1 << 31, (SET_BANDS, BAND_ROWS), np.uint32) * np.uint32(2) + np.uint32(1)
+    mix = rng.integers(0, 1 << 63, BAND_ROWS + 2, np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            ends = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).cumsum()
+            values = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            sets = [np.unique(x) for x in np.split(values, ends[:-1])] if len(ends) else []
+            n = np.array([len(x) for x in sets], np.int64)
+            some = np.flatnonzero(n)
+            node, keys = np.zeros(len(n), np.uint64), np.zeros((len(some), SET_BANDS), np.uint64)
+            if len(some):
+                x, starts = np.concatenate(sets), (n.cumsum() - n)[some]
+                node[some] = np.add.reduceat((x ^ x >> np.uint64(29)) * mix[-1], starts)
+                short = (x >> np.uint64(32)).astype(np.uint32)
+                keys += np.arange(SET_BANDS, dtype=np.uint64) * mix[-2]
+                for band in range(SET_BANDS):
+                    for row in range(BAND_ROWS):
+                        least = np.minimum.reduceat(short * odd[band, row], starts).astype(np.uint64)
+                        keys[:, band] = (keys[:, band] ^ keys[:, band] >> np.uint64(32) ^ least) * mix[row]
+            offsets = np.concatenate([[0], ((n > 0) * SET_BANDS).cumsum()]).astype(np.int32)
+            bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node.view(np.int64)), pa.array(n), bands], ["id", "h", "node", "n", "bands"])
+            common.give_back()
+
+    return hashed.mapInArrow(sign, f"id {kind}, h long, node long, n long, bands array<long>")
+
+
+def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose sets' exact Jaccard similarity is at least `least`."""
+    of = lambda side: sets.select(F.col("node").alias(side), F.col("x").alias(f"x{side}"))
+    both = F.size(F.array_intersect("xa", "xb"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(both >= F.lit(least) * (F.size("xa") + F.size("xb") - both)).select("a", "b")
+
+
+def near_sets(docs: DataFrame, size: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, h, root): documents whose sets of `size`-word shingles have a Jaccard similarity of at least `least` are linked;
+    root stands for the documents that links reach.
+
+    Equal sets are one point. Candidates share a band of their signatures, and each link is checked on the sets
+    themselves. First the points of a bucket are held against its smallest and its largest, so that a group of copies
+    has links in proportion to its points; then all pairs of a bucket that no links join yet are.
+    """
+    found = common.written(signatures(docs, size, id_col, text_col), "signatures")
+    points = found.groupBy("node").agg(F.first(F.struct("id", "h", "n", "bands")).alias("r")).select("node", "r.*").where("n > 0")
+    placed = common.written(points.select("node", "id", "h", "n", F.explode("bands").alias("key")), "buckets")
+    buckets = placed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
+    placed = common.written(placed.join(buckets, "key"), "shared-buckets")
+    alike = lambda x, y: F.least(x, y) >= F.lit(least) * F.greatest(x, y)
+
+    members = common.written(placed.select("node", "id", "h", "n").distinct(), "members")
+    few = common.maybe_broadcast(members.select("id", "h", "node").withColumnsRenamed({"id": "id_", "h": "h_"}), members.count())
+    w, hashes = shingle_hashes("t", size)
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t"))
+    texts = texts.join(few, texts["id"].eqNullSafe(few["id_"]) & (texts["h"] == few["h_"])).dropDuplicates(["node"])
+    sets = common.written(texts.select("node", "t", w.alias("w")).select("node", F.array_distinct(hashes).alias("x")), "sets")
+
+    pair = lambda end: placed.where(F.col("node") != F.col(end)).select(F.least("node", end).alias("b"), F.greatest("node", end).alias("a"))
+    sizes = members.select("node", "n")
+    sized = lambda p: p.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
+    first = sized(pair("low").unionByName(pair("high")).distinct()).where(alike(F.col("na"), F.col("nb"))).select("a", "b")
+    first = common.written(first, "bucket-pairs")
+    linked = common.written(similar(first, sets, least), "similar")
+    of_node = classes(linked)
+
+    open_ = placed.join(of_node, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+    mixed = open_.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    open_ = common.written(open_.join(mixed, "key", "left_semi"), "open-buckets")
+    x, y = open_.alias("x"), open_.alias("y")
+    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.node") > F.col("y.node")) & alike(F.col("x.n"), F.col("y.n"))
+    rest = x.join(y, apart).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    more = common.written(similar(rest, sets, least), "similar")
+    if not more.isEmpty():
+        of_node = classes(linked.unionByName(more))
+    return found.join(of_node, "node", "left").select(F.col("id").alias(id_col), "h", F.coalesce("root", "node").alias("root"))
