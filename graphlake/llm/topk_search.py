@@ -21,18 +21,18 @@ SLACK = 0.5
 _EXACT = float(2**53)
 
 
-def scaled(vectors: DataFrame, id_col: str, vector_col: str, scale: int = 256) -> DataFrame:
+def scaled(vectors: DataFrame, id_col: str, vector_col: str, scale: int = 256, repeats: bool = False) -> DataFrame:
     """(vec_id long, v array<long>): floor(scale * x) of each component, x as double.
 
     Rows whose id or vector is null, or that hold a null or non-finite component, take no part. A row that repeats
-    another in id and vector counts once.
+    another in id and vector counts once, or with repeats as often as it occurs.
     """
     usable = F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return (
+    found = (
         vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & usable)
         .select(F.col(id_col).cast("long").alias("vec_id"), F.transform(vector_col, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
-        .distinct()
     )
+    return found if repeats else found.distinct()
 
 
 def maxscore(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, vec_ids: np.ndarray, k: int):

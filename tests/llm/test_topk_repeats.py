@@ -1,0 +1,18 @@
+import numpy as np
+from pyspark.sql import functions as F
+
+from graphlake.llm import queries
+
+
+def test_op3_counts_repeated_rows_as_its_sql_does(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.integers(-4, 5, 6)]) for i in range(60)]
+    rows += [rows[i] for i in (3, 3, 7, 50)] + [(9, [4.0] * 6)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = queries.op3_maxscore_topk(spark, str(tmp_path)).orderBy("query_id", "rank").collect()
+    want = []
+    for q in (0, 50):
+        own = [np.array(v) * 256 for i, v in rows if i == q]
+        scores = sorted((-int(x @ (np.array(v) * 256)), i) for x in own for i, v in rows if i != q)[:5]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)]
+    assert [tuple(r) for r in got] == want
