@@ -7,6 +7,7 @@ those of its chunks in turn, so long texts never reach the library whole.
 
 from __future__ import annotations
 
+import codecs
 import os
 import re
 from array import array
@@ -14,8 +15,8 @@ from array import array
 import numpy as np
 import pyarrow as pa
 
-#: Chunks in each of a worker's two generations; a full younger one takes the older one's place.
-CACHE_CHUNKS = 300_000
+#: Chunks in each of a worker's two generations, about 150 bytes each; a full younger one takes the older one's place.
+CACHE_CHUNKS = 150_000
 #: Bytes of text that are cut and encoded at once.
 SLICE_BYTES = 4 << 20
 #: Letters that normal form C leaves alone and that are lower-cased one by one.
@@ -24,7 +25,8 @@ _WORD = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+\\Z")
 _UNSAFE = re.compile(r"\s\s\s|\s\s\Z|<\|")
 #: A byte's character in byte-level vocabularies: printable bytes stand for themselves, the others follow from 256 on.
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_CHARACTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(_PRINTED))}
+_OTHERS = [b for b in range(256) if b not in set(_PRINTED)]
+_CHARACTERS = "".join(chr(256 + _OTHERS.index(b)) if b in _OTHERS else chr(b) for b in range(256))
 _loaded: dict[str, "Subwords"] = {}
 
 
@@ -41,6 +43,12 @@ def load(path: str) -> "Subwords":
     return _loaded[path]
 
 
+def forget() -> None:
+    """Drops the chunks that this worker's tokenizers have kept: an idle worker would hold them beside its executor."""
+    for tokenizer in _loaded.values():
+        tokenizer.young, tokenizer.old = {}, {}
+
+
 class Subwords:
     """ids of texts by a `tokenizers` file whose vocabulary fits 16 bits or not; byte-level with or without word ends."""
 
@@ -143,21 +151,24 @@ class Subwords:
             ids = young.get(chunk)
             if ids is None:
                 ids = old.get(chunk)
-                young[chunk] = ids = self._ids(chunk.decode()) if ids is None else ids
+                young[chunk] = ids = self._ids(chunk) if ids is None else ids
             found.append(ids)
         return found
 
-    def _ids(self, chunk: str) -> bytes:
+    def _ids(self, chunk: bytes) -> bytes:
         """Plain words go to the library's model at once; the rest through its normalizer and pre-tokenizer."""
         if not self.keeps_space:
-            chunk = chunk.strip(" \n")
+            chunk = chunk.strip(b" \n")
         model = self.library.model
-        space = self.keeps_space and chunk[:1] == " "
-        if _WORD.match(chunk, space):
-            word = chunk if self.keeps_space else chunk.lower()
-            ids = [t.id for t in model.tokenize(word.encode().decode("latin-1").translate(_CHARACTERS))]
+        if chunk.isalpha():  # ASCII letters, in lower case where the vocabulary has lower case alone
+            ids = [t.id for t in model.tokenize(chunk.decode("ascii"))]
+            return array(self.code, ids).tobytes()
+        text = chunk.decode()
+        if _WORD.match(text, self.keeps_space and text[:1] == " "):
+            word = chunk if self.keeps_space else text.lower().encode()
+            ids = [t.id for t in model.tokenize(codecs.charmap_decode(word, "strict", _CHARACTERS)[0])]
         else:
-            plain = self.library.normalizer.normalize_str(chunk) if self.library.normalizer else chunk
+            plain = self.library.normalizer.normalize_str(text) if self.library.normalizer else text
             pieces = self.library.pre_tokenizer.pre_tokenize_str(plain) if plain else []
             ids = [t.id for x, _ in pieces for t in model.tokenize(x)]
         return array(self.code, ids).tobytes()
