@@ -9,9 +9,12 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of a lookup table that may be broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: Bytes of such a table's texts and lists, as JSON.
+BROADCAST_BYTES = 64 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,9 +22,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, `spark.checkpoint.dir`; a temporary one only where it is unset (tests)."""
+    """The cluster's shared folder, `spark.checkpoint.dir`. Where it is unset, a local session gets a temporary one; on a
+    cluster that is an error, because executors would not see each other's files."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='graphlake-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -53,9 +59,16 @@ def give_back() -> None:
         trim(0)
 
 
-def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint only for a side that was counted and is within the limit."""
-    return F.broadcast(df) if rows <= limit else df
+def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A broadcast hint only for a side that was counted and is within the limits of rows and of bytes of its texts and lists."""
+    if rows > limit:
+        return df
+    wide = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType))]
+    if wide:
+        size = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*wide))).cast("long"))).first()[0] or 0
+        if size > most:
+            return df
+    return F.broadcast(df)
 
 
 def lower_ascii(column) -> Column:

@@ -15,8 +15,8 @@ from graphlake.llm import common
 DIMENSIONS = 1024
 #: Labelled documents that each language's prototype is learnt from, at most about; a hash of the id chooses them.
 TRAIN_DOCS = 20_000
-#: Characters that are worked on at once.
-SLICE_CHARS = 1 << 19
+#: Characters, and texts, that are worked on at once.
+SLICE_CHARS, SLICE_TEXTS = 1 << 19, 512
 UNDETERMINED = "und"
 _letters: dict[int, np.ndarray] = {}
 _flags = np.zeros(0x110000, np.int8)  # 1: letter, -1: not, 0: not looked at yet
@@ -66,7 +66,7 @@ def bundles(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     first = 0
     while first < len(texts):
         last, size = first, 0
-        while last < len(texts) and (last == first or size + len(texts[last]) <= SLICE_CHARS):
+        while last < len(texts) and (last == first or size + len(texts[last]) <= SLICE_CHARS and last - first < SLICE_TEXTS):
             size += len(texts[last])
             last += 1
         row, gram, has = trigrams(texts[first:last])
@@ -86,16 +86,18 @@ def learn(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
     """Each language's prototype: the sum of its documents' unit vectors. docs: labelled rows alone.
 
     Of each language about train_docs documents at most are learnt from; tasks sum vectors by language before the shuffle,
-    and the driver gets DIMENSIONS numbers a language.
+    and the driver gets DIMENSIONS numbers a language. Null texts and languages are passed over, repeated rows count as
+    often as they occur, null ids are like others, further columns are not looked at; no rows: no prototypes.
     """
     spark = docs.sparkSession
     common.arrow_batches(spark)
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    share = labelled.groupBy(lang_col).agg(F.least(F.lit(1.0), F.lit(float(train_docs)) / F.count("*")).alias("share"))
+    draw = F.pmod(F.xxhash64(id_col, F.octet_length(text_col)), F.lit(1_000_000)) / F.lit(1_000_000)
+    labelled = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), draw.alias("draw"))
+    share = labelled.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(train_docs)) / F.count("*")).alias("share"))
     share = common.written(share, "languages")
     share = common.maybe_broadcast(share, share.count())
-    draw = F.pmod(F.xxhash64(id_col, F.octet_length(text_col)), F.lit(1_000_000)) / F.lit(1_000_000)
-    chosen = labelled.join(share, lang_col).where(draw < F.col("share")).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    chosen = labelled.join(share, "lang").where("draw < share").select("lang", "text")
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}

@@ -25,6 +25,8 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
         for batch in batches:
             counts = pa.array(encoder.lengths(batch.column(2)), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), counts], ["id", "n_bytes", "n_tokens"])
+        subwords.forget()
+        common.give_back()
 
     n_bytes = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")
     kind = docs.schema[id_col].dataType.simpleString()

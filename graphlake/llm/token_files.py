@@ -21,17 +21,22 @@ from graphlake.llm import common, subwords
 
 #: Ids of an image, about: a document is never split, so a longer one makes a longer image.
 IMAGE_IDS = 4 << 20
+#: Documents whose offsets are selected at once when an image is read.
+PAGE_DOCS = 1_024
 MAGIC = b"GLEF"
 
 
 class EliasFano:
-    """A non-decreasing sequence of n numbers below u in about n * (2 + log2(u / n)) bits."""
+    """A non-decreasing sequence of n numbers below u in about n * (2 + log2(u / n)) bits, and a select directory of 32 bits
+    for each BLOCK of its unary bits."""
+
+    BLOCK = 64
 
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray):
         self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
-        # select directory: ones before each 64-byte block
-        pad = np.pad(high, (0, -len(high) % 64)).reshape(-1, 64)
-        self.before = np.concatenate([[0], np.bitwise_count(pad).sum(axis=1, dtype=np.int64).cumsum()])
+        full = len(high) // self.BLOCK * self.BLOCK
+        ones = np.bitwise_count(high[:full].reshape(-1, self.BLOCK)).sum(axis=1, dtype=np.uint32)
+        self.before = np.concatenate([[0], ones.cumsum(dtype=np.uint32)]).astype(np.uint32)
 
     @classmethod
     def of(cls, values: np.ndarray) -> "EliasFano":
@@ -54,22 +59,21 @@ class EliasFano:
         at += struct.calcsize("<QBQQ")
         return cls(n, l, np.frombuffer(data, np.uint8, low, at), np.frombuffer(data, np.uint8, high, at + low)), at + low + high
 
-    def select(self, i: int) -> int:
-        """The i-th number, from one block of the unary bits and one low part."""
-        block = int(np.searchsorted(self.before, i, side="right")) - 1
-        bits = np.unpackbits(self.high[block * 64 : block * 64 + 64], bitorder="little")
-        one = block * 512 + int(np.flatnonzero(bits)[i - self.before[block]])
-        bit = i * self.low_bits
-        word = int.from_bytes(self.low[bit // 8 : (bit + self.low_bits + 7) // 8].tobytes(), "little")
-        return ((one - i) << self.low_bits) | ((word >> bit % 8) & ((1 << self.low_bits) - 1))
-
-    def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        low = np.zeros(self.n, np.uint64)
+    def select(self, first: int, last: int) -> np.ndarray:
+        """The numbers of ranks first to last - 1: only the blocks of unary bits and the low parts that hold them are looked at."""
+        if first >= last:
+            return np.zeros(0, np.int64)
+        block = int(np.searchsorted(self.before, first, side="right")) - 1
+        stop = int(np.searchsorted(self.before, last, side="left"))
+        skip = first - int(self.before[block])
+        bits = np.unpackbits(self.high[block * self.BLOCK : stop * self.BLOCK], bitorder="little")
+        ones = np.flatnonzero(bits)[skip : skip + last - first] + block * self.BLOCK * 8
+        low = np.zeros(last - first, np.int64)
         if self.low_bits:
-            bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
-            low = (bits.astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
-        return (((ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)) | low).astype(np.int64)
+            at = first * self.low_bits
+            bits = np.unpackbits(self.low[at // 8 : -(-last * self.low_bits // 8)], bitorder="little")[at % 8 :][: len(low) * self.low_bits]
+            low = (bits.reshape(-1, self.low_bits).astype(np.int64) << np.arange(self.low_bits)).sum(axis=1)
+        return ((ones - np.arange(first, last)) << self.low_bits) | low
 
 
 def pack_image(doc_ids: np.ndarray, ends: np.ndarray, ids: np.ndarray) -> bytes:
@@ -79,14 +83,15 @@ def pack_image(doc_ids: np.ndarray, ends: np.ndarray, ids: np.ndarray) -> bytes:
     return MAGIC + struct.pack("<Bq", ids.dtype.itemsize, base) + keys.to_bytes() + bounds.to_bytes() + ids.tobytes()
 
 
-def unpack_image(image: bytes) -> tuple[np.ndarray, EliasFano, np.ndarray]:
+def unpack_image(image: bytes) -> tuple[int, EliasFano, EliasFano, np.ndarray]:
+    """The least doc_id, the doc_ids less that one, the documents' ends, and all ids."""
     data = memoryview(image)
     if data[:4] != MAGIC:
         raise ValueError("not a token file")
     width, base = struct.unpack_from("<Bq", data, 4)
     keys, at = EliasFano.read(data, 4 + struct.calcsize("<Bq"))
     bounds, at = EliasFano.read(data, at)
-    return keys.all() + base, bounds, np.frombuffer(data, f"<u{width}", offset=at)
+    return base, keys, bounds, np.frombuffer(data, f"<u{width}", offset=at)
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
@@ -94,13 +99,14 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataF
 
     Returns the written table (part int, image_no int, has_null boolean, docs long, ids long, image binary). Rows of equal
     doc_id are ordered by their text's hash and kept; null doc_ids come first, in images of their own. Texts are dealt by
-    range of (doc_id, hash), so a doc_id that repeats without end is still split; each task streams its sorted range into
-    images of about IMAGE_IDS ids.
+    range of (doc_id, hash, number of the row), so a doc_id or a row that repeats without end is still split; each task
+    streams its sorted range into images of about IMAGE_IDS ids. Further columns are not looked at.
     """
     spark = docs.sparkSession
     common.arrow_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    dealt = rows.withColumn("h", F.xxhash64("text")).repartitionByRange(F.asc_nulls_first("doc_id"), "h")
+    salted = rows.withColumn("h", F.xxhash64("text")).withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 20)))
+    dealt = salted.repartitionByRange(F.asc_nulls_first("doc_id"), "h", "salt")
     dealt = dealt.sortWithinPartitions(F.asc_nulls_first("doc_id"), "h").select(F.spark_partition_id().alias("part"), "doc_id", "text")
 
     def images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,6 +147,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataF
                             yield flush()
         if held:
             yield flush()
+        subwords.forget()
+        common.give_back()
 
     SCHEMA = pa.schema([("part", pa.int32()), ("image_no", pa.int32()), ("has_null", pa.bool_()), ("docs", pa.int64()), ("ids", pa.int64()), ("image", pa.binary())])
     made = dealt.mapInArrow(images, "part int, image_no int, has_null boolean, docs long, ids long, image binary")
@@ -151,9 +159,9 @@ def read_token_files(files: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document in the written files; start counts the ids before it in all.
 
     The ids before an image come from the images' totals: a window within each part, and one over the parts' sums, a row
-    per part. Boundaries come from the Elias-Fano sequences.
+    per part. Boundaries and doc_ids come from the Elias-Fano sequences by select, a page of documents at a time.
     """
-    common.arrow_batches(files.sparkSession, 64)
+    common.arrow_batches(files.sparkSession)
     sums = files.groupBy("part").agg(F.sum("ids").alias("of_part"))
     parts = sums.select("part", F.coalesce(F.sum("of_part").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("part_start"))
     within = Window.partitionBy("part").orderBy("image_no").rowsBetween(Window.unboundedPreceding, -1)
@@ -164,15 +172,19 @@ def read_token_files(files: DataFrame) -> DataFrame:
         names = ["part", "image_no", "doc_id", "local", "n_tokens", "ids_crc32"]
         for batch in batches:
             for i in range(batch.num_rows):
-                keys, bounds, ids = unpack_image(batch.column(3)[i].as_buffer())
-                ends = bounds.all()
-                begins = np.concatenate([[0], ends[:-1]])
-                wide = ids.astype("<u4")
-                crcs = [zlib.crc32(wide[a:b]) for a, b in zip(begins, ends)]
-                n = len(keys)
-                key = pa.nulls(n, pa.int64()) if batch.column(2)[i].as_py() else pa.array(keys, pa.int64())
-                fixed = [pa.array(np.full(n, batch.column(j)[i].as_py(), np.int32)) for j in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*fixed, key, pa.array(begins, pa.int64()), pa.array(ends - begins, pa.int64()), pa.array(crcs, pa.int64())], names)
+                base, keys, bounds, ids = unpack_image(batch.column(3)[i].as_buffer())
+                before = 0
+                for first in range(0, keys.n, PAGE_DOCS):
+                    last = min(keys.n, first + PAGE_DOCS)
+                    ends = bounds.select(first, last)
+                    begins = np.concatenate([[before], ends[:-1]])
+                    before = int(ends[-1])
+                    crcs = [zlib.crc32(ids[a:b].astype("<u4")) for a, b in zip(begins.tolist(), ends.tolist())]
+                    n = last - first
+                    key = pa.nulls(n, pa.int64()) if batch.column(2)[i].as_py() else pa.array(keys.select(first, last) + base, pa.int64())
+                    fixed = [pa.array(np.full(n, batch.column(j)[i].as_py(), np.int32)) for j in (0, 1)]
+                    yield pa.RecordBatch.from_arrays([*fixed, key, pa.array(begins, pa.int64()), pa.array(ends - begins, pa.int64()), pa.array(crcs, pa.int64())], names)
+        common.give_back()
 
     found = files.select("part", "image_no", "has_null", "image").mapInArrow(documents, "part int, image_no int, doc_id long, local long, n_tokens long, ids_crc32 long")
     return found.join(starts, ["part", "image_no"]).select("doc_id", (F.col("first") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")

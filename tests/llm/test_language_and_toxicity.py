@@ -1,7 +1,9 @@
+import math
 import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from graphlake.llm import common, language_id, queries, toxicity
 
@@ -36,6 +38,9 @@ def test_language_odd_rows(spark):
     table = docs(spark, ODD, langs=[None if i % 5 == 0 else "en" for i in range(len(ODD))], ids=[None, *range(1, len(ODD))])
     learnt = language_id.learn(table)
     assert list(learnt) == ["en"]
+    clash = table.withColumnsRenamed({"source": "share", "n_chars": "draw"}).withColumns({"dim": F.lit(1), "x": F.lit("x"), "lang_pred": F.lit("no")})
+    assert np.allclose(language_id.learn(clash)["en"], learnt["en"], atol=1e-2)
+    assert language_id.identify(clash.union(clash), learnt).count() == 2 * len(ODD)
     got = {r.doc_id: r for r in language_id.identify(table, learnt).collect()}
     assert [got[i].lang_pred for i in (1, 2, 12, 13)] == ["und"] * 4 and got[4].lang_pred == "en" and got[None].lang_pred == "und"
     assert language_id.learn(table.limit(0)) == {}
@@ -57,21 +62,68 @@ def test_toxicity_on_held_out_labels(spark):
         assert 0 <= r.p_toxic <= r.severity <= len(model.cuts)
 
 
-def test_toxicity_gradient_finds_ordered_grades():
+def plain_loss(p, docs, y, levels):
+    """Mean negative log-likelihood, document by document."""
+    weights, first, steps = p[: len(p) - levels], p[len(p) - levels], p[len(p) - levels + 1 :]
+    cuts = [first]
+    for s in steps:
+        cuts.append(cuts[-1] + math.exp(s))
+    total = 0.0
+    for features, grade in zip(docs, y):
+        score = sum(weights[f] for f in features)
+        reach = [1.0, *[1 / (1 + math.exp(c - score)) for c in cuts], 0.0]
+        total -= math.log(reach[grade] - reach[grade + 1])
+    return total / len(y)
+
+
+def test_likelihood_and_gradient_equal_brute_force():
+    rng = np.random.default_rng(3)
+    docs = [rng.choice(6, rng.integers(0, 6), replace=False) for _ in range(40)]
+    rows, column = np.repeat(np.arange(40), [len(d) for d in docs]), np.concatenate(docs)
+    for levels in (1, 2, 3):
+        y, p = rng.integers(0, levels + 1, 40), rng.normal(size=6 + levels)
+        loss, grad = toxicity.loss_and_gradient(p, rows, column, y, levels)
+        assert abs(loss - plain_loss(p, docs, y, levels)) < 1e-9
+        for i in range(len(p)):
+            step = np.eye(len(p))[i] * 1e-6
+            assert abs((plain_loss(p + step, docs, y, levels) - plain_loss(p - step, docs, y, levels)) / 2e-6 - grad[i]) < 1e-5
+
+
+def test_fit_finds_weights_and_ordered_grades():
     rng = np.random.default_rng(0)
-    words = [np.array([toxicity.features("bad")[0]] * k + [int(x) for x in rng.integers(1, 500, 5)], np.int64) for k in rng.integers(0, 4, 600)]
-    toxic = np.array([int(np.count_nonzero(w == toxicity.features("bad")[0]) > 0) for w in words])
-    model = toxicity.fit(words, toxic)
-    assert model.weights[toxicity.features("bad")[0]] > 1
-    score = np.array([sum(model.weights.get(int(f), 0) for f in w) for w in words])
-    assert ((model.above(score)[:, 0] >= 0.5) == (toxic > 0)).mean() > 0.97
+    bad, worse = toxicity.features("bad")[0], toxicity.features("worse")[0]
+    kinds = rng.integers(0, 3, 900)
+    docs = [np.array([[], [bad], [bad, worse]][k] + [int(x) for x in rng.integers(1, 500, 5)], np.int64) for k in kinds]
+    model = toxicity.fit(docs, kinds)
+    assert model.weights[bad] > 1 and (np.diff(model.cuts) > 0).all() and len(model.cuts) == 2
+    score = np.array([sum(model.weights.get(int(f), 0) for f in d) for d in docs])
+    above = model.above(score)
+    assert ((above[:, 0] >= toxicity.DECIDED) == (kinds > 0)).mean() > 0.97
+    expected = above.sum(axis=1)
+    assert expected[kinds == 0].mean() < expected[kinds == 1].mean() < expected[kinds == 2].mean()
+    # the weights and the first cut are at a minimum of the likelihood of "above 0", up to the penalty and the bound at 0
+    known = sorted(model.weights)
+    place = {f: i for i, f in enumerate(known)}
+    kept = [[place[int(f)] for f in d if int(f) in place] for d in docs]
+    p = np.array([*[model.weights[f] for f in known], model.cuts[0]])
+    base = plain_loss(p, kept, np.minimum(kinds, 1), 1) + toxicity.PENALTY / 2 * (p[:-1] ** 2).sum()
+    for i in range(len(p)):
+        for step in (-0.3, 0.3):
+            q = p + np.eye(len(p))[i] * step
+            assert plain_loss(q, kept, np.minimum(kinds, 1), 1) + toxicity.PENALTY / 2 * (q[:-1] ** 2).sum() > base - 1e-3
+
+
+def test_grades_come_from_labels_alone(spark):
+    labels = spark.createDataFrame([(0, 1), (0, 0), (1, 1), (1, 0), (1, None)], "toxic int, quality int")
+    assert [r[0] for r in labels.select(toxicity.severity("toxic", "quality")).collect()] == [0, 0, 1, 2, 1]
 
 
 def test_toxicity_odd_rows(spark):
     table = docs(spark, ODD)
     labels = spark.createDataFrame([(1, 0), (4, 1), (4, 0), (None, 1), (3, None)], "doc_id long, toxic int")
-    model = toxicity.train(table.withColumnRenamed("source", "label_"), labels)
-    assert toxicity.grade(table, model).count() == len(ODD)
+    clash = table.withColumnsRenamed({"source": "label_", "lang": "toxic", "n_chars": "id_"}).withColumn("text_", F.lit(1))
+    model = toxicity.train(clash, labels)
+    assert toxicity.grade(clash.union(clash), model).count() == 2 * len(ODD)
     empty = toxicity.train(table, labels.limit(0))
     assert {r.toxic for r in toxicity.grade(table, empty).collect()} == {False}
     clean = toxicity.train(table, labels.where("toxic = 0"))
@@ -83,7 +135,7 @@ def test_distinct_words_in_slices(monkeypatch):
     monkeypatch.setattr(toxicity, "SLICE_BYTES", 7)
     texts = ["a b a", None, "", "Long, long  word!", "x"]
     got = {}
-    for first, row, code, words in toxicity.distinct_words(pa.array(texts)):
+    for first, _, row, code, words in toxicity.distinct_words(pa.array(texts)):
         for r, c in zip(row, code):
             got.setdefault(first + int(r), set()).add(words[c])
     assert got == {0: {"a", "b"}, 3: {"long", "word"}, 4: {"x"}}

@@ -39,8 +39,11 @@ def test_elias_fano_round_trip():
     for values in ([], [0], [0, 0, 0], [5, 5, 9], np.cumsum(rng.integers(0, 3000, 5000)), np.cumsum(rng.integers(0, 2, 3000))):
         ef = token_files.EliasFano.of(np.asarray(values, np.int64))
         again, _ = token_files.EliasFano.read(memoryview(ef.to_bytes()), 0)
-        assert again.all().tolist() == list(values)
-        assert [again.select(i) for i in range(0, len(values), 97)] == [int(x) for x in values[::97]]
+        assert again.select(0, len(values)).tolist() == list(values)
+        for first in range(0, len(values), 97):
+            last = min(len(values), first + int(rng.integers(0, 200)))
+            assert again.select(first, last).tolist() == [int(x) for x in values[first:last]]
+        assert again.before.dtype == np.uint32 and len(again.before) <= len(values) // 128 + 8
         if len(values) > 1000:
             assert len(ef.to_bytes()) * 8 < len(values) * (3 + np.log2(max(2, values[-1] / len(values)))) + 400
 
