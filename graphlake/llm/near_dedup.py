@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from graphlake.llm import common
 
 BLANKS = r"[\x20\x09-\x0D]+"
-#: Fingerprints of a tree's leaf shard, about; below LEAF, points are compared one by one.
-SHARD_POINTS, LEAF = 256, 192
-#: Shards that one task works through in turn.
+#: Points of a shard's tree below which they are compared one by one.
+LEAF = 192
+#: Points that one task works through in turn; a shard with more of them is split.
 TASK_POINTS = 20_000
 #: Shingles whose bits are counted at once.
 COUNTED = 1 << 16
@@ -129,32 +129,49 @@ def tree_links(points: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np
                 work += parts
 
 
-def _vantages(bands: int, depth: int) -> np.ndarray:
-    return np.random.default_rng(64).integers(0, 1 << (64 // bands), (bands, depth))
+def band_sets(n: int, radius: int) -> list[tuple[int, ...]]:
+    """(the bits of each tree's part of a fingerprint): every choice of k - radius of k bands. Of two fingerprints within `radius`
+    bits, at least k - radius bands are equal, so they meet in a tree; k is the least for which a part has log2(n) - 4 bits."""
+    for k in range(radius + 1, 65):
+        edges = [64 * i // k for i in range(k + 1)]
+        bands = [tuple(range(a, b)) for a, b in zip(edges[:-1], edges[1:])]
+        if min(map(len, bands)) * (k - radius) >= math.log2(max(2, n)) - 4 or k == 64:
+            return [sum(chosen, ()) for chosen in itertools.combinations(bands, k - radius)]
+    return []
 
 
-def shards(points: DataFrame, n: int, radius: int, bands: int) -> DataFrame:
-    """(band, path, fp): the shards of a forest of vantage-point trees, one tree for each band of 64 / bands bits.
+def shards(points: DataFrame, n: int, radius: int, sets: list[tuple[int, ...]] | None = None) -> DataFrame:
+    """(shard long, fp): the shards of a forest of vantage-point trees.
 
-    Two fingerprints within `radius` bits differ by at most r = radius // bands in some band, and a band's Hamming distance
-    to each vantage point then differs by at most r, of the same parity as the bits that differ. A path holds the distances
-    to a tree's vantage points; a fingerprint lives in its own shard and, where r > 0, also visits the shards across the
-    boundaries that it is within r of. More fingerprints make deeper trees.
+    A tree's roots are told apart by the part of the fingerprint that band_sets() gives it, in which a pair within `radius`
+    bits agrees. A root's points are dealt by their distance to its vantage point into rings radius + 1 wide; by the
+    triangle bound a pair lies in one ring or in two that touch, so a point lives in its own ring and also visits the one
+    below, where its distance is within `radius` of the boundary. Roots of more than TASK_POINTS points have as many further
+    vantage points as halve them often enough, a point visiting each combination of rings: a hot shard is split, exactly.
     """
-    depth = max(1, min(12, math.ceil(math.log2(max(2, n / SHARD_POINTS)) / 1.8)))
-    width, r = 64 // bands, radius // bands
-    visits = []
-    for band, vantages in enumerate(_vantages(bands, depth)):
-        bits = F.shiftrightunsigned("fp", band * width).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1))
-        steps = [F.bit_count(bits.bitwiseXOR(F.lit(int(v)))).cast("int") for v in vantages]
-        shifts = [s for s in itertools.product(range(-r, r + 1), repeat=depth) if len({x % 2 for x in s}) == 1]
-        for shift in shifts:
-            path = F.array(*[x + F.lit(d) for x, d in zip(steps, shift)])
-            visits.append(F.struct(F.lit(band).alias("band"), path.alias("path")))
-    return points.select("fp", F.explode(F.array(*visits)).alias("s")).select("s.band", "s.path", "fp")
-
-
-def links(points: DataFrame, radius: int = 3, bands: int = 4) -> DataFrame:
+    sets = sets or band_sets(n, radius)
+    parts = []
+    for tree, bits in enumerate(sets):
+        mask = sum(1 << b for b in bits)
+        part = F.col("fp").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))
+        parts.append(F.xxhash64(F.lit(tree), part))
+    rooted = points.select("fp", F.explode(F.array(*parts)).alias("root"))
+    hot = rooted.groupBy(F.col("root").alias("hot_")).agg(F.count("*").alias("n_")).where(F.col("n_") > TASK_POINTS)
+    hot = common.written(hot.select("hot_", (1 + F.ceil(F.log2(F.col("n_") / TASK_POINTS))).cast("int").alias("levels")), "hot-roots")
+    rooted = rooted.join(common.maybe_broadcast(hot, hot.count()), F.col("root") == F.col("hot_"), "left")
+    width = radius + 1
+
+    def visit(keys: Column, level: Column) -> Column:
+        away = F.bit_count(F.col("fp").bitwiseXOR(F.xxhash64("root", level))).cast("int")
+        ring, below = F.floor(away / width), F.floor((away - radius) / width)
+        rings = F.array_distinct(F.array(ring, F.greatest(below, F.lit(0).cast("long"))))
+        return F.flatten(F.transform(keys, lambda k: F.transform(rings, lambda r: F.xxhash64(k, r))))
+
+    keys = F.aggregate(F.sequence(F.lit(1), F.coalesce("levels", F.lit(1))), F.array(F.col("root")), visit)
+    return rooted.select(F.explode(keys).alias("shard"), "fp")
+
+
+def links(points: DataFrame, radius: int = 3, sets: list[tuple[int, ...]] | None = None) -> DataFrame:
     """(a, b) with b < a: links that join the distinct fingerprints `fp` of points as all pairs within `radius` bits do.
 
     Each shard is joined by its own tree over whole fingerprints; of its pairs, each point's link to the smallest point that
@@ -162,18 +179,19 @@ def links(points: DataFrame, radius: int = 3, bands: int = 4) -> DataFrame:
     bits, 8 bytes each.
     """
     n = points.count()
-    tasks = max(1, -(-n * bands // TASK_POINTS))
-    placed = shards(points, n, radius, bands).withColumn("task", F.pmod(F.xxhash64("band", "path"), F.lit(tasks)).cast("int"))
-    keyed = placed.select("task", F.xxhash64("band", "path").alias("shard"), "fp")
+    placed = common.written(shards(points, n, radius, sets), "fingerprint-shards")
+    tasks = max(1, -(-placed.count() // TASK_POINTS))
+    keyed = placed.withColumn("task", F.pmod(F.xxhash64("shard"), F.lit(tasks)).cast("int"))
 
     def joined(table: pa.Table) -> pa.Table:
         shard, fp = table.column("shard").to_numpy(), table.column("fp").to_numpy()
         order = np.lexsort((fp, shard))
         shard, fp = shard[order], fp[order]
-        cuts = np.append(np.flatnonzero(np.diff(shard, prepend=shard[0] - 1 if shard[0] > np.iinfo(np.int64).min else 0)), len(shard))
-        cuts[0] = 0
+        cuts = np.append(np.flatnonzero(np.append(True, shard[1:] != shard[:-1])), len(shard))
         a, b = [], []
         for first, last in zip(cuts[:-1], cuts[1:]):
+            if last - first == 1:
+                continue
             own = fp[first:last]
             label = np.arange(len(own))
             held, count = [], 0
@@ -187,7 +205,8 @@ def links(points: DataFrame, radius: int = 3, bands: int = 4) -> DataFrame:
                     label, held, count = roots(len(own), i, j), [], 0
             linked = np.flatnonzero(label != np.arange(len(own)))
             a.append(own[linked]), b.append(own[label[linked]])
-        return pa.table([np.concatenate(a), np.concatenate(b)], ["a", "b"])
+        join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+        return pa.table([join(a), join(b)], ["a", "b"])
 
     return keyed.groupBy("task").applyInArrow(joined, "a long, b long").distinct()
 
@@ -215,16 +234,17 @@ def classes(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3, bands: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component_id): documents whose fingerprints differ in at most `radius` bits are linked; the component id is
     the smallest id reachable.
 
     Equal fingerprints are one point from the start, with the smallest id of its documents. Null ids give no component
-    id, unless another of the component has one. Every input row gives a row; empty input gives none.
+    id, unless another of the component has one. Every input row gives a row, repeated ones too; further columns are not
+    looked at; empty input gives none.
     """
     found = common.written(fingerprints(docs, size, id_col, text_col), "fingerprints")
     points = common.written(found.groupBy("fp").agg(F.min(id_col).alias("least")), "points")
-    of_node = classes(links(points.select("fp"), radius, bands))
+    of_node = classes(links(points.select("fp"), radius))
     known = points.join(of_node, points["fp"] == of_node["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     known = common.written(known, "classes")
     ids = known.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -14,15 +14,17 @@ from graphlake.llm import common, subwords
 
 #: Tokens of an index shard, about: its documents, index and sequences fit one task.
 SHARD_TOKENS = 2 << 20
-#: BM25's k1 and b; the rarest terms of a seed that its query has; neighbours that a query returns.
-K1, B, QUERY_TERMS, NEIGHBOURS = 1.2, 0.75, 12, 8
-#: Shares of a shard's documents beyond which a term is left out of queries: it tells documents apart too little.
-COMMON = 0.1
+#: BM25's k1 and b; the rarest terms of a seed that it asks for first, before it asks for all of them.
+K1, B, QUERY_TERMS = 1.2, 0.75, 12
+#: Parts of a shard's tokens above which documents of one key are dealt to several shards.
+HOT_PARTS = 4
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 def token_rows(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n, ids binary) of every whole text, the end id after it; ids are 16-bit, little-endian. Stored."""
+    """(doc_id, n, key, ids binary) of every whole text, the end id after it; ids are 16-bit, little-endian. Stored. key is the
+    least hash of two ids in turn: two texts share it with the probability of their pairs' Jaccard similarity."""
     common.arrow_batches(docs.sparkSession)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -32,11 +34,24 @@ def token_rows(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "
                 ids, cuts = encoder.encode(texts.slice(first, last - first))
                 ended, cuts = np.insert(ids, cuts[1:], end_id).astype("<u2"), cuts + np.arange(len(cuts))
                 packed = pa.Array.from_buffers(pa.binary(), last - first, [None, pa.py_buffer((cuts * 2).astype(np.int32)), pa.py_buffer(ended.tobytes())])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(np.diff(cuts)), packed], ["doc_id", "n", "ids"])
-            common.give_back()
+                keys = pa.array(least_hashes(ended, cuts))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(np.diff(cuts)), keys, packed], ["doc_id", "n", "key", "ids"])
+        subwords.forget()
+        common.give_back()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return common.written(rows.mapInArrow(encode, "doc_id long, n long, ids binary"), "token-rows")
+    return common.written(rows.mapInArrow(encode, "doc_id long, n long, key long, ids binary"), "token-rows")
+
+
+def least_hashes(ids: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """The least hash of two ids in turn of each text, none of which is empty; a text of one id has the largest number."""
+    x = ids.astype(np.uint64)
+    x[:-1] = x[:-1] * _MIX[0] + x[1:] * _MIX[1]
+    x ^= x >> np.uint64(29)
+    x *= _MIX[2]
+    x >>= np.uint64(1)
+    x[cuts[1:] - 1] = np.iinfo(np.int64).max
+    return np.minimum.reduceat(x, cuts[:-1]).view(np.int64) if len(cuts) > 1 else np.zeros(0, np.int64)
 
 
 def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int, int]:
@@ -49,6 +64,7 @@ def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int, int]:
             row = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
             pairs = np.unique((row << 16) | ids)
             total += np.bincount(pairs & 0xFFFF, minlength=1 << 16)
+        common.give_back()
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen])], ["id", "n"])
 
@@ -72,56 +88,56 @@ class Bm25:
 
     def __init__(self, ids: np.ndarray, bounds: np.ndarray, df: np.ndarray, docs: int, mean: float):
         lengths = np.diff(bounds)
-        row = np.repeat(np.arange(len(lengths)), lengths)
+        self.size = len(lengths)
+        row = np.repeat(np.arange(self.size), lengths)
         pairs, tf = np.unique((ids << 32) | row, return_counts=True)
-        term, self.doc = pairs >> 32, pairs & 0xFFFFFFFF
+        term, self.doc = (pairs >> 32).astype(np.int32), (pairs & 0xFFFFFFFF).astype(np.int32)
         idf = np.log1p((docs - df + 0.5) / (df + 0.5))
-        self.weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.doc] / max(mean, 1)))
+        self.weight = (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.doc] / max(mean, 1)))).astype(np.float32)
         self.begin = np.searchsorted(term, np.arange((1 << 16) + 1))
-        self.own = np.diff(self.begin)
-        # a document's query: its rarest terms that others of the shard have too
-        useful = (self.own[term] > 1) & (self.own[term] <= max(2, COMMON * len(lengths)))
-        term, doc = term[useful], self.doc[useful]
-        order = np.lexsort((term, df[term], doc))
-        term, doc = term[order], doc[order]
-        rank = np.arange(len(doc)) - np.searchsorted(doc, doc)
-        first = rank < QUERY_TERMS
-        self.query, self.query_begin = term[first], np.searchsorted(doc[first], np.arange(len(lengths) + 1))
-        self.size = len(lengths)
-
-    def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
-        """The best unused documents for a seed, best first (ties: the earlier one)."""
-        terms = self.query[self.query_begin[seed] : self.query_begin[seed + 1]]
-        if not len(terms):
-            return terms
+        # a document's terms that others of the shard have too, rarest of all documents first
+        shared = np.diff(self.begin)[term] > 1
+        by_rarity = np.lexsort((np.arange(1 << 16), df))
+        rarity = np.empty(1 << 16, np.int64)
+        rarity[by_rarity] = np.arange(1 << 16)
+        asked = np.sort((self.doc[shared].astype(np.int64) << 16) | rarity[term[shared]])
+        self.query = by_rarity[asked & 0xFFFF].astype(np.int32)
+        self.query_begin = np.searchsorted(asked >> 16, np.arange(self.size + 1))
+
+    def scored(self, terms: np.ndarray, used: np.ndarray) -> np.ndarray:
+        """The unused documents that have any of the terms, best BM25 score first (ties: the earlier one)."""
         spans = [slice(self.begin[t], self.begin[t + 1]) for t in terms]
         doc = np.concatenate([self.doc[s] for s in spans])
-        weight = np.concatenate([self.weight[s] for s in spans])
-        free = ~used[doc]
-        doc, inverse = np.unique(doc[free], return_inverse=True)
-        score = np.bincount(inverse, weights=weight[free], minlength=len(doc))
-        return doc[np.lexsort((doc, -score))[:NEIGHBOURS]]
+        score = np.bincount(doc, weights=np.concatenate([self.weight[s] for s in spans]), minlength=self.size)
+        score[used] = 0
+        found = np.flatnonzero(score)
+        return found[np.argsort(-score[found], kind="stable")]
+
+    def neighbours(self, seed: int, used: np.ndarray) -> Iterator[int]:
+        """The unused neighbours of a seed, best first: those by its QUERY_TERMS rarest shared terms, and when they run out, all
+        that share any term with it. What is returned is taken to be used by then."""
+        terms = self.query[self.query_begin[seed] : self.query_begin[seed + 1]]
+        for some in (terms[:QUERY_TERMS], terms) if len(terms) > QUERY_TERMS else (terms,):
+            if len(some):
+                yield from (d for d in self.scored(some, used).tolist() if not used[d])
 
 
 def pack(bounds: np.ndarray, index: Bm25, window: int) -> np.ndarray:
     """(document row, start, length, sequence, offset) of every piece of a shard.
 
     Sequences are filled to the last token. Each begins with what is left of the document cut before it, or with a new
-    seed, and goes on with the seed's unused neighbours, best first; when they run out, the next unused document is the
-    seed. Only the last sequence isn't full: it is cut into powers of two, which need no padding.
+    seed, and goes on with the seed's unused neighbours, best first, until it is full or no document is left that shares a
+    term with the seed; then the next unused document is the seed. Only the last sequence isn't full: it is cut into
+    powers of two, which need no padding.
     """
     lengths = np.diff(bounds)
     used = np.zeros(len(lengths), bool)
     order: list[int] = []
-    room = window
-    following = 0
-    queue: list[int] = []
+    room, following, queue = window, 0, iter(())
     while len(order) < len(lengths):
-        while queue and used[queue[0]]:
-            queue.pop(0)
-        if queue:
-            doc = queue.pop(0)
-        else:
+        doc = next(queue, None)
+        fresh = doc is None
+        if fresh:
             while used[following]:
                 following += 1
             doc = following
@@ -129,8 +145,8 @@ def pack(bounds: np.ndarray, index: Bm25, window: int) -> np.ndarray:
         order.append(doc)
         over = lengths[doc] >= room
         room = (room - lengths[doc]) % window or window
-        if over or not queue:  # a new window opens: this document, which reaches into it, is its seed
-            queue = index.neighbours(doc, used).tolist()
+        if over or fresh:  # a new window opens, and this document, which reaches into it, is its seed; or a new seed
+            queue = index.neighbours(doc, used)
     order = np.array(order, np.int64)
     ends = np.cumsum(lengths[order])
     total = int(ends[-1]) if len(ends) else 0
@@ -152,17 +168,24 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = 2048, end_id:
     """The pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of all documents in sequences of at most
     `window` tokens.
 
-    Documents are tokenized once and stored. Document frequencies are counted over all of them; then each shard, a bounded
-    share of the tokens chosen by hash, is indexed and packed by one task. A document longer than the window fills
-    sequences of its own. Null and empty texts are the end id alone; repeated rows and null ids are packed like others;
-    empty input gives no pieces.
+    Documents are tokenized once and stored. Document frequencies are counted over all of them; then each shard, about
+    SHARD_TOKENS tokens, is indexed and packed by one task. Documents of one key, which like texts share, go to one shard;
+    keys with more than a part of a shard's tokens are salted. Neighbours are looked for within the shard. A document longer
+    than the window fills sequences of its own. Null and empty texts are the end id alone; repeated rows and null ids are
+    packed like others; further columns are not looked at; empty input gives no pieces.
     """
     rows = token_rows(docs, tokenizer, end_id, id_col, text_col)
     df, n_docs, n_tokens = document_frequencies(rows)
     count = max(1, -(-n_tokens // SHARD_TOKENS))
     mean = n_tokens / max(1, n_docs)
     shared = docs.sparkSession.sparkContext.broadcast(df)  # 2^16 numbers
-    dealt = rows.withColumn("row_no", F.monotonically_increasing_id()).withColumn("shard", F.pmod(F.xxhash64("doc_id", "row_no"), F.lit(count)).cast("int"))
+    part = max(1, SHARD_TOKENS // HOT_PARTS)
+    hot = rows.groupBy(F.col("key").alias("key_")).agg(F.sum("n").alias("n_")).where(F.col("n_") > part)
+    hot = common.written(hot.select("key_", F.ceil(F.col("n_") / part).cast("long").alias("spread")), "hot-keys")
+    hot = common.maybe_broadcast(hot, hot.count())
+    salt = F.coalesce(F.pmod(F.xxhash64("row_no"), F.col("spread")), F.lit(0))
+    numbered = rows.withColumn("row_no", F.monotonically_increasing_id()).join(hot, F.col("key") == F.col("key_"), "left")
+    dealt = numbered.select("doc_id", "row_no", "n", "ids", F.pmod(F.xxhash64("key", salt), F.lit(count)).cast("int").alias("shard"))
 
     def packed(table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending"), ("row_no", "ascending")])
@@ -175,6 +198,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = 2048, end_id:
         shard = table.column("shard")[0].as_py()
         doc_ids = table.column("doc_id").combine_chunks().take(pa.array(pieces[:, 0]))
         lengths = np.diff(bounds)[pieces[:, 0]]
+        common.give_back()
         values = [doc_ids, pieces[:, 1], pieces[:, 2], np.array(crcs, np.int64), lengths, (shard << 32) + pieces[:, 3], pieces[:, 4]]
         return pa.table([pa.array(v) for v in values], [c.split()[0] for c in PIECES.split(", ")])
 
