@@ -18,7 +18,7 @@ SHARD_TOKENS = 2 << 20
 K1, B, QUERY_TERMS = 1.2, 0.75, 12
 #: Parts of a shard's tokens above which documents of one key are dealt to several shards.
 HOT_PARTS = 4
-_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+_MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -44,14 +44,16 @@ def token_rows(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "
 
 
 def least_hashes(ids: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """The least hash of two ids in turn of each text, none of which is empty; a text of one id has the largest number."""
-    x = ids.astype(np.uint64)
-    x[:-1] = x[:-1] * _MIX[0] + x[1:] * _MIX[1]
-    x ^= x >> np.uint64(29)
+    """The least hash, of 32 bits, of two ids in turn of each text, none of which is empty; a text of one id has the largest."""
+    if len(cuts) < 2:
+        return np.zeros(0, np.int64)
+    x = ids.astype(np.uint32)
+    x[:-1] *= _MIX[0]
+    x[:-1] += x[1:] * _MIX[1]
+    x ^= x >> np.uint32(15)
     x *= _MIX[2]
-    x >>= np.uint64(1)
-    x[cuts[1:] - 1] = np.iinfo(np.int64).max
-    return np.minimum.reduceat(x, cuts[:-1]).view(np.int64) if len(cuts) > 1 else np.zeros(0, np.int64)
+    x[cuts[1:] - 1] = np.iinfo(np.uint32).max
+    return np.minimum.reduceat(x, cuts[:-1]).astype(np.int64)
 
 
 def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int, int]:
@@ -60,10 +62,11 @@ def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int, int]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            ids, bounds = flat(batch.column(0))
-            row = np.repeat(np.arange(batch.num_rows), np.diff(bounds))
-            pairs = np.unique((row << 16) | ids)
-            total += np.bincount(pairs & 0xFFFF, minlength=1 << 16)
+            for first in range(0, batch.num_rows, 1 << 15):  # a row's number and an id fit 32 bits
+                ids, bounds = flat(batch.column(0).slice(first, 1 << 15), np.int32)
+                pairs = np.sort(np.repeat(np.arange(len(bounds) - 1, dtype=np.int32) << 16, np.diff(bounds)) | ids)
+                pairs = pairs[np.flatnonzero(np.diff(pairs, prepend=-1))]
+                total += np.bincount(pairs & 0xFFFF, minlength=1 << 16)
         common.give_back()
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen])], ["id", "n"])
@@ -76,11 +79,11 @@ def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int, int]:
     return df, sums.docs, sums.tokens
 
 
-def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def flat(column: pa.Array, kind=np.int64) -> tuple[np.ndarray, np.ndarray]:
     """All 16-bit ids of a binary column, and where each row's begin."""
     bounds = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) // 2 if len(column) else np.zeros(1, np.int64)
     data = np.frombuffer(column.buffers()[2], "<u2")[bounds[0] : bounds[-1]] if bounds[-1] > bounds[0] else np.zeros(0, "<u2")
-    return data.astype(np.int64), bounds - bounds[0]
+    return data.astype(kind), bounds - bounds[0]
 
 
 class Bm25:
@@ -89,9 +92,9 @@ class Bm25:
     def __init__(self, ids: np.ndarray, bounds: np.ndarray, df: np.ndarray, docs: int, mean: float):
         lengths = np.diff(bounds)
         self.size = len(lengths)
-        row = np.repeat(np.arange(self.size), lengths)
-        pairs, tf = np.unique((ids << 32) | row, return_counts=True)
-        term, self.doc = (pairs >> 32).astype(np.int32), (pairs & 0xFFFFFFFF).astype(np.int32)
+        bits, kind = (15, np.int32) if self.size <= 1 << 15 else (32, np.int64)
+        pairs, tf = np.unique((ids.astype(kind) << bits) | np.repeat(np.arange(self.size, dtype=kind), lengths), return_counts=True)
+        term, self.doc = (pairs >> bits).astype(np.int32), (pairs & ((1 << bits) - 1)).astype(np.int32)
         idf = np.log1p((docs - df + 0.5) / (df + 0.5))
         self.weight = (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.doc] / max(mean, 1)))).astype(np.float32)
         self.begin = np.searchsorted(term, np.arange((1 << 16) + 1))

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Chunks in each of a worker's two generations, about 150 bytes each; a full younger one takes the older one's place.
-CACHE_CHUNKS = 150_000
+CACHE_CHUNKS = 200_000
 #: Bytes of text that are cut and encoded at once.
 SLICE_BYTES = 4 << 20
 #: Letters that normal form C leaves alone and that are lower-cased one by one.
