@@ -25,6 +25,8 @@ HELD_PAIRS = 1 << 20
 #: Bands of a shingle set's signature and minimum hashes of a band. A pair of Jaccard similarity s shares no band with
 #: probability (1 - s**4)**32: 5e-8 at 0.8, 1e-15 at 0.9.
 SET_BANDS, BAND_ROWS = 32, 4
+#: Sets of a block, about, of which a task holds two at once; elements of the sets that a task works through.
+BLOCK_SETS, TASK_ELEMENTS = 512, 1 << 20
 
 
 def shingle_hashes(text: str, size: int = 3) -> tuple[Column, Column]:
@@ -297,13 +299,76 @@ def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.join(of("a"), "a").join(of("b"), "b").where(both >= F.lit(least) * (F.size("xa") + F.size("xb") - both)).select("a", "b")
 
 
+def cross_links(open_: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(a, b): links between sets of different roots in one bucket, by exact Jaccard similarity; enough of them to join what all
+    such pairs join. open_: (key, node, n, root, blocks).
+
+    A bucket's sets are dealt to blocks of about BLOCK_SETS, and each two blocks meet in a cell: a set is copied once for
+    each block of its bucket, pairs are held against each other inside a task, and no more links leave a cell than it has sets.
+    """
+    elements = open_.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0
+    tasks = max(1, -(-elements // TASK_ELEMENTS))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.xxhash64("key", F.least(own, o), F.greatest(own, o)))
+    placed = open_.join(sets, "node").select(F.explode(cells).alias("cell"), "node", "root", "x")
+    placed = placed.withColumn("task", F.pmod(F.xxhash64("cell"), F.lit(tasks)).cast("int"))
+
+    def linked(table: pa.Table) -> pa.Table:
+        cell, node, root = (table.column(c).to_numpy() for c in ("cell", "node", "root"))
+        lists = table.column("x").combine_chunks()
+        values, size = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        begin = np.cumsum(size) - size
+        order = np.lexsort((node, cell))
+        cuts = np.append(np.flatnonzero(np.append(True, cell[order][1:] != cell[order][:-1])), len(order))
+        found = []
+        for first, last in zip(cuts[:-1], cuts[1:]):
+            rows = order[first:last]
+            if len(np.unique(root[rows])) < 2:
+                continue
+            i, j = np.nonzero(np.triu(similarities([values[begin[r] : begin[r] + size[r]] for r in rows]) >= least, 1))
+            apart = root[rows[i]] != root[rows[j]]
+            i, j = rows[i[apart]], rows[j[apart]]
+            _, code = np.unique(root[rows], return_inverse=True)
+            of_row = dict(zip(rows.tolist(), code.tolist()))
+            label = np.arange(code.max() + 1)
+            for x, y in zip(i.tolist(), j.tolist()):  # a link is kept if it joins what earlier ones left apart
+                p, q = label[of_row[x]], label[of_row[y]]
+                if p != q:
+                    label[label == q] = p
+                    found.append((max(node[x], node[y]), min(node[x], node[y])))
+        common.give_back()
+        pairs = np.array(found, np.int64).reshape(-1, 2)
+        return pa.table([pairs[:, 0], pairs[:, 1]], ["a", "b"])
+
+    return placed.groupBy("task").applyInArrow(linked, "a long, b long").distinct()
+
+
+def similarities(sets: list[np.ndarray]) -> np.ndarray:
+    """The Jaccard similarity of every two of some sets of distinct numbers, none of them empty."""
+    size = np.array([len(x) for x in sets])
+    own = np.repeat(np.arange(len(sets)), size)
+    _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(count > 1)
+    place = np.full(len(count), -1)
+    place[shared] = np.arange(len(shared))
+    own, column = own[place[code] >= 0], place[code][place[code] >= 0]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for lo in range(0, len(shared), 4_096):
+        some = (column >= lo) & (column < lo + 4_096)
+        page = np.zeros((len(sets), min(4_096, len(shared) - lo)), np.float32)
+        page[own[some], column[some] - lo] = 1
+        both += page @ page.T
+    return both / (size[:, None] + size[None, :] - both)
+
+
 def near_sets(docs: DataFrame, size: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, h, root): documents whose sets of `size`-word shingles have a Jaccard similarity of at least `least` are linked;
     root stands for the documents that links reach.
 
     Equal sets are one point. Candidates share a band of their signatures, and each link is checked on the sets
     themselves. First the points of a bucket are held against its smallest and its largest, so that a group of copies
-    has links in proportion to its points; then all pairs of a bucket that no links join yet are.
+    has links in proportion to its points; then those of a bucket that no links join yet are held against each other in
+    blocks: see cross_links().
     """
     found = common.written(signatures(docs, size, id_col, text_col), "signatures")
     points = found.groupBy("node").agg(F.first(F.struct("id", "h", "n", "bands")).alias("r")).select("node", "r.*").where("n > 0")
@@ -328,12 +393,9 @@ def near_sets(docs: DataFrame, size: int = 5, least: float = 0.8, id_col: str =
     of_node = classes(linked)
 
     open_ = placed.join(of_node, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-    mixed = open_.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    open_ = common.written(open_.join(mixed, "key", "left_semi"), "open-buckets")
-    x, y = open_.alias("x"), open_.alias("y")
-    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.node") > F.col("y.node")) & alike(F.col("x.n"), F.col("y.n"))
-    rest = x.join(y, apart).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = common.written(similar(rest, sets, least), "similar")
+    mixed = open_.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m")).where("low <> high").select("key", F.ceil(F.col("m") / BLOCK_SETS).cast("int").alias("blocks"))
+    open_ = common.written(open_.join(mixed, "key"), "open-buckets")
+    more = common.written(cross_links(open_, sets, least), "similar")
     if not more.isEmpty():
         of_node = classes(linked.unionByName(more))
     return found.join(of_node, "node", "left").select(F.col("id").alias(id_col), "h", F.coalesce("root", "node").alias("root"))

@@ -47,9 +47,9 @@ def least_hashes(ids: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     """The least hash, of 32 bits, of two ids in turn of each text, none of which is empty; a text of one id has the largest."""
     if len(cuts) < 2:
         return np.zeros(0, np.int64)
-    x = ids.astype(np.uint32)
-    x[:-1] *= _MIX[0]
-    x[:-1] += x[1:] * _MIX[1]
+    y = ids.astype(np.uint32)
+    x = y * _MIX[0]
+    x[:-1] += y[1:] * _MIX[1]
     x ^= x >> np.uint32(15)
     x *= _MIX[2]
     x[cuts[1:] - 1] = np.iinfo(np.uint32).max

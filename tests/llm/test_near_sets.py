@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pytest
+
 import corpus_pipeline
 
 from graphlake.llm import near_dedup
@@ -37,7 +40,10 @@ def test_planted_copies_go(spark):
     assert got == {i for i in range(len(texts)) if i >= 2 * len(pairs) or i % 2 == 0}
 
 
-def test_near_sets_equal_brute_force(spark):
+@pytest.mark.parametrize("block", [512, 3])
+def test_near_sets_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dedup, "BLOCK_SETS", block)
+    monkeypatch.setattr(near_dedup, "TASK_ELEMENTS", 3_000)
     rng = random.Random(9)
     base = [[f"w{rng.randrange(10**6)}" for _ in range(rng.randint(1, 250))] for _ in range(12)]
     texts = [" ".join(x if rng.random() > rate else "new" for x in b) for b in base for rate in (0, 0, 0.01, 0.02, 0.03, 0.04, 0.05) for _ in range(2)] + [None, "", " "]
@@ -49,3 +55,13 @@ def test_near_sets_equal_brute_force(spark):
     root = {r.doc_id: r.root for r in near_dedup.near_sets(docs(spark, texts)).collect()}
     assert len(root) == len(texts)
     assert all((root[i] == root[j]) == (label[i] == label[j]) for i in range(len(texts)) for j in range(i))
+
+
+def test_similarities_equal_set_arithmetic():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 9_000, n)) for n in (1, 5, 40, 6_000, 7_000, 7_000)]
+    sets += [sets[4], np.append(sets[2], 10**9)]
+    got = near_dedup.similarities(sets)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            assert i == j or abs(got[i, j] - jaccard(set(a.tolist()), set(b.tolist()))) < 1e-6
