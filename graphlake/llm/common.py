@@ -47,7 +47,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def arrow_batches(spark: SparkSession, megabytes: int = 8) -> None:
     """Bounds the Arrow batches that go to Python by bytes as well as by rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(500 * megabytes))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
 
 

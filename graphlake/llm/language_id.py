@@ -90,7 +90,7 @@ def learn(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
     often as they occur, null ids are like others, further columns are not looked at; no rows: no prototypes.
     """
     spark = docs.sparkSession
-    common.arrow_batches(spark)
+    common.arrow_batches(spark, 2)
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     draw = F.pmod(F.xxhash64(id_col, F.octet_length(text_col)), F.lit(1_000_000)) / F.lit(1_000_000)
     labelled = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), draw.alias("draw"))
@@ -122,7 +122,7 @@ def learn(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
 def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", keep: list[str] = ()) -> DataFrame:
     """(id, the columns in keep, lang_pred, score): the language of largest cosine with the document's vector, and that cosine,
     0 at least. Ties go to the first name. Null texts and texts without a letter, or no prototypes: `und`, 0."""
-    common.arrow_batches(docs.sparkSession)
+    common.arrow_batches(docs.sparkSession, 2)
     names = list(prototypes)
     units = np.array([v / (np.linalg.norm(v) or 1) for v in prototypes.values()], np.float32).reshape(len(names), DIMENSIONS)
     columns = [id_col, *keep]

@@ -42,7 +42,7 @@ def shingle_hashes(text: str, size: int = 3) -> tuple[Column, Column]:
 
 def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp long): a bit is 1 if it is 1 in over half the shingle hashes, repeats included. No words or null: 0."""
-    common.arrow_batches(docs.sparkSession)
+    common.arrow_batches(docs.sparkSession, 4)
     w, hashes = shingle_hashes(text_col, size)
     hashed = docs.select(F.col(id_col).alias("id"), w.alias("w")).select("id", hashes.alias("h"))
     kind = docs.schema[id_col].dataType.simpleString()
@@ -258,7 +258,7 @@ def signatures(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str
     """(id, h, node, n, bands): h tells texts of one id apart, node stands for the set of a text's shingles, n is their
     number, and two sets share each of the bands' keys with probability s**BAND_ROWS. No words or null: node 0, no bands.
     """
-    common.arrow_batches(docs.sparkSession)
+    common.arrow_batches(docs.sparkSession, 4)
     w, hashes = shingle_hashes(text_col, size)
     hashed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), w.alias("w")).select("id", "h", hashes.alias("x"))
     kind = docs.schema[id_col].dataType.simpleString()

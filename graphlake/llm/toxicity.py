@@ -178,7 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, labe
     labels alone: see severity(); a quality_col that labels lacks counts as none. Null labels and ids are passed over; of
     several labels of an id the worst holds; each row of a repeated id counts; other columns are not looked at."""
     spark = docs.sparkSession
-    common.arrow_batches(spark)
+    common.arrow_batches(spark, 2)
     graded = severity(label_col, quality_col if quality_col in labels.columns else None)
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id_")).agg(F.max(graded).alias("label_"))
     n = known.count()
@@ -199,7 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, labe
                 cuts = total[np.searchsorted(row, np.arange(n_rows + 1))]
                 lists = pa.array([marks[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n_rows).cast(pa.int32()), lists], ["label", "f"])
-        common.give_back()
+            common.give_back()
 
     def fitted(table: pa.Table) -> pa.Table:
         table = table.sort_by([("f", "ascending"), ("label", "ascending")])
@@ -225,7 +225,7 @@ def grade(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
     A word counts once a text. Null and empty texts have no features; a model without cuts gives 0 and false. Rows and ids
     may repeat or be null: each row has one result; further columns are not looked at.
     """
-    common.arrow_batches(docs.sparkSession)
+    common.arrow_batches(docs.sparkSession, 2)
     columns = [id_col, *keep]
     sent = columns if text_col in columns else [*columns, text_col]
     at = sent.index(text_col)
@@ -246,7 +246,7 @@ def grade(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
             above = model.above(scores) if len(model.cuts) else np.zeros((batch.num_rows, 1))
             out = [pa.array(above.sum(axis=1)), pa.array(above[:, 0]), pa.array((above >= DECIDED).sum(axis=1).astype(np.int32)), pa.array(above[:, 0] >= DECIDED)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], *out], [*columns, "severity", "p_toxic", "grade", "toxic"])
+            common.give_back()
         cache.clear()
-        common.give_back()
 
     return docs.select(*sent).mapInArrow(score, schema)
