@@ -21,10 +21,14 @@ def keyword_score(query: Column, text: Column) -> Column:
     return F.when(F.size(q) == 0, 0.0).otherwise(F.size(F.array_intersect(q, tokens(text))) / F.size(q))
 
 
+def overlap_of(x, y) -> Column:
+    """token_overlap of two arrays of distinct tokens."""
+    return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(F.size(F.array_intersect(x, y)) / F.greatest(F.size(x), F.size(y)))
+
+
 def token_overlap(a: Column, b: Column) -> Column:
     """Shared tokens over the larger of the two token counts; 0 when either has none."""
-    x, y = tokens(a), tokens(b)
-    return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(F.size(F.array_intersect(x, y)) / F.greatest(F.size(x), F.size(y)))
+    return overlap_of(tokens(a), tokens(b))
 
 
 def jaccard(a: Column, b: Column) -> Column:

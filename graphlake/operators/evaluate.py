@@ -34,8 +34,37 @@ def not_found(text: Column, wanted: Column) -> Column:
     return F.filter(wanted, lambda w: ~F.contains(low, F.lower(w)))
 
 
-def aggregate_score(faithfulness: Column, relevance: Column, precision: Column, recall: Column) -> Column:
-    return 0.3 * faithfulness + 0.3 * relevance + 0.2 * precision + 0.2 * recall
+#: The weights of an answer's score.
+WEIGHTS = {"faithfulness": 0.3, "answer_relevance": 0.3, "context_precision": 0.2, "keyword_score": 0.2}
+METRICS = [*WEIGHTS, "context_recall", "ground_truth_overlap", "aggregate_score"]
+
+
+def answer_metrics(rows: DataFrame, question: str, answer: str, contexts: str, entities: str, keywords: str, truth: str) -> DataFrame:
+    """rows and METRICS, each to 3 digits: the share of the answer's tokens that the contexts have; overlap of question and answer;
+    share of the entities inside the contexts and of the keywords inside the answer; overlap of contexts and of answer with
+    the truth, null where there is none; and the weighted sum of the first four. Texts are tokenized once."""
+    both = F.concat_ws(" ", contexts)
+    words = {name: T.tokens(c) for name, c in (("q_", F.col(question)), ("a_", F.col(answer)), ("c_", both), ("t_", F.col(truth)))}
+    held = rows.select("*", *[c.alias(n) for n, c in words.items()], share_found(both, F.col(entities)).alias("p_"), share_found(F.coalesce(answer, F.lit("")), F.col(keywords)).alias("k_"))
+    grounded = F.when(F.size("a_") == 0, 0.0).otherwise(F.size(F.array_intersect("a_", "c_")) / F.size("a_"))
+    known = lambda c: F.when(F.col(truth) != "", c)
+    values = [grounded, T.overlap_of("q_", "a_"), F.col("p_"), F.col("k_"), known(T.overlap_of("c_", "t_")), known(T.overlap_of("a_", "t_"))]
+    raw = held.select(*rows.columns, *[v.alias(f"{m}_") for m, v in zip(METRICS, values)])
+    total = sum((w * F.col(f"{m}_") for m, w in WEIGHTS.items()), F.lit(0.0))
+    # a billionth keeps halves on one side
+    return raw.select(*rows.columns, *[F.round(v + 1e-9, 3).alias(m) for m, v in zip(METRICS, [*(F.col(f"{m}_") for m in METRICS[:-1]), total])])
+
+
+def metric_means(rows: DataFrame, category: str, metrics: list[str]) -> DataFrame:
+    """(category, metric, n, mean, gate_failed): means of each metric by category and, as `all`, over all; a metric with a least
+    mean in GATES fails its gate below it."""
+    held = rows.rollup(category).agg(*[F.struct(F.count(m).alias("n"), F.avg(m).alias("mean")).alias(m) for m in metrics])
+    gate = F.lit(None).cast("double")
+    for metric, least in GATES.items():
+        gate = F.when(F.col("metric") == metric, least).otherwise(gate)
+    flat = held.select(F.coalesce(category, F.lit("all")).alias("category"), F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in metrics])).alias("x"))
+    flat = flat.select("category", "x.metric", "x.v.n", F.round("x.v.mean", 6).alias("mean"))
+    return flat.withColumn("gate_failed", F.coalesce(F.col("mean") < gate, F.lit(False)))
 
 
 def truth_checks(answer: Column, must: Column, forbidden: Column, count: Column, low: Column, high: Column) -> Column:
@@ -103,7 +132,9 @@ def distribution(domains: DataFrame, column: str, classes: list[str]) -> DataFra
 
 def chi_square(counts: DataFrame, classes: int) -> DataFrame:
     """counts (n): the statistic against a uniform spread, its p-value (closed form for even degrees of freedom), Cramer's V,
-    and whether every class expects 5 at least."""
+    and whether every class expects 5 at least. An even number of classes has no such form: ValueError."""
+    if classes % 2 == 0:
+        raise ValueError(f"{classes} classes have odd degrees of freedom, whose p-value has no closed form")
     sums = counts.agg(F.sum("n").alias("total"), F.sum(F.col("n").cast("double") * F.col("n")).alias("squares"))
     statistic = F.col("squares") * classes / F.col("total") - F.col("total")
     half = (classes - 1) // 2

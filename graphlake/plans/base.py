@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from graphlake.operators import graph as G
 
@@ -54,10 +55,14 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, answer, expected): each document's text as an answer to the benchmark item its id falls on."""
+    """(query_id, answer, expected, context): each document's text as an answer to the benchmark item of the rank that its id
+    leaves, divided by the number of items; the next item's text is what was retrieved."""
     docs, items = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
-    keyed = docs.select("doc_id", "text", (F.col("doc_id") % 40).alias("item_id"))
-    return keyed.join(items.select("item_id", F.col("text").alias("expected")), "item_id").select(F.col("doc_id").alias("query_id"), F.col("text").alias("answer"), "expected")
+    by_id = Window.orderBy("item_id")
+    first = F.first("text").over(by_id.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    ranked = items.select((F.row_number().over(by_id) - 1).alias("rank"), F.col("text").alias("expected"), F.coalesce(F.lead("text").over(by_id), first).alias("context"))
+    keyed = docs.select(F.col("doc_id").alias("query_id"), F.col("text").alias("answer"), F.pmod("doc_id", F.lit(max(1, items.count()))).alias("rank"))
+    return keyed.join(ranked, "rank").select("query_id", "answer", "expected", "context")
 
 
 #: The same tables in SQL, to be put after WITH.
@@ -68,8 +73,10 @@ NODES = """nodes AS (
 EDGES = """edges AS (
     SELECT 'order-' || o_orderkey AS source, 'customer-' || o_custkey AS target, 'describes' AS type, o_orderkey AS pos FROM orders
     UNION ALL SELECT DISTINCT 'order-' || l_orderkey, 'part-' || l_partkey, 'contains', l_partkey FROM lineitem)"""
-ANSWERS = """answers AS (
-    SELECT doc_id AS query_id, d.text AS answer, b.text AS expected FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id)"""
+ANSWERS = """items AS (
+    SELECT row_number() OVER (ORDER BY item_id) - 1 AS rank, text AS expected, coalesce(lead(text) OVER (ORDER BY item_id), first_value(text) OVER (ORDER BY item_id)) AS context FROM benchmark),
+answers AS (
+    SELECT doc_id AS query_id, d.text AS answer, expected, context FROM documents d JOIN items ON d.doc_id % (SELECT count(*) FROM benchmark) = rank)"""
 TOKENS = r"list_distinct(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+'))"
 
 

@@ -40,28 +40,48 @@ def q_keyword_missing(spark, sf):
     return answers(spark, sf).select("query_id", F.array_join(E.not_found(F.col("answer"), _wanted()), "|").alias("missing"))
 
 
-@query(f"WITH {ANSWERS} SELECT query_id, round(0.3 * ({_SHARE}) + 0.3 * ({_OVERLAP}) + 0.2 * ({_FOUND}) + 0.2 * ({_OVERLAP}), 5) AS score FROM answers")
-def q_eval_score(spark, sf):
-    return _scored(spark, sf).select("query_id", F.round("score", 5).alias("score"))
+def _scored(spark, sf):
+    """The question is an item's first eight words, the entities its first four, the keywords the four after them."""
+    words = F.split("expected", " ")
+    some = lambda first, n: F.filter(F.slice(words, first, n), lambda w: w != "")
+    rows = answers(spark, sf).select("query_id", "answer", "expected", F.array("context").alias("contexts"), F.array_join(F.slice(words, 1, 8), " ").alias("question"), some(1, 4).alias("entities"), some(5, 4).alias("keywords"))
+    return E.answer_metrics(rows, "question", "answer", "contexts", "entities", "keywords", "expected")
 
 
-def _scored(spark, sf):
-    from graphlake.functions import text as T
+def _inside(text, words):
+    return f"CASE WHEN len({words}) = 0 THEN 1.0 ELSE CAST(len(list_filter({words}, lambda w: contains(lower({text}), lower(w)))) AS DOUBLE) / len({words}) END"
+
+
+def _overlap(x, y):
+    return f"CASE WHEN len({x}) = 0 OR len({y}) = 0 THEN 0.0 ELSE CAST(len(list_intersect({x}, {y})) AS DOUBLE) / greatest(len({x}), len({y})) END"
+
+
+_METRICS = f"""{ANSWERS}, t AS (
+    SELECT *, {tokens_sql("answer")} AS a, {tokens_sql("context")} AS c, {tokens_sql("expected")} AS e, {tokens_sql("array_to_string(string_split(expected, ' ')[1:8], ' ')")} AS q,
+        list_filter(string_split(expected, ' ')[1:4], lambda w: w <> '') AS entities, list_filter(string_split(expected, ' ')[5:8], lambda w: w <> '') AS keywords FROM answers),
+m AS (
+    SELECT query_id, CASE WHEN len(a) = 0 THEN 0.0 ELSE CAST(len(list_intersect(a, c)) AS DOUBLE) / len(a) END AS f, {_overlap("q", "a")} AS r, {_inside("context", "entities")} AS p,
+        {_inside("answer", "keywords")} AS k, CASE WHEN expected <> '' THEN {_overlap("c", "e")} END AS recall, CASE WHEN expected <> '' THEN {_overlap("a", "e")} END AS truth FROM t),
+scored AS (
+    SELECT query_id, round(f + 1e-9, 3) AS faithfulness, round(r + 1e-9, 3) AS answer_relevance, round(p + 1e-9, 3) AS context_precision, round(k + 1e-9, 3) AS keyword_score,
+        round(recall + 1e-9, 3) AS context_recall, round(truth + 1e-9, 3) AS ground_truth_overlap, round(0.3::DOUBLE * f + 0.3::DOUBLE * r + 0.2::DOUBLE * p + 0.2::DOUBLE * k + 1e-9, 3) AS aggregate_score FROM m)"""
+
+
+@query(f"WITH {_METRICS} SELECT * FROM scored")
+def q_eval_score(spark, sf):
+    return _scored(spark, sf).select("query_id", *E.METRICS)
+
 
-    a, e = F.col("answer"), F.col("expected")
-    overlap = T.token_overlap(a, e)
-    parts = {"faithfulness": E.share_of_tokens(a, F.array(e)), "overlap": overlap, "found": E.share_found(a, _wanted())}
-    rows = answers(spark, sf).select("query_id", *[c.alias(n) for n, c in parts.items()])
-    return rows.withColumn("score", E.aggregate_score(F.col("faithfulness"), F.col("overlap"), F.col("found"), F.col("overlap")))
+_OF_METRIC = " UNION ALL ".join(f"SELECT source, '{m}' AS metric, {m} AS value, {E.GATES.get(m, 'NULL::DOUBLE')} AS least FROM s" for m in [*E.METRICS, "success"])
 
 
-@query(f"""WITH {ANSWERS}, s AS (SELECT source, {_SHARE} AS faithfulness, {_FOUND} AS found FROM answers JOIN documents ON query_id = doc_id)
-    SELECT coalesce(source, 'all') AS category, count(*) AS n, round(avg(faithfulness), 6) AS faithfulness, round(avg(found), 6) AS found, avg(faithfulness) < 0.6 AS gate_failed FROM s GROUP BY ROLLUP (source)""")
+@query(f"""WITH {_METRICS}, s AS (SELECT scored.*, source, CAST(text IS NOT NULL AS INTEGER)::DOUBLE AS success FROM scored JOIN documents ON query_id = doc_id), u AS ({_OF_METRIC})
+    SELECT coalesce(source, 'all') AS category, metric, count(value) AS n, round(avg(value), 6) AS mean, coalesce(round(avg(value), 6) < any_value(least), false) AS gate_failed
+    FROM u GROUP BY GROUPING SETS ((source, metric), (metric))""")
 def q_eval_rollup(spark, sf):
-    """Means by category and over all, and whether the first gate fails."""
-    rows = _scored(spark, sf).join(read(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), "source"), "query_id")
-    held = rows.rollup("source").agg(F.count("*").alias("n"), F.avg("faithfulness").alias("f"), F.avg("found").alias("p"))
-    return held.select(F.coalesce("source", F.lit("all")).alias("category"), "n", F.round("f", 6).alias("faithfulness"), F.round("p", 6).alias("found"), (F.col("f") < E.GATES["faithfulness"]).alias("gate_failed"))
+    """Means of every metric by category and over all, and the gates that fail."""
+    source = read(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), "source", F.col("text").isNotNull().cast("double").alias("success"))
+    return E.metric_means(_scored(spark, sf).join(source, "query_id"), "source", [*E.METRICS, "success"])
 
 
 @query("""SELECT p_partkey, CAST(round(((CASE WHEN contains(p_name, 'small') AND contains(p_name, 'b') THEN 1 ELSE 0 END) + (CASE WHEN contains(p_name, 'hot') THEN 0 ELSE 1 END)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from graphlake.functions import text as T
 from graphlake.operators import graph as G
 from graphlake.operators import retrieval as R
-from graphlake.plans.base import edges, nodes, query, read, tagged, tokens_sql
+from graphlake.plans.base import ANSWERS, answers, edges, nodes, query, read, tagged, tokens_sql
 
 
 def _questions(spark, sf):
@@ -58,11 +58,10 @@ def q_rerank_hybrid(spark, sf):
     return R.rerank(_candidates(spark, sf), 0.7, 0.3, 10).select("query_id", "doc_id", "hybrid", "new_rank")
 
 
-@query(f"SELECT doc_id, round({_KEYWORD}, 6) AS score FROM (SELECT d.doc_id, d.text, b.text AS query_text FROM documents d JOIN benchmark b ON d.doc_id % 40 = item_id)")
+@query(f"WITH {ANSWERS} SELECT doc_id, round({_KEYWORD}, 6) AS score FROM (SELECT query_id AS doc_id, answer AS text, expected AS query_text FROM answers)")
 def q_keyword_score(spark, sf):
-    docs, items = read(spark, sf, "documents"), read(spark, sf, "benchmark")
-    pairs = docs.join(items.select("item_id", F.col("text").alias("query_text")), F.col("doc_id") % 40 == F.col("item_id"))
-    return pairs.select("doc_id", F.round(T.keyword_score(F.col("query_text"), F.col("text")), 6).alias("score"))
+    pairs = answers(spark, sf)
+    return pairs.select(F.col("query_id").alias("doc_id"), F.round(T.keyword_score(F.col("expected"), F.col("answer")), 6).alias("score"))
 
 
 @query("""WITH c AS (SELECT event_id, (event_id % 11) / 10.0::DOUBLE AS c, CASE WHEN event_id % 13 = 0 THEN 7 END AS o, event_type = 'click' AS agg FROM events)

@@ -119,3 +119,32 @@ def test_streams(spark, tmp_path):
     last = max(int(p.name) for p in (tmp_path / "out").iterdir() if p.name.isdigit())
     got = {r.event_type: r.event_id for r in spark.read.parquet(f"{tmp_path}/out/{last}").collect()}
     assert got == {r.event_type: r.m for r in spark.read.parquet(source).groupBy("event_type").agg(F.max("event_id").alias("m")).collect()}
+
+
+def test_answer_metrics_by_hand(spark):
+    rows = spark.createDataFrame(
+        [
+            (1, "What is GR", "GR is gamma ray", ["gamma ray", "log GR"], ["Gamma", "xx"], ["RAY", "zz"], "gamma ray"),
+            (2, "q", "", [], [], [], ""),
+            (3, "depth of well", "the depth of the well", ["well depth is 10 m"], ["well", "10"], ["depth", "of", "well", "sand"], None),
+        ],
+        "id int, q string, a string, c array<string>, e array<string>, k array<string>, t string",
+    )
+    got = {r.id: [r[m] for m in evaluate.METRICS] for r in evaluate.answer_metrics(rows, "q", "a", "c", "e", "k", "t").collect()}
+    # faithfulness, relevance, precision, keywords, recall, overlap with the truth, 0.3 / 0.3 / 0.2 / 0.2 of the first four
+    assert got[1] == [0.75, 0.5, 0.5, 0.5, 0.5, 0.5, 0.575]
+    assert got[2] == [0.0, 0.0, 1.0, 1.0, None, None, 0.4]
+    assert got[3] == [0.5, 0.75, 1.0, 0.75, None, None, 0.725]
+
+
+def test_metric_means_and_gates(spark):
+    rows = spark.createDataFrame([("x", 0.5, 1.0, None), ("x", 0.6, 1.0, 0.25), ("y", 0.9, 0.0, None)], "source string, faithfulness double, success double, context_recall double")
+    got = {(r.category, r.metric): (r.n, r["mean"], r.gate_failed) for r in evaluate.metric_means(rows, "source", ["faithfulness", "success", "context_recall"]).collect()}
+    assert got[("x", "faithfulness")] == (2, 0.55, True) and got[("y", "faithfulness")] == (1, 0.9, False)
+    assert got[("all", "faithfulness")] == (3, 0.666667, False) and got[("all", "success")] == (3, 0.666667, True)
+    assert got[("x", "success")] == (2, 1.0, False) and got[("x", "context_recall")] == (1, 0.25, False) and got[("y", "context_recall")] == (0, None, False)
+
+
+def test_chi_square_of_even_classes_is_refused(spark):
+    with pytest.raises(ValueError):
+        evaluate.chi_square(spark.createDataFrame([(5,)] * 4, "n long"), 4)
