@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +25,8 @@ STEPS, RATE, PENALTY = 400, 0.1, 1e-4
 #: Least probability of a grade, or of a worse one, for a document to be of that grade.
 DECIDED = 0.2
 SLICE_BYTES = 2 << 20
+#: Ranges of hashes that features are chosen by, one after the other.
+PARTS = 32
 #: Words whose weights a worker keeps.
 CACHE_WORDS = 100_000
 SALTS = np.arange(1, 49, 2, dtype=np.int64) * 0x9E3779B97F4A7C1 | 1
@@ -121,6 +124,34 @@ def loss_and_gradient(p: np.ndarray, rows: np.ndarray, column: np.ndarray, y: np
     return float(-np.log(gap).mean()), np.concatenate([grad, [tail[0]], tail[1:] * np.exp(p[n_features + 1 :].clip(-10, 5))])
 
 
+def chosen_features(docs: list[np.ndarray], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features, rows, column): the features that pass the GAIN test, ascending, and each place where a document has one, in the
+    documents' order. Hashes are taken by ranges, PARTS in all, so that working memory is a share of theirs."""
+    starts = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+    flat = np.concatenate(docs) if starts[-1] else np.zeros(0, np.int64)
+    range_ = (flat >> np.int64(48)).astype(np.uint16) // np.uint16(2**15 // PARTS)
+    base, names, places, columns, n = toxic.mean(), [], [], [], 0
+    for part in range(PARTS):
+        at = np.flatnonzero(range_ == part)
+        known, code = np.unique(flat[at], return_inverse=True)
+        row = np.searchsorted(starts, at, side="right") - 1
+        width = max(1, len(known))
+        pairs = np.unique(row * width + code)
+        total = np.bincount(pairs % width, minlength=width)[: len(known)]
+        yes = np.bincount(pairs % width, weights=toxic[pairs // width], minlength=width)[: len(known)]
+        expected = total * base
+        gain = np.where((total >= 2) & (yes > expected), (yes - expected) ** 2 / (expected * (1 - base) + 0.5), 0)
+        chosen = np.flatnonzero(gain >= GAIN)
+        place = np.full(width, -1)
+        place[chosen] = np.arange(n, n + len(chosen))
+        keep = place[code] >= 0
+        names.append(known[chosen]), places.append(at[keep]), columns.append(place[code[keep]])
+        n += len(chosen)
+    at, column = np.concatenate(places), np.concatenate(columns)
+    order = np.argsort(at)
+    return np.concatenate(names), np.searchsorted(starts, at[order], side="right") - 1, column[order]
+
+
 def fit(docs: list[np.ndarray], grades: np.ndarray) -> OrdinalModel:
     """docs: each document's feature hashes, a hash once for each distinct word that has it; grades: 0, 1, 2, ... (a grade that
     no document has is left out of the scale). The weights and the first cut are fitted on grades above 0 against 0, the
@@ -132,21 +163,9 @@ def fit(docs: list[np.ndarray], grades: np.ndarray) -> OrdinalModel:
     n, toxic = len(docs), grades > 0
     if toxic.all() or not toxic.any():
         return OrdinalModel({}, np.array([-20.0 if toxic.all() else 20.0]))
-    rows = np.repeat(np.arange(n), [len(d) for d in docs])
-    known, code = np.unique(np.concatenate(docs) if len(rows) else np.zeros(0, np.int64), return_inverse=True)
-    width = max(1, len(known))
-    pairs = np.unique(rows * width + code)
-    total = np.bincount(pairs % width, minlength=width)[: len(known)]
-    yes = np.bincount(pairs % width, weights=toxic[pairs // width], minlength=width)[: len(known)]
-    expected = total * toxic.mean()
-    gain = np.where((total >= 2) & (yes > expected), (yes - expected) ** 2 / (expected * (1 - toxic.mean()) + 0.5), 0)
-    chosen = np.flatnonzero(gain >= GAIN)
-    place = np.full(width, -1)
-    place[chosen] = np.arange(len(chosen))
-    column, keep = place[code], place[code] >= 0
-    rows, column = rows[keep], column[keep]
+    known, rows, column = chosen_features(docs, toxic)
     scale, y = np.unique(grades, return_inverse=True)
-    levels, k = len(scale) - 1, len(chosen)
+    levels, k = len(scale) - 1, len(known)
     share = np.array([(y > i).mean() for i in range(levels)])
     cuts = np.maximum.accumulate(-np.log(share / (1 - share)) + np.arange(levels) * 1e-3)
     p = np.append(np.zeros(k), cuts[0])
@@ -163,7 +182,7 @@ def fit(docs: list[np.ndarray], grades: np.ndarray) -> OrdinalModel:
             p[:k] = p[:k].clip(0)  # words add severity; the rest of a long text can't take it away
         if levels == 1:
             break
-    return OrdinalModel({int(known[f]): float(x) for f, x in zip(chosen, p) if abs(x) > 1e-3}, cut_points(p, levels))
+    return OrdinalModel({int(f): float(x) for f, x in zip(known, p) if abs(x) > 1e-3}, cut_points(p, levels))
 
 
 def severity(toxic_col: str, quality_col: str | None) -> Column:
@@ -202,8 +221,8 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, labe
             common.give_back()
 
     def fitted(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("f", "ascending"), ("label", "ascending")])
-        model = fit([np.frombuffer(x.as_buffer(), np.int64) for x in table.column("f")], table.column("label").to_numpy())
+        order = pc.sort_indices(table, [("f", "ascending"), ("label", "ascending")])  # texts stay where they are
+        model = fit([np.frombuffer(table["f"][i].as_buffer(), np.int64) for i in order.to_pylist()], table["label"].to_numpy()[order.to_numpy()])
         n = len(model.weights)
         feature = pa.array([*model.weights, *range(len(model.cuts))], pa.int64())
         common.give_back()
