@@ -89,12 +89,33 @@ EXPANSION = ["energy", "production", "subsurface", "formation", "surface water",
 NOT_GLOSSARY = ["well name for", "uwi for", "well id for", "curve", "how many", "measurement", "value of", "data for", "logging", "analysis", "interpretation", "method"]
 GLOSSARY = ["define", "definition", "what is", "what does", "meaning of", "explain", "describe", "clarify", "term", "acronym", "means"]
 
+DOMAIN_ANSWERS = {
+    "nphi_purpose": "NPHI measures neutron porosity (hydrogen content).",
+    "gr_purpose": "Gamma ray (GR) measures natural radioactivity; high GR typically indicates shale.",
+    "rhob_purpose": "RHOB measures bulk density; used with NPHI for porosity analysis.",
+    "neutron_density_crossover": "Neutron–density crossover occurs when NPHI exceeds RHOB-derived porosity; in clean gas-bearing sands this crossover is a common indicator of gas.",
+    "gas_bearing_detection": "Use neutron–density crossover (NPHI greater than density-derived porosity), low density, and supportive resistivity increase to identify gas-bearing zones.",
+    "lithology_tools": "PEF (Photoelectric factor) is the standard tool for lithology identification.",
+}
 DOMAIN_RULES = [
     ("nphi_purpose", ["nphi", "neutron porosity"]), ("gr_purpose", ["gamma ray", "gr"]), ("rhob_purpose", ["rhob", "bulk density", "density log"]),
     ("neutron_density_crossover", ["neutron-density crossover", "neutron density crossover", "crossover pattern"]),
     ("gas_bearing_detection", ["gas-bearing", "gas bearing", "identify gas"]), ("lithology_tools", ["lithology identification", "lithology tool", "photoelectric", "pef"]),
 ]
 
+#: States by abbreviation, in the order they are looked for.
+STATES = {
+    "AL": "Alabama", "AK": "Alaska", "AZ": "Arizona", "AR": "Arkansas", "CA": "California", "CO": "Colorado", "CT": "Connecticut", "DE": "Delaware", "FL": "Florida", "GA": "Georgia",
+    "HI": "Hawaii", "ID": "Idaho", "IL": "Illinois", "IN": "Indiana", "IA": "Iowa", "KS": "Kansas", "KY": "Kentucky", "LA": "Louisiana", "ME": "Maine", "MD": "Maryland",
+    "MA": "Massachusetts", "MI": "Michigan", "MN": "Minnesota", "MS": "Mississippi", "MO": "Missouri", "MT": "Montana", "NE": "Nebraska", "NV": "Nevada", "NH": "New Hampshire", "NJ": "New Jersey",
+    "NM": "New Mexico", "NY": "New York", "NC": "North Carolina", "ND": "North Dakota", "OH": "Ohio", "OK": "Oklahoma", "OR": "Oregon", "PA": "Pennsylvania", "RI": "Rhode Island", "SC": "South Carolina",
+    "SD": "South Dakota", "TN": "Tennessee", "TX": "Texas", "UT": "Utah", "VT": "Vermont", "VA": "Virginia", "WA": "Washington", "WV": "West Virginia", "WI": "Wisconsin", "WY": "Wyoming",
+    "DC": "District of Columbia",
+}
+PLACE_SPLITS = ["NEAR", "AT", "UPSTREAM FROM", "DOWNSTREAM FROM", "UPSTREAM", "DOWNSTREAM", "NORTH OF", "SOUTH OF", "EAST OF", "WEST OF"]
+DIRECTIONS = ["NE", "NW", "SE", "SW", "N", "S", "E", "W", "NORTH", "SOUTH", "EAST", "WEST"]
+PLACE_FEATURES = ["RIVER", "CREEK", "LAKE", "RESERVOIR", "FIELD", "BASIN", "SITE", "STATION", "POINT", "PLANT", "CHANNEL", "FORK", "BRANCH", "MINE", "LAGOON", "CANAL", "STREAM"]
+
 COMPLEXITY_WEIGHTS = {"steps": 0.30, "tools": 0.25, "scope": 0.20, "aggregations": 0.15, "inference": 0.10}
 COMPLEXITY_CAPS = {"steps": 10, "tools": 5, "scope": 10, "aggregations": 5}
 STEP_WORDS = [(2, ["then", "and then", "after", "validate then"]), (1, ["compare", "rank", "sort"]), (1, ["for each", "all wells", "all curves"])]

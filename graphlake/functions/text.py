@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from graphlake.functions import rules
+
 #: A numeric string as the field coercion takes it: no NaN, no infinity, no type suffix.
 NUMERIC = r"^[ ]*[-+]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][-+]?[0-9]+)?[ ]*$"
 
@@ -15,10 +17,14 @@ def tokens(text: Column) -> Column:
     return F.coalesce(found, F.array().cast("array<string>"))
 
 
+def share_of(q, t) -> Column:
+    """keyword_score of two arrays of distinct tokens."""
+    return F.when(F.size(q) == 0, 0.0).otherwise(F.size(F.array_intersect(q, t)) / F.size(q))
+
+
 def keyword_score(query: Column, text: Column) -> Column:
     """Share of the query's tokens that the text has; 0 for a query without tokens."""
-    q = tokens(query)
-    return F.when(F.size(q) == 0, 0.0).otherwise(F.size(F.array_intersect(q, tokens(text))) / F.size(q))
+    return share_of(tokens(query), tokens(text))
 
 
 def overlap_of(x, y) -> Column:
@@ -31,10 +37,14 @@ def token_overlap(a: Column, b: Column) -> Column:
     return overlap_of(tokens(a), tokens(b))
 
 
+def jaccard_of(x, y) -> Column:
+    """jaccard of two arrays of distinct tokens."""
+    common = F.size(F.array_intersect(x, y))
+    return F.coalesce(F.try_divide(common, F.size(x) + F.size(y) - common), F.lit(0.0))
+
+
 def jaccard(a: Column, b: Column) -> Column:
-    x, y = tokens(a), tokens(b)
-    both = F.size(F.array_union(x, y))
-    return F.when(both == 0, 0.0).otherwise(F.size(F.array_intersect(x, y)) / both)
+    return jaccard_of(tokens(a), tokens(b))
 
 
 def first_number(text: Column) -> Column:
@@ -92,6 +102,23 @@ def fingerprint(text: Column) -> Column:
     return F.md5(F.regexp_replace(F.lower(F.trim(text)), r"\s+", " "))
 
 
+def state(place: Column) -> Column:
+    """The US state of a place: by abbreviation as a word of the upper-cased text, in the table's order, else by name."""
+    upper = F.upper(place)
+    short = [F.when(upper.rlike(rf"\b{a}\b"), n) for a, n in rules.STATES.items()]
+    return F.coalesce(*short, *[F.when(F.contains(upper, F.lit(n.upper())), n) for n in rules.STATES.values()])
+
+
+def city(place: Column) -> Column:
+    """The city of a place: what stands after the last NEAR, AT or the like and before a comma with two letters, without words
+    of direction and of water; null where nothing is left."""
+    plain = F.regexp_replace(F.upper(F.trim(place)), r"\([^)]*\)", "")
+    before = F.regexp_replace(plain, r"(?s),\s*[A-Z]{2}\b.*$", "")
+    last = F.element_at(F.split(before, rf"\b(?:{'|'.join(rules.PLACE_SPLITS)})\b"), -1)
+    words = F.filter(F.split(F.replace(last, F.lit("-"), F.lit(" ")), r"\s+"), lambda w: ~w.isin("", *rules.DIRECTIONS, *rules.PLACE_FEATURES))
+    return missing(F.initcap(F.array_join(words, " ")))
+
+
 def joined_values(values: Column) -> Column:
     """One value as it is, up to five with commas, more as their number and the first five."""
     n = F.size(values)

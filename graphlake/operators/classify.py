@@ -47,6 +47,28 @@ def relation(question: Column) -> Column:
     return F.coalesce(matched, F.when(entities(question)["well_id"].isNotNull() & about_curves, "well_to_curves"))
 
 
+def is_relationship(question: Column) -> Column:
+    """Whether a question asks for a relation, by pattern or by a relation word alone."""
+    return relation(question).isNotNull() | has_any(F.lower(question), rules.RELATION_WORDS)
+
+
+def target(question: Column) -> Column:
+    """What the first matching pattern's group names, else the well of a question for its curves; null without either."""
+    q = F.lower(question)
+    named = [F.when(q.rlike(p), F.regexp_extract(q, p, 1)) for _, patterns in rules.RELATION_PATTERNS for p in patterns if "(" in p]
+    about_curves = has_any(q, rules.WELL_CURVE_TERMS) | (has_any(q, ["curve"]) & has_any(q, ["well"]))
+    return F.coalesce(*named, F.when(about_curves, entities(question)["well_id"]))
+
+
+def evidence(question: Column) -> Column:
+    """What the confidence rests on, as texts in the order of the points: pattern, words, two entities at most, both together."""
+    pattern, words = relation(question).isNotNull(), has_any(F.lower(question), rules.RELATION_WORDS)
+    found = entities(question)
+    held = lambda *cs: F.filter(F.array(*cs), lambda x: x.isNotNull())
+    two = F.slice(held(*[F.when(found[k].isNotNull(), f"entity:{k}:+0.1") for k in ("well_id", "curve_name", "site_id")]), 1, 2)
+    return F.concat(held(F.when(pattern, "pattern_match:+0.6"), F.when(words, "keyword_hit:+0.2")), two, held(F.when(pattern & words, "synergy:+0.1")))
+
+
 def relation_confidence(question: Column) -> Column:
     """0.6 for a relation, 0.2 for a relation word, 0.1 for each of two entities at most, 0.1 for relation and word together."""
     yes = lambda c: c.cast("int")
@@ -89,6 +111,16 @@ def scope(question: Column) -> tuple[Column, Column]:
     return ~out, F.when(out, 0.9).when(inside, 0.85).otherwise(0.4)
 
 
+def matched_topics(question: Column) -> Column:
+    """Array of (topic, keyword) that a question matches: those out of scope, or where there are none those in scope."""
+    q = F.lower(question)
+    pairs = lambda table: F.filter(
+        F.array(*[F.when(F.contains(q, F.lit(w.lower())), F.struct(F.lit(t).alias("topic"), F.lit(w).alias("keyword"))) for t, words in table for w in words]), lambda x: x.isNotNull()
+    )
+    out = pairs(rules.OUT_OF_SCOPE)
+    return F.when(F.size(out) > 0, out).otherwise(pairs(rules.IN_SCOPE))
+
+
 def expanded(question: Column) -> Column:
     """The question with three synonyms of each term in it, where expansion helps."""
     q = F.lower(question)
@@ -105,6 +137,11 @@ def domain_rule(question: Column) -> Column:
     return first_rule(F.lower(question), rules.DOMAIN_RULES)
 
 
+def domain_answer(question: Column) -> Column:
+    """The fixed answer of the first domain rule that a question meets, else null."""
+    return first_rule(F.lower(question), [(rules.DOMAIN_ANSWERS[name], phrases) for name, phrases in rules.DOMAIN_RULES])
+
+
 def route(question: Column) -> Column:
     """What answers a question: the first route that takes it."""
     in_scope, _ = scope(question)

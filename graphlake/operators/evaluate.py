@@ -17,9 +17,7 @@ GATES = {"faithfulness": 0.6, "context_precision": 0.7, "keyword_score": 0.6, "s
 
 def share_of_tokens(answer: Column, contexts: Column) -> Column:
     """Share of the answer's tokens that any of the contexts has."""
-    a = T.tokens(answer)
-    union = F.array_distinct(F.flatten(F.transform(contexts, T.tokens)))
-    return F.when(F.size(a) == 0, 0.0).otherwise(F.size(F.array_intersect(a, union)) / F.size(a))
+    return T.share_of(T.tokens(answer), F.array_distinct(F.flatten(F.transform(contexts, T.tokens))))
 
 
 def share_found(text: Column, wanted: Column) -> Column:

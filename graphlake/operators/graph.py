@@ -65,26 +65,41 @@ def parents_of(nodes: DataFrame, edges: DataFrame, children: DataFrame, kind: st
 
 
 def inverted_index(nodes: DataFrame, edges: DataFrame, kind: str, attribute: str) -> DataFrame:
-    """(code, parents, n): upper-cased child codes and how many parents have each, with the first and last of them."""
-    codes = nodes.select(F.col("id").alias("source"), F.upper(F.col("attributes")[attribute]).alias("code")).where("code is not null")
-    pairs = edges.where(F.col("type") == kind).join(codes, "source").select("code", "target").distinct()
+    """(code, n, first, last): upper-cased child codes, how many parents have each, and the first and last of them."""
+    pairs = code_holders(nodes, edges, kind, attribute)
     return pairs.groupBy("code").agg(F.count("*").alias("n"), F.min("target").alias("first"), F.max("target").alias("last"))
 
 
+def code_holders(nodes: DataFrame, edges: DataFrame, kind: str, attribute: str) -> DataFrame:
+    """(code, target): the index itself, one row for each parent that has a child of the upper-cased code; a code that nearly
+    every parent has stays spread over rows."""
+    codes = nodes.select(F.col("id").alias("source"), F.upper(F.col("attributes")[attribute]).alias("code")).where("code is not null")
+    return edges.where(F.col("type") == kind).join(codes, "source").select("code", "target").distinct()
+
+
 def expand(edges: DataFrame, seeds: DataFrame, hops: int = 1, direction: str = "both") -> DataFrame:
     """(seed, node, hop): nodes within `hops` edges of each seed by the shortest way, seeds at hop 0.
 
     A frontier is distinct before it meets the edges, and nodes seen before are left out by an anti join, so a hub is
     followed once a seed. The number of hops is fixed, so one plan holds them all.
     """
-    out, back = edges.select(F.col("source").alias("a"), F.col("target").alias("b")), edges.select(F.col("target").alias("a"), F.col("source").alias("b"))
-    steps = {"out": out, "in": back, "both": out.union(back)}[direction].distinct()
-    seen = seeds.select(F.col("id").alias("seed"), F.col("id").alias("node"), F.lit(0).alias("hop")).distinct()
-    frontier = seen
-    for hop in range(1, hops + 1):
-        reached = frontier.join(steps, frontier["node"] == steps["a"]).select("seed", F.col("b").alias("node")).distinct()
-        frontier = reached.join(seen, ["seed", "node"], "left_anti").withColumn("hop", F.lit(hop))
-        seen = seen.union(frontier)
+    way = {"out": "outgoing", "in": "incoming", "both": None}[direction]
+    asked = seeds.select(F.col("id").alias("query_id"), "id", F.lit(way).cast("string").alias("direction"), F.lit(hops).alias("hops"))
+    return expand_each(edges, asked, hops).withColumnRenamed("query_id", "seed")
+
+
+def expand_each(edges: DataFrame, seeds: DataFrame, most: int = 2) -> DataFrame:
+    """seeds (query_id, id, direction, hops): (query_id, node, hop) within each query's own hops, `most` at most, and direction
+    (outgoing, incoming, or null for both), by the shortest way; seeds are at hop 0. One direction and hops a query."""
+    out = edges.select(F.col("source").alias("a"), F.col("target").alias("b"), F.lit("outgoing").alias("way"))
+    steps = out.union(edges.select(F.col("target").alias("a"), F.col("source").alias("b"), F.lit("incoming").alias("way")))
+    frontier = seeds.select("query_id", F.col("id").alias("node"), "direction", "hops").distinct()
+    seen = frontier.select("query_id", "node", F.lit(0).alias("hop"))
+    for hop in range(1, most + 1):
+        go = frontier.where(F.col("hops") >= hop).join(steps, (F.col("node") == F.col("a")) & (F.col("direction").isNull() | (F.col("direction") == F.col("way"))))
+        reached = go.select("query_id", F.col("b").alias("node"), "direction", "hops").distinct()
+        frontier = reached.join(seen.select("query_id", "node"), ["query_id", "node"], "left_anti").select("query_id", "node", "direction", "hops")
+        seen = seen.union(frontier.select("query_id", "node", F.lit(hop)))
     return seen
 
 

@@ -14,8 +14,8 @@ TOP_K = {"high": 30, "medium": 18, "low": 15}
 WEIGHTS_HIGH, WEIGHTS_LOW = (0.6, 0.4), (0.7, 0.3)
 TRUNCATE, FALLBACK = 15, 5
 FIRST_LIMIT, AGGREGATION_LIMIT, AGGREGATION_CAP = 100, 1000, 5000
-#: Questions that may be broadcast to all vectors; more go in blocks of this size.
-QUESTION_BLOCK = 10_000
+#: Questions, and bytes of their vectors, that may be broadcast to all vectors at once.
+QUESTION_BLOCK, BLOCK_BYTES = 10_000, 16 << 20
 
 
 def norm(v: Column) -> Column:
@@ -26,10 +26,14 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def cosine_of(a: Column, b: Column, n: Column) -> Column:
+    """The cosine of vectors whose norms have the product n; 0 where either is null or zero."""
+    return F.coalesce(F.when(n > 0, dot(a, b) / n), F.lit(0.0))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """0 where either vector is null or zero."""
-    n = norm(a) * norm(b)
-    return F.coalesce(F.when(n > 0, dot(a, b) / n), F.lit(0.0))
+    return cosine_of(a, b, norm(a) * norm(b))
 
 
 def vector_topk(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
@@ -42,19 +46,19 @@ def vector_topk(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
 def vector_topk_batch(vectors: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     """(query_id, vec_id, score, rank): the k best vectors of each question.
 
-    Questions are a stated set, QUESTION_BLOCK at most to a block; a block is broadcast to the vectors, whose tasks keep k
-    rows a question before the shuffle (a window group limit).
+    Questions are a stated set, in blocks of BLOCK_BYTES of vectors and QUESTION_BLOCK rows at most; a block is broadcast to the
+    vectors, whose tasks keep k rows a question before the shuffle (a window group limit). Norms are taken before the join.
     """
-    if (n := questions.count()) > QUESTION_BLOCK:
-        blocks = questions.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(-(-n // QUESTION_BLOCK))))
-        parts = [blocks.where(F.col("block") == b).drop("block") for b in range(-(-n // QUESTION_BLOCK))]
-    else:
-        parts = [questions]
+    size = questions.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("query")), F.lit(0)).alias("width")).first()
+    parts, n = [], max(1, -(-size.n // QUESTION_BLOCK), -(-size.n * size.width * 8 // BLOCK_BYTES))
+    asked, vectors = questions.select("query_id", "query", norm(F.col("query")).alias("qn_")), vectors.select("vec_id", "embedding", norm(F.col("embedding")).alias("vn_"))
+    for b in range(n):
+        parts.append(asked if n == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     out = None
     for part in parts:
         pairs = vectors.join(F.broadcast(part), F.lit(True))
-        scored = pairs.select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("query")), 6).alias("score"))
+        scored = pairs.select("query_id", "vec_id", F.round(cosine_of(F.col("embedding"), F.col("query"), F.col("vn_") * F.col("qn_")), 6).alias("score"))
         ranked = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
         out = ranked if out is None else out.union(ranked)
     return out
@@ -64,11 +68,13 @@ def rerank(candidates: DataFrame, vector_weight: Column | float = 0.7, keyword_w
     """candidates (query_id, rank, query_text, text, ...): adds score and new_rank, the top_k of each query.
 
     score = vector_weight * (1 - (rank - 1) / n) + keyword_weight * keyword score, n the candidates of the query; ties keep
-    the vector order.
+    the vector order. Texts are tokenized once a candidate.
     """
     n = F.count("*").over(Window.partitionBy("query_id"))
-    score = vector_weight * (1 - (F.col("rank") - 1) / n) + keyword_weight * T.keyword_score(F.col("query_text"), F.col("text"))
-    scored = candidates.withColumn("hybrid", F.round(score, 6))
+    words = candidates.withColumn("asked_", T.tokens(F.col("query_text"))).withColumn("held_", T.tokens(F.col("text")))
+    words = words.withColumn("found_", T.share_of("asked_", "held_")).drop("asked_", "held_")
+    score = vector_weight * (1 - (F.col("rank") - 1) / n) + keyword_weight * F.col("found_")
+    scored = words.withColumn("hybrid", F.round(score, 6)).drop("found_")
     order = Window.partitionBy("query_id").orderBy(F.desc("hybrid"), "rank")
     return scored.withColumn("new_rank", F.row_number().over(order)).where(F.col("new_rank") <= top_k)
 
@@ -114,3 +120,32 @@ def filter_with_fallback(ranked: DataFrame, passes: Column, active: Column, limi
 def expansion_stats(before: Column, after: Column) -> Column:
     """After over before; 0 where there was nothing before."""
     return F.coalesce(F.try_divide(after, before), F.lit(0.0))
+
+
+def choose_seeds(found: DataFrame, named: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(query_id, id): the node that a question names, where it names one that exists; else what was retrieved for it.
+
+    found and named are (query_id, id); null ids in named name nothing."""
+    known = named.join(nodes.select("id"), "id", "left_semi").select("query_id", "id")
+    return known.unionByName(found.join(known, "query_id", "left_anti").select("query_id", "id")).distinct()
+
+
+def seed_direction(relation: Column, direction: Column, seed_types: Column) -> Column:
+    """The relation's direction; null, which is both ways, where the seeds already stand at the relation's far end."""
+    far = lambda kind, node: F.coalesce((relation == kind) & F.array_contains(seed_types, node), F.lit(False))
+    return F.when(~(far("well_to_curves", "las_curve") | far("curve_to_well", "las_document")), direction)
+
+
+def generated_text(node_id: Column, kind: Column, attributes: Column) -> Column:
+    """A text of a node without one: its type, its id, and its attributes sorted by name, null and empty ones left out."""
+    held = F.array_sort(F.map_entries(F.map_filter(attributes, lambda k, v: v.isNotNull() & (v != ""))))
+    lines = F.transform(held, lambda e: F.concat(F.lit("  - "), e["key"], F.lit(": "), e["value"]))
+    block = F.when(F.size(attributes) > 0, F.concat(F.array(F.lit("ATTRIBUTES:")), lines)).otherwise(F.array().cast("array<string>"))
+    head = F.array(F.concat(F.lit("ENTITY TYPE: "), F.upper(kind)), F.concat(F.lit("ENTITY ID: "), node_id), F.lit(""))
+    return F.array_join(F.concat(head, block), "\n")
+
+
+def enrich_expanded(reached: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """reached (query_id, id) with the stored text (texts: id, text) or else a generated one; ids that are no node are dropped."""
+    known = reached.join(nodes.select("id", "type", "attributes"), "id").join(texts.select("id", "text"), "id", "left")
+    return known.select("query_id", "id", "type", F.coalesce("text", generated_text(F.col("id"), F.col("type"), F.col("attributes"))).alias("text"))

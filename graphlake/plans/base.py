@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from graphlake.functions import text as T
 from graphlake.operators import graph as G
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,15 +55,19 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, answer, expected, context): each document's text as an answer to the benchmark item of the rank that its id
+def answers(spark: SparkSession, sf_dir: str, words: bool = False) -> DataFrame:
+    """(query_id, answer, expected, context, and with words the tokens of answer and expected, taken once a text before they
+    are joined, as answer_words and expected_words): each document's text as an answer to the benchmark item of the rank that its id
     leaves, divided by the number of items; the next item's text is what was retrieved."""
     docs, items = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
     by_id = Window.orderBy("item_id")
     first = F.first("text").over(by_id.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     ranked = items.select((F.row_number().over(by_id) - 1).alias("rank"), F.col("text").alias("expected"), F.coalesce(F.lead("text").over(by_id), first).alias("context"))
-    keyed = docs.select(F.col("doc_id").alias("query_id"), F.col("text").alias("answer"), F.pmod("doc_id", F.lit(max(1, items.count()))).alias("rank"))
-    return keyed.join(ranked, "rank").select("query_id", "answer", "expected", "context")
+    if words:
+        docs, ranked = docs.withColumn("answer_words", T.tokens(F.col("text"))), ranked.withColumn("expected_words", T.tokens(F.col("expected")))
+    more = ["answer_words", "expected_words"] if words else []
+    keyed = docs.select(*more[:1], F.col("doc_id").alias("query_id"), F.col("text").alias("answer"), F.pmod("doc_id", F.lit(max(1, items.count()))).alias("rank"))
+    return keyed.join(ranked, "rank").select("query_id", "answer", "expected", "context", *more)
 
 
 #: The same tables in SQL, to be put after WITH.

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from graphlake.functions import text as T
 from graphlake.operators import evaluate as E
 from graphlake.operators import metrics as M
 from graphlake.plans.base import ANSWERS, answers, query, read, tokens_sql
@@ -19,7 +20,7 @@ def _wanted():
 
 @query(f"WITH {ANSWERS} SELECT query_id, round({_SHARE}, 6) AS faithfulness FROM answers")
 def q_faithfulness(spark, sf):
-    return answers(spark, sf).select("query_id", F.round(E.share_of_tokens(F.col("answer"), F.array("expected")), 6).alias("faithfulness"))
+    return answers(spark, sf, True).select("query_id", F.round(T.share_of("answer_words", "expected_words"), 6).alias("faithfulness"))
 
 
 @query(f"WITH {ANSWERS} SELECT query_id, round({_FOUND}, 6) AS found FROM answers")
@@ -30,9 +31,7 @@ def q_context_precision(spark, sf):
 
 @query(f"WITH {ANSWERS} SELECT query_id, round({_OVERLAP}, 6) AS recall FROM answers")
 def q_context_recall(spark, sf):
-    from graphlake.functions import text as T
-
-    return answers(spark, sf).select("query_id", F.round(T.token_overlap(F.col("answer"), F.col("expected")), 6).alias("recall"))
+    return answers(spark, sf, True).select("query_id", F.round(T.overlap_of("answer_words", "expected_words"), 6).alias("recall"))
 
 
 @query(f"WITH {ANSWERS} SELECT query_id, array_to_string(list_filter({_WORDS}, lambda w: NOT contains(lower(answer), lower(w))), '|') AS missing FROM answers")

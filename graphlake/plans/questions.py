@@ -52,10 +52,15 @@ _MATCHED = _MATCHED.replace("\\\\", "\\")
 _REL = f"coalesce({_MATCHED}, CASE WHEN {_ENT['well_id']} IS NOT NULL AND ({_any(rules.WELL_CURVE_TERMS)} OR (contains(q, 'curve') AND contains(q, 'well'))) THEN 'well_to_curves' END)"
 
 
-@query(f"WITH {ASKED} SELECT conv_id, turn, {_REL} AS relation, {', '.join(f'{v} AS {n}' for n, v in _ENT.items())} FROM a")
+_ABOUT = f"({_any(rules.WELL_CURVE_TERMS)} OR (contains(q, 'curve') AND contains(q, 'well')))"
+_TARGET = "coalesce(CASE " + " ".join(f"WHEN regexp_matches(q, '{p}') THEN regexp_extract(q, '{p}', 1)" for _, ps in rules.RELATION_PATTERNS for p in ps if "(" in p) + f" END, CASE WHEN {_ABOUT} THEN {_ENT['well_id']} END)"
+_ASKS = f"({_REL} IS NOT NULL OR {_any(rules.RELATION_WORDS)})"
+
+
+@query(f"WITH {ASKED} SELECT conv_id, turn, {_REL} AS relation, {_TARGET} AS target, {_ASKS} AS asks, {', '.join(f'{v} AS {n}' for n, v in _ENT.items())} FROM a")
 def q_classify_rel(spark, sf):
     found = {n: (lambda q, n=n: Q.entities(q)[n]) for n in rules.ENTITY_PATTERNS}
-    return _classified(spark, sf, relation=Q.relation, **found)
+    return _classified(spark, sf, relation=Q.relation, target=Q.target, asks=Q.is_relationship, **found)
 
 
 _CONF = f"""(SELECT CAST(least(10, 6 * p + 2 * w + least(2, n) + p * w) AS DOUBLE) / 10 FROM (SELECT CAST({_REL} IS NOT NULL AS INTEGER) AS p, CAST({_any(rules.RELATION_WORDS)} AS INTEGER) AS w,
@@ -63,17 +68,22 @@ _CONF = f"""(SELECT CAST(least(10, 6 * p + 2 * w + least(2, n) + p * w) AS DOUBL
 _HOPS = "CASE WHEN c >= 0.85 THEN 2 WHEN c >= 0.6 THEN 1 ELSE 0 END"
 
 
-@query(f"""WITH {ASKED}, r AS (SELECT conv_id, turn, {_REL} AS relation, {_CONF} AS c FROM a)
-    SELECT conv_id, turn, c AS confidence, CASE WHEN relation IN ('well_to_curves', 'site_to_measurements') THEN 'incoming' WHEN relation IN ('curve_to_well', 'measurement_to_site') THEN 'outgoing' END AS direction,
+_PATTERN, _WORD = f"{_REL} IS NOT NULL", _any(rules.RELATION_WORDS)
+_TWO = "nullif(array_to_string(list_filter([" + ", ".join(f"CASE WHEN {_ENT[k]} IS NOT NULL THEN 'entity:{k}:+0.1' END" for k in ("well_id", "curve_name", "site_id")) + "], lambda x: x IS NOT NULL)[1:2], ','), '')"
+_EVIDENCE = f"concat_ws(',', CASE WHEN {_PATTERN} THEN 'pattern_match:+0.6' END, CASE WHEN {_WORD} THEN 'keyword_hit:+0.2' END, {_TWO}, CASE WHEN {_PATTERN} AND {_WORD} THEN 'synergy:+0.1' END)"
+
+
+@query(f"""WITH {ASKED}, r AS (SELECT conv_id, turn, {_REL} AS relation, {_CONF} AS c, {_EVIDENCE} AS evidence FROM a)
+    SELECT conv_id, turn, c AS confidence, evidence, CASE WHEN relation IN ('well_to_curves', 'site_to_measurements') THEN 'incoming' WHEN relation IN ('curve_to_well', 'measurement_to_site') THEN 'outgoing' END AS direction,
         CASE WHEN relation LIKE '%well%' THEN 'describes' WHEN relation LIKE '%site%' THEN 'reports_on' END AS edge_type, CASE WHEN relation IS NULL THEN 0 ELSE {_HOPS} END AS hops FROM r""")
 def q_rel_confidence(spark, sf):
     """Confidence of the relation, and how the graph is followed at it."""
     from graphlake.operators import retrieval as R
 
-    found = _classified(spark, sf, relation=Q.relation, confidence=Q.relation_confidence)
+    found = _classified(spark, sf, relation=Q.relation, confidence=Q.relation_confidence, evidence=lambda q: F.array_join(Q.evidence(q), ","))
     direction, kind = Q.traversal(F.col("relation"))
     hops = F.when(F.col("relation").isNull(), 0).otherwise(R.route_params(F.col("confidence"))["hops"])
-    return found.select("conv_id", "turn", "confidence", direction.alias("direction"), kind.alias("edge_type"), hops.alias("hops"))
+    return found.select("conv_id", "turn", "confidence", "evidence", direction.alias("direction"), kind.alias("edge_type"), hops.alias("hops"))
 
 
 @query(f"WITH {ASKED} SELECT conv_id, turn, {_first(rules.ENTITY_WORDS)} AS entity FROM a")
@@ -105,9 +115,14 @@ def q_attribute_rule(spark, sf):
 _OUT, _IN = f"({_first(rules.OUT_OF_SCOPE)} IS NOT NULL)", f"({_first(rules.IN_SCOPE)} IS NOT NULL)"
 
 
-@query(f"WITH {ASKED} SELECT conv_id, turn, NOT {_OUT} AS in_scope, CAST(CASE WHEN {_OUT} THEN 0.9 WHEN {_IN} THEN 0.85 ELSE 0.4 END AS DOUBLE) AS confidence FROM a")
+def _topics(table) -> str:
+    return "array_to_string(list_filter([" + ", ".join(f"CASE WHEN contains(q, '{w.lower()}') THEN '{t}:{w}' END" for t, words in table for w in words) + "], lambda x: x IS NOT NULL), ',')"
+
+
+@query(f"WITH {ASKED} SELECT conv_id, turn, CASE WHEN {_OUT} THEN {_topics(rules.OUT_OF_SCOPE)} ELSE {_topics(rules.IN_SCOPE)} END AS topics, NOT {_OUT} AS in_scope, CAST(CASE WHEN {_OUT} THEN 0.9 WHEN {_IN} THEN 0.85 ELSE 0.4 END AS DOUBLE) AS confidence FROM a")
 def q_scope(spark, sf):
-    return _classified(spark, sf, in_scope=lambda q: Q.scope(q)[0], confidence=lambda q: Q.scope(q)[1])
+    topics = lambda q: F.array_join(F.transform(Q.matched_topics(q), lambda x: F.concat_ws(":", x["topic"], x["keyword"])), ",")
+    return _classified(spark, sf, topics=topics, in_scope=lambda q: Q.scope(q)[0], confidence=lambda q: Q.scope(q)[1])
 
 
 _MORE = ", ".join(f"CASE WHEN contains(q, '{t}') THEN '{' '.join(w)}' END" for t, w in rules.SYNONYMS)
@@ -126,14 +141,17 @@ def q_glossary_flag(spark, sf):
     return _classified(spark, sf, glossary=Q.is_glossary)
 
 
-@query(f"WITH {ASKED} SELECT conv_id, turn, {_first(rules.DOMAIN_RULES)} AS rule FROM a")
+@query(f"WITH {ASKED} SELECT conv_id, turn, {_first(rules.DOMAIN_RULES)} AS rule, {_first([(rules.DOMAIN_ANSWERS[n], p) for n, p in rules.DOMAIN_RULES])} AS answer FROM a")
 def q_domain_rule(spark, sf):
-    return _classified(spark, sf, rule=Q.domain_rule)
+    return _classified(spark, sf, rule=Q.domain_rule, answer=Q.domain_answer)
 
 
-@query(f"""WITH {ASKED} SELECT conv_id, turn, CASE WHEN {_GLOSSARY} THEN 'glossary' WHEN {_OUT} THEN 'out_of_scope'
+_ROUTE = f"""CASE WHEN {_GLOSSARY} THEN 'glossary' WHEN {_OUT} THEN 'out_of_scope'
     WHEN contains(q, 'how many curves') AND regexp_matches(q, '{rules.WELL_ID}') THEN 'curve_count' WHEN contains(q, 'how many wells') THEN 'well_count' WHEN {_CONF} >= 0.6 THEN 'relation'
-    WHEN {_ATTR} IS NOT NULL THEN 'extraction' WHEN {_AGG} IS NOT NULL THEN 'aggregation' WHEN {_first(rules.DOMAIN_RULES)} IS NOT NULL THEN 'rule' ELSE 'fallback' END AS route FROM a""")
+    WHEN {_ATTR} IS NOT NULL THEN 'extraction' WHEN {_AGG} IS NOT NULL THEN 'aggregation' WHEN {_first(rules.DOMAIN_RULES)} IS NOT NULL THEN 'rule' ELSE 'fallback' END"""
+
+
+@query(f"WITH {ASKED} SELECT conv_id, turn, {_ROUTE} AS route FROM a")
 def q_route(spark, sf):
     return _classified(spark, sf, route=Q.route)
 

@@ -3,36 +3,35 @@
 from pyspark.sql import functions as F
 
 from graphlake.functions import text as T
+from graphlake.operators import classify as Q
 from graphlake.operators import graph as G
 from graphlake.operators import retrieval as R
-from graphlake.plans.base import ANSWERS, answers, edges, nodes, query, read, tagged, tokens_sql
+from graphlake.plans import questions as P
+from graphlake.plans.base import ANSWERS, EDGES, NODES, answers, edges, nodes, query, read, tagged, tokens_sql
 
 
 def _questions(spark, sf):
-    """Vectors below 5 as questions, with the text of the document of the same number."""
-    vectors, docs = read(spark, sf, "embeddings").where("vec_id < 5"), read(spark, sf, "documents")
+    """Every twentieth vector as a question, with the text of the document of the same number."""
+    vectors, docs = read(spark, sf, "embeddings").where("vec_id % 20 = 0"), read(spark, sf, "documents")
     return vectors.join(docs, F.col("vec_id") == F.col("doc_id")).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.col("text").alias("query_text"))
 
 
 _COS = """round(list_dot_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[])) / (sqrt(list_dot_product(CAST({a} AS DOUBLE[]), CAST({a} AS DOUBLE[]))) * sqrt(list_dot_product(CAST({b} AS DOUBLE[]), CAST({b} AS DOUBLE[])))), 6)"""
-_BATCH = f"""questions AS (SELECT vec_id AS query_id, embedding AS query, text AS query_text FROM embeddings JOIN documents ON vec_id = doc_id WHERE vec_id < 5),
+_BATCH = f"""questions AS (SELECT vec_id AS query_id, embedding AS query, text AS query_text FROM embeddings JOIN documents ON vec_id = doc_id WHERE vec_id % 20 = 0),
     scored AS (SELECT query_id, query_text, vec_id, {_COS.format(a="v.embedding", b="q.query")} AS score FROM embeddings v, questions q),
     ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)"""
 
 
-@query(f"WITH {_BATCH} SELECT vec_id, score FROM scored WHERE query_id = 0 ORDER BY score DESC, vec_id LIMIT 10")
+@query(f"WITH {_BATCH} SELECT query_id, vec_id, score, rank FROM ranked WHERE rank <= 10")
 def q_vector_topk(spark, sf):
-    vectors = read(spark, sf, "embeddings")
-    first = vectors.where("vec_id = 0").select("embedding").first()
-    return R.vector_topk(vectors, first[0] if first else [], 10).select("vec_id", "score")
+    return R.vector_topk_batch(read(spark, sf, "embeddings"), _questions(spark, sf), 10)
 
 
-@query(f"WITH {_BATCH} SELECT vec_id, score FROM scored JOIN embeddings USING (vec_id) WHERE query_id = 0 AND label = 3 ORDER BY score DESC, vec_id LIMIT 10")
+@query(f"""WITH {_BATCH}, f AS (SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored JOIN embeddings USING (vec_id) WHERE label = 3)
+    SELECT * FROM f WHERE rank <= 10""")
 def q_vector_topk_filtered(spark, sf):
     """The equality filter goes to the scan, before any score."""
-    vectors = read(spark, sf, "embeddings")
-    first = vectors.where("vec_id = 0").select("embedding").first()
-    return R.vector_topk(vectors.where("label = 3"), first[0] if first else [], 10).select("vec_id", "score")
+    return R.vector_topk_batch(read(spark, sf, "embeddings").where("label = 3"), _questions(spark, sf), 10)
 
 
 @query(f"WITH {_BATCH} SELECT query_id, vec_id, score, rank FROM ranked WHERE rank <= 30")
@@ -60,8 +59,8 @@ def q_rerank_hybrid(spark, sf):
 
 @query(f"WITH {ANSWERS} SELECT doc_id, round({_KEYWORD}, 6) AS score FROM (SELECT query_id AS doc_id, answer AS text, expected AS query_text FROM answers)")
 def q_keyword_score(spark, sf):
-    pairs = answers(spark, sf)
-    return pairs.select(F.col("query_id").alias("doc_id"), F.round(T.keyword_score(F.col("expected"), F.col("answer")), 6).alias("score"))
+    pairs = answers(spark, sf, True)
+    return pairs.select(F.col("query_id").alias("doc_id"), F.round(T.share_of("expected_words", "answer_words"), 6).alias("score"))
 
 
 @query("""WITH c AS (SELECT event_id, (event_id % 11) / 10.0::DOUBLE AS c, CASE WHEN event_id % 13 = 0 THEN 7 END AS o, event_type = 'click' AS agg FROM events)
@@ -113,26 +112,70 @@ def q_filter_fallback(spark, sf):
 
 @query(f"""WITH RECURSIVE {_RERANK}, found AS (SELECT query_id, 'order-' || doc_id AS id FROM re WHERE new_rank <= 5),
     edges AS (SELECT 'order-' || o_orderkey AS source, 'customer-' || o_custkey AS target FROM orders UNION SELECT DISTINCT 'order-' || l_orderkey, 'part-' || l_partkey FROM lineitem),
-    far AS (SELECT query_id, id FROM found UNION SELECT query_id, target FROM found JOIN edges ON id = source UNION SELECT query_id, source FROM found JOIN edges ON id = target)
-    SELECT query_id, id, CASE WHEN id LIKE 'order-%' THEN coalesce(d.text, 'ENTITY order') ELSE 'ENTITY ' || split_part(id, '-', 1) END AS text,
-        round(CAST(count(*) OVER (PARTITION BY query_id) AS DOUBLE) / (SELECT count(*) FROM found f WHERE f.query_id = far.query_id), 6) AS ratio
-    FROM far LEFT JOIN documents d ON id = 'order-' || doc_id""")
+    made AS (SELECT 'customer-' || c_custkey AS id, concat('LAS_DOCUMENT', chr(10), 'ENTITY ID: customer-', c_custkey, chr(10), chr(10), 'ATTRIBUTES:', chr(10), '  - UWI: ', c_mktsegment, chr(10), '  - WELL: ', c_name) AS made FROM customer
+        UNION ALL SELECT 'order-' || o_orderkey, concat('LAS_CURVE', chr(10), 'ENTITY ID: order-', o_orderkey, chr(10), chr(10), 'ATTRIBUTES:', CASE WHEN o_orderpriority <> '5-LOW' THEN concat(chr(10), '  - mnemonic: ', o_orderpriority) ELSE '' END, chr(10), '  - unit: ', o_orderstatus) FROM orders
+        UNION ALL SELECT 'part-' || p_partkey, concat('PART', chr(10), 'ENTITY ID: part-', p_partkey, chr(10), chr(10), 'ATTRIBUTES:', chr(10), '  - brand: ', p_brand) FROM part),
+    far AS (SELECT query_id, id FROM found UNION SELECT query_id, target FROM found JOIN edges ON id = source UNION SELECT query_id, source FROM found JOIN edges ON id = target),
+    grown AS (SELECT *, round(CAST(count(*) OVER (PARTITION BY query_id) AS DOUBLE) / (SELECT count(*) FROM found f WHERE f.query_id = far.query_id), 6) AS ratio FROM far)
+    SELECT query_id, id, coalesce(d.text, 'ENTITY TYPE: ' || made) AS text, ratio FROM grown JOIN made USING (id) LEFT JOIN documents d ON id = 'order-' || doc_id""")
 def q_retrieve_expand(spark, sf):
     """Retrieved documents as seeds, one hop in the graph, the stored text where there is one, and the growth."""
     found = R.rerank(_candidates(spark, sf), 0.7, 0.3, 5).select("query_id", tagged("order", "doc_id").alias("id"))
-    reached = G.expand(edges(spark, sf), found.select("id"), 1)
-    far = found.withColumnRenamed("id", "seed").join(reached, "seed").select("query_id", F.col("node").alias("id")).distinct()
+    walk = found.select("query_id", "id", F.lit(None).cast("string").alias("direction"), F.lit(1).alias("hops"))
+    far = G.expand_each(edges(spark, sf), walk, 1).select("query_id", F.col("node").alias("id"))
     docs = read(spark, sf, "documents").select(tagged("order", "doc_id").alias("id"), "text")
     counts = far.groupBy("query_id").agg(F.count("*").alias("after")).join(found.groupBy("query_id").agg(F.count("*").alias("before")), "query_id")
-    text = F.coalesce("text", F.concat(F.lit("ENTITY "), F.substring_index("id", "-", 1)))
-    return far.join(docs, "id", "left").join(counts, "query_id").select("query_id", "id", text.alias("text"), F.round(R.expansion_stats(F.col("before"), F.col("after")), 6).alias("ratio"))
-
-
-@query(f"""WITH {_RERANK}, seeds AS (SELECT DISTINCT 'order-' || doc_id AS id FROM re WHERE new_rank <= 5),
-    far AS (SELECT id FROM seeds UNION SELECT 'customer-' || o_custkey FROM orders WHERE 'order-' || o_orderkey IN (SELECT id FROM seeds) UNION SELECT 'part-' || l_partkey FROM lineitem WHERE 'order-' || l_orderkey IN (SELECT id FROM seeds))
-    SELECT CASE split_part(id, '-', 1) WHEN 'order' THEN 'las_curve' WHEN 'customer' THEN 'las_document' ELSE 'part' END AS type, count(*) AS n FROM far GROUP BY 1""")
+    told = R.enrich_expanded(far, nodes(spark, sf), docs)
+    return told.join(counts, "query_id").select("query_id", "id", "text", F.round(R.expansion_stats(F.col("before"), F.col("after")), 6).alias("ratio"))
+
+
+_BAND = "CASE WHEN c >= 0.85 THEN {} WHEN c >= 0.6 THEN {} ELSE {} END"
+_WALK = """SELECT query_id, b AS node, hops, direction FROM {} JOIN steps ON node = a AND (direction IS NULL OR direction = way) WHERE hops >= {}"""
+
+
+@query(f"""WITH {P.ASKED}, {NODES}, {EDGES},
+    f AS (SELECT conv_id AS query_id, arg_min(question, turn) AS question, arg_min(q, turn) AS q FROM a WHERE conv_id % 20 = 0 GROUP BY conv_id),
+    r AS (SELECT query_id, question, {P._REL} AS relation, {P._CONF} AS c, {P._ROUTE} AS route, {P._WORDS} AS words, {P._ENT["well_id"]} AS well FROM f SEMI JOIN embeddings ON query_id = vec_id),
+    s AS (SELECT r.query_id, v.vec_id, {_COS.format(a="v.embedding", b="e.embedding")} AS score FROM r JOIN embeddings e ON e.vec_id = r.query_id, embeddings v),
+    k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s),
+    cand AS (SELECT query_id, question AS query_text, words, c, doc_id, text, rank FROM k JOIN r USING (query_id) JOIN documents ON vec_id = doc_id WHERE rank <= {_BAND.format(30, 18, 15)}),
+    h AS (SELECT *, round({_BAND.format("0.6::DOUBLE", "0.7::DOUBLE", "0.7::DOUBLE")} * (1 - CAST(rank - 1 AS DOUBLE) / count(*) OVER (PARTITION BY query_id)) + {_BAND.format("0.4::DOUBLE", "0.3::DOUBLE", "0.3::DOUBLE")} * ({_KEYWORD}), 6) AS hybrid FROM cand),
+    re AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hybrid DESC, rank) AS new_rank, len(words) = 0 OR len(list_filter(words, lambda w: contains(lower(text), w))) > 0 AS passes FROM h),
+    w AS (SELECT *, bool_or(passes) OVER (PARTITION BY query_id) AS any_pass, count(*) FILTER (passes) OVER (PARTITION BY query_id ORDER BY new_rank) AS place FROM re),
+    found AS (SELECT query_id, 'order-' || doc_id AS id FROM w WHERE CASE WHEN any_pass THEN passes AND (len(words) = 0 OR place <= 15) ELSE new_rank <= 5 END),
+    named AS (SELECT query_id, nodes.id FROM r JOIN nodes ON nodes.id = 'customer-' || split_part(well, '_', 1) WHERE relation = 'well_to_curves'),
+    seeds AS (SELECT query_id, id FROM named UNION SELECT query_id, id FROM found WHERE query_id NOT IN (SELECT query_id FROM named)),
+    types AS (SELECT query_id, list(DISTINCT type) AS types FROM seeds JOIN nodes USING (id) GROUP BY query_id),
+    zero AS (SELECT query_id, id AS node, CASE WHEN relation IS NULL THEN 0 ELSE {_BAND.format(2, 1, 0)} END AS hops,
+        CASE WHEN coalesce((relation = 'well_to_curves' AND list_contains(types, 'las_curve')) OR (relation = 'curve_to_well' AND list_contains(types, 'las_document')), false) THEN NULL
+            WHEN relation IN ('well_to_curves', 'site_to_measurements') THEN 'incoming' WHEN relation IN ('curve_to_well', 'measurement_to_site') THEN 'outgoing' END AS direction
+        FROM seeds JOIN r USING (query_id) LEFT JOIN types USING (query_id)),
+    steps AS (SELECT source AS a, target AS b, 'outgoing' AS way FROM edges UNION ALL SELECT target, source, 'incoming' FROM edges),
+    one AS ({_WALK.format("zero", 1)}), two AS ({_WALK.format("one", 2)}),
+    reached AS (SELECT query_id, node FROM zero UNION SELECT query_id, node FROM one UNION SELECT query_id, node FROM two),
+    counts AS (SELECT query_id, count(*) AS n_nodes, count(*) FILTER (type = 'las_curve') AS n_curves, count(*) FILTER (type = 'las_document') AS n_wells FROM reached JOIN nodes ON node = id GROUP BY query_id)
+    SELECT query_id, route, relation, coalesce(n_nodes, 0) AS n_nodes, coalesce(n_curves, 0) AS n_curves, coalesce(n_wells, 0) AS n_wells FROM r LEFT JOIN counts USING (query_id)""")
 def q_flagship(spark, sf):
-    """Questions to answers in one plan: vector search, hybrid rerank, one hop of the graph, counts by type."""
-    seeds = R.rerank(_candidates(spark, sf), 0.7, 0.3, 5).select(tagged("order", "doc_id").alias("id")).distinct()
-    found = G.expand(edges(spark, sf), seeds, 1).select(F.col("node").alias("id")).distinct()
-    return found.join(nodes(spark, sf), "id").groupBy("type").agg(F.count("*").alias("n"))
+    """Questions to answers in one plan: route, relation and its confidence; vector search and hybrid rerank by it; filter with
+    fallback; the well that is named, or else what was found, as seeds; the graph around them by direction and hops."""
+    vectors, docs, known = read(spark, sf, "embeddings"), read(spark, sf, "documents").select("doc_id", "text"), nodes(spark, sf)
+    first = P.asked(spark, sf).where("conv_id % 20 = 0").groupBy("conv_id").agg(F.min_by("question", "turn").alias("query_text"))
+    q = F.col("query_text")
+    asked = first.join(vectors, F.col("conv_id") == F.col("vec_id")).select(
+        F.col("conv_id").alias("query_id"), "query_text", F.col("embedding").alias("query"), Q.route(q).alias("route"), Q.relation(q).alias("relation"),
+        Q.relation_confidence(q).alias("confidence"), Q.critical_keywords(q).alias("words"), Q.entities(q)["well_id"].alias("well"),
+    )
+    params = R.route_params(F.col("confidence"))
+    ruled = asked.select("query_id", "query_text", "route", "relation", "words", "well", *[c.alias(n) for n, c in params.items()])
+    best = R.vector_topk_batch(vectors, asked, max(R.TOP_K.values())).join(ruled, "query_id").where("rank <= top_k").join(docs, F.col("vec_id") == F.col("doc_id"))
+    ranked = R.rerank(best, F.col("vector_weight"), F.col("keyword_weight"), F.col("top_k"))
+    kept = R.filter_with_fallback(ranked, R.keyword_match(F.col("text"), F.col("words"), F.lit(True)), F.size("words") > 0)
+    named = ruled.where("relation = 'well_to_curves'").select("query_id", F.concat(F.lit("customer-"), F.substring_index("well", "_", 1)).alias("id"))
+    seeds = R.choose_seeds(kept.select("query_id", tagged("order", "doc_id").alias("id")), named, known)
+    types = seeds.join(known.select("id", "type"), "id").groupBy("query_id").agg(F.collect_set("type").alias("types"))
+    direction = R.seed_direction(F.col("relation"), Q.traversal(F.col("relation"))[0], F.col("types"))
+    hops = F.when(F.col("relation").isNull(), 0).otherwise(F.col("hops"))
+    walk = seeds.join(ruled, "query_id").join(types, "query_id", "left").select("query_id", "id", direction.alias("direction"), hops.alias("hops"))
+    reached = G.expand_each(edges(spark, sf), walk, 2).join(known.select(F.col("id").alias("node"), "type"), "node")
+    counts = reached.groupBy("query_id").agg(F.count("*").alias("n_nodes"), F.count_if(F.col("type") == "las_curve").alias("n_curves"), F.count_if(F.col("type") == "las_document").alias("n_wells"))
+    return ruled.join(counts, "query_id", "left").select("query_id", "route", "relation", *[F.coalesce(n, F.lit(0)).alias(n) for n in ("n_nodes", "n_curves", "n_wells")])

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from graphlake.functions import rules
 from graphlake.functions import text as T
 from graphlake.functions import units as U
 from graphlake.plans.base import ANSWERS, answers, query, read, tokens_sql
@@ -12,13 +13,13 @@ _OVERLAP = f"CASE WHEN len({_A}) = 0 OR len({_E}) = 0 THEN 0.0 ELSE CAST(len(lis
 
 @query(f"WITH {ANSWERS} SELECT query_id, round({_OVERLAP}, 6) AS overlap FROM answers")
 def q_token_overlap(spark, sf):
-    return answers(spark, sf).select("query_id", F.round(T.token_overlap(F.col("answer"), F.col("expected")), 6).alias("overlap"))
+    return answers(spark, sf, True).select("query_id", F.round(T.overlap_of("answer_words", "expected_words"), 6).alias("overlap"))
 
 
 @query(f"WITH {ANSWERS} SELECT query_id, round(CAST(len(list_intersect({_A}, {_E})) AS DOUBLE) / nullif(len(list_distinct(list_concat({_A}, {_E}))), 0), 6) AS jaccard FROM answers")
 def q_jaccard(spark, sf):
     """Neither text has a number here more than by chance, so the semantic score is checked in tests and the Jaccard part here."""
-    return answers(spark, sf).select("query_id", F.round(T.jaccard(F.col("answer"), F.col("expected")), 6).alias("jaccard"))
+    return answers(spark, sf, True).select("query_id", F.round(T.jaccard_of("answer_words", "expected_words"), 6).alias("jaccard"))
 
 
 _NUMBER = r"TRY_CAST(nullif(regexp_extract(replace(replace(replace({}, '%', ''), 'API', ' '), 'm', ' '), '-?[0-9]+\.?[0-9]*', 0), '') AS DOUBLE)"
@@ -93,20 +94,22 @@ def q_extract_temporal(spark, sf):
     return _notes(spark, sf).select("c_custkey", T.year(F.coalesce(T.attribute(note, "year"), T.attribute(note, "temporal"), T.attribute(note, "date"))).alias("year")).where("year is not null")
 
 
-_PLACES = ["WABASH RIVER AT TERRE HAUTE, IN", "VERMILION RIVER NEAR DANVILLE, IL", "no place", "SPRING CREEK BELOW SALINA, Kansas"]
-#: State abbreviations and names, in the order they are looked for.
-STATES = [("IN", "Indiana"), ("IL", "Illinois"), ("KS", "Kansas")]
+_LIST = lambda values: "[" + ", ".join(f"'{v}'" for v in values) + "]"
+_STATE = "CASE " + " ".join(f"WHEN regexp_matches(upper(place), '\\b{a}\\b') THEN '{n}'" for a, n in rules.STATES.items()) + " " + " ".join(f"WHEN contains(upper(place), '{n.upper()}') THEN '{n}'" for n in rules.STATES.values()) + " END"
+_TITLE = "array_to_string(list_transform(string_split(lower(n_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ')"
 
 
-@query("""SELECT s_suppkey, ['Indiana', 'Illinois', NULL, 'Kansas'][s_suppkey % 4 + 1] AS state, ['Terre Haute', 'Danville', NULL, 'Salina'][s_suppkey % 4 + 1] AS city FROM supplier""")
+@query(f"""WITH p AS (SELECT s_suppkey, n_name, CASE s_suppkey % 3 WHEN 0 THEN 'VERMILION RIVER NEAR ' || n_name || ', ' || {_LIST(rules.STATES)}[s_suppkey % 51 + 1]
+    WHEN 1 THEN 'Spring Creek at ' || n_name || ' Lake (' || {_LIST(rules.STATES.values())}[s_suppkey % 51 + 1] || ')' ELSE 'no place' END AS place FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+    SELECT s_suppkey, {_STATE} AS state, CASE WHEN s_suppkey % 3 < 2 THEN {_TITLE} ELSE 'No Place' END AS city FROM p""")
 def q_extract_state_city(spark, sf):
-    """The state by abbreviation as a word, else by name; the city after NEAR, AT or BELOW."""
-    place = F.element_at(F.array(*map(F.lit, _PLACES)), (F.col("s_suppkey") % 4 + 1).cast("int"))
-    upper = F.upper(place)
-    short = F.coalesce(*[F.when(upper.rlike(rf"\b{a}\b"), n) for a, n in STATES])
-    state = F.coalesce(short, *[F.when(F.contains(F.lower(place), F.lit(n.lower())), n) for _, n in STATES])
-    city = F.initcap(T.missing(F.trim(F.regexp_extract(upper, r"\b(?:NEAR|AT|BELOW)\s+([^,]+)", 1))))
-    return read(spark, sf, "supplier").select("s_suppkey", state.alias("state"), city.alias("city"))
+    """States and cities of places that suppliers' nations stand in."""
+    key, pick = F.col("s_suppkey"), lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("s_suppkey") % 51 + 1).cast("int"))
+    near = F.concat(F.lit("VERMILION RIVER NEAR "), "n_name", F.lit(", "), pick(list(rules.STATES)))
+    at = F.concat(F.lit("Spring Creek at "), "n_name", F.lit(" Lake ("), pick(list(rules.STATES.values())), F.lit(")"))
+    places = read(spark, sf, "supplier").join(read(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    places = places.select("s_suppkey", F.when(key % 3 == 0, near).when(key % 3 == 1, at).otherwise("no place").alias("place"))
+    return places.select("s_suppkey", T.state(F.col("place")).alias("state"), T.city(F.col("place")).alias("city"))
 
 
 @query("""WITH f AS (SELECT user_id, event_type, min(event_id) AS seen FROM events GROUP BY ALL), l AS (SELECT user_id, list(event_type ORDER BY seen) AS v FROM f GROUP BY user_id)

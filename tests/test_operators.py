@@ -148,3 +148,46 @@ def test_metric_means_and_gates(spark):
 def test_chi_square_of_even_classes_is_refused(spark):
     with pytest.raises(ValueError):
         evaluate.chi_square(spark.createDataFrame([(5,)] * 4, "n long"), 4)
+
+
+def test_relation_details(spark):
+    q = lambda f, text: one(spark, f(F.lit(text)))
+    asked = "What curves are in well 15_9-13"
+    assert q(classify.target, asked) == "15_9-13" and q(classify.evidence, asked) == ["pattern_match:+0.6", "entity:well_id:+0.1"]
+    assert q(classify.target, "which site is the measurement from") is None and q(classify.target, "petrophysical data of 15_9-13") == "15_9-13"
+    assert q(classify.is_relationship, "is it part of this") and not q(classify.is_relationship, "list")
+    assert [tuple(x) for x in q(classify.matched_topics, "oil price")] == [("finance", "price")]
+    assert [tuple(x) for x in q(classify.matched_topics, "EIA oil")] == [("energy_production", "oil"), ("energy_production", "EIA")] and q(classify.matched_topics, "xyz") == []
+    assert q(classify.domain_answer, "what is PEF") == "PEF (Photoelectric factor) is the standard tool for lithology identification."
+
+
+def test_places(spark):
+    at = lambda f, text: one(spark, f(F.lit(text)))
+    assert [at(T.state, x) for x in ("WABASH RIVER AT TERRE HAUTE, IN", "near Salina, Kansas", "come in", "nowhere", None)] == ["Indiana", "Kansas", "Indiana", None, None]
+    assert [at(T.city, x) for x in ("WABASH RIVER AT TERRE HAUTE, IN", "CREEK (gage) NEAR NORTH DANVILLE LAKE, IL", "river", "x-y", "", None)] == ["Terre Haute", "Danville", None, "X Y", None, None]
+
+
+def test_seeds_directions_and_texts(spark):
+    nodes = spark.createDataFrame([("w", "las_document", {"WELL": "A", "none": None}), ("c", "las_curve", {})], "id string, type string, attributes map<string,string>")
+    found, named = spark.createDataFrame([(1, "c"), (2, "c"), (2, "c"), (3, "c")], "query_id int, id string"), spark.createDataFrame([(1, "w"), (2, "unknown"), (3, None)], "query_id int, id string")
+    assert sorted(map(tuple, retrieval.choose_seeds(found, named, nodes).collect())) == [(1, "w"), (2, "c"), (3, "c")]
+    way = lambda relation, *types: one(spark, retrieval.seed_direction(F.lit(relation), F.lit("incoming"), F.array(*map(F.lit, types))))
+    assert way("well_to_curves", "las_curve") is None and way("well_to_curves", "las_document") == "incoming" and way("curve_to_well", "las_document") is None and way(None, "las_curve") == "incoming"
+    texts = spark.createDataFrame([("c", "stored")], "id string, text string")
+    got = {r.id: r.text for r in retrieval.enrich_expanded(spark.createDataFrame([(1, "w"), (1, "c"), (1, "gone")], "query_id int, id string"), nodes, texts).collect()}
+    assert got == {"w": "ENTITY TYPE: LAS_DOCUMENT\nENTITY ID: w\n\nATTRIBUTES:\n  - WELL: A", "c": "stored"}
+
+
+def test_expansion_by_query(spark):
+    edges = spark.createDataFrame([("a", "b", "x", 1), ("b", "c", "x", 2), ("d", "a", "x", 3), ("a", "b", "x", 4)], "source string, target string, type string, pos int")
+    seeds = spark.createDataFrame([(1, "a", "outgoing", 2), (2, "a", "incoming", 2), (3, "a", None, 1), (4, "a", None, 0)], "query_id int, id string, direction string, hops int")
+    got = sorted(map(tuple, graph.expand_each(edges, seeds).collect()))
+    assert got == [(1, "a", 0), (1, "b", 1), (1, "c", 2), (2, "a", 0), (2, "d", 1), (3, "a", 0), (3, "b", 1), (3, "d", 1), (4, "a", 0)]
+
+
+def test_question_blocks_give_the_same(spark, monkeypatch):
+    vectors = spark.createDataFrame([(i, [float(i % 5), 1.0, float(i % 3)]) for i in range(40)] + [(40, None), (41, [0.0, 0.0, 0.0])], "vec_id int, embedding array<double>")
+    asked = vectors.where("vec_id < 6").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    whole = sorted(map(tuple, retrieval.vector_topk_batch(vectors, asked, 4).collect()))
+    monkeypatch.setattr(retrieval, "QUESTION_BLOCK", 2)
+    assert whole == sorted(map(tuple, retrieval.vector_topk_batch(vectors, asked, 4).collect())) and len(whole) == 24
