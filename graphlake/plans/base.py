@@ -31,6 +31,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df from a checkpoint in the cluster's shared folder, so that branches and hops don't run what came before again; in a
+    session without such a folder, persisted."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
 def tagged(prefix: str, column: str):
     return F.concat(F.lit(f"{prefix}-"), F.col(column).cast("string"))
 

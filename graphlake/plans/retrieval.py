@@ -7,7 +7,7 @@ from graphlake.operators import classify as Q
 from graphlake.operators import graph as G
 from graphlake.operators import retrieval as R
 from graphlake.plans import questions as P
-from graphlake.plans.base import ANSWERS, EDGES, NODES, answers, edges, nodes, query, read, tagged, tokens_sql
+from graphlake.plans.base import ANSWERS, EDGES, NODES, answers, edges, nodes, query, read, stored, tagged, tokens_sql
 
 
 def _questions(spark, sf):
@@ -121,6 +121,7 @@ def q_filter_fallback(spark, sf):
 def q_retrieve_expand(spark, sf):
     """Retrieved documents as seeds, one hop in the graph, the stored text where there is one, and the growth."""
     found = R.rerank(_candidates(spark, sf), 0.7, 0.3, 5).select("query_id", tagged("order", "doc_id").alias("id"))
+    found = stored(found)
     walk = found.select("query_id", "id", F.lit(None).cast("string").alias("direction"), F.lit(1).alias("hops"))
     far = G.expand_each(edges(spark, sf), walk, 1).select("query_id", F.col("node").alias("id"))
     docs = read(spark, sf, "documents").select(tagged("order", "doc_id").alias("id"), "text")
@@ -165,6 +166,7 @@ def q_flagship(spark, sf):
         F.col("conv_id").alias("query_id"), "query_text", F.col("embedding").alias("query"), Q.route(q).alias("route"), Q.relation(q).alias("relation"),
         Q.relation_confidence(q).alias("confidence"), Q.critical_keywords(q).alias("words"), Q.entities(q)["well_id"].alias("well"),
     )
+    asked = stored(asked)
     params = R.route_params(F.col("confidence"))
     ruled = asked.select("query_id", "query_text", "route", "relation", "words", "well", *[c.alias(n) for n, c in params.items()])
     best = R.vector_topk_batch(vectors, asked, max(R.TOP_K.values())).join(ruled, "query_id").where("rank <= top_k").join(docs, F.col("vec_id") == F.col("doc_id"))
@@ -176,6 +178,6 @@ def q_flagship(spark, sf):
     direction = R.seed_direction(F.col("relation"), Q.traversal(F.col("relation"))[0], F.col("types"))
     hops = F.when(F.col("relation").isNull(), 0).otherwise(F.col("hops"))
     walk = seeds.join(ruled, "query_id").join(types, "query_id", "left").select("query_id", "id", direction.alias("direction"), hops.alias("hops"))
-    reached = G.expand_each(edges(spark, sf), walk, 2).join(known.select(F.col("id").alias("node"), "type"), "node")
+    reached = G.expand_each(edges(spark, sf), stored(walk), 2).join(known.select(F.col("id").alias("node"), "type"), "node")
     counts = reached.groupBy("query_id").agg(F.count("*").alias("n_nodes"), F.count_if(F.col("type") == "las_curve").alias("n_curves"), F.count_if(F.col("type") == "las_document").alias("n_wells"))
     return ruled.join(counts, "query_id", "left").select("query_id", "route", "relation", *[F.coalesce(n, F.lit(0)).alias(n) for n in ("n_nodes", "n_curves", "n_wells")])
