@@ -23,9 +23,11 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 def token_rows(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n, key, ids binary) of every whole text, the end id after it; ids are 16-bit, little-endian. Stored. key is the
-    least hash of two ids in turn: two texts share it with the probability of their pairs' Jaccard similarity."""
+    """(doc_id, n, key, second, ids binary) of every whole text, the end id after it; ids are 16-bit, little-endian. Stored. key
+    is one of the text's ids, rare ones likelier: texts that share rare ids often share it. second is the least hash of two
+    ids in turn: two texts share it with the probability of their pairs' Jaccard similarity."""
     common.arrow_batches(docs.sparkSession)
+    place = drawing_order(end_id)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = subwords.load(tokenizer)
@@ -34,13 +36,24 @@ def token_rows(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "
                 ids, cuts = encoder.encode(texts.slice(first, last - first))
                 ended, cuts = np.insert(ids, cuts[1:], end_id).astype("<u2"), cuts + np.arange(len(cuts))
                 packed = pa.Array.from_buffers(pa.binary(), last - first, [None, pa.py_buffer((cuts * 2).astype(np.int32)), pa.py_buffer(ended.tobytes())])
-                keys = pa.array(least_hashes(ended, cuts))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(np.diff(cuts)), keys, packed], ["doc_id", "n", "key", "ids"])
+                key = np.minimum.reduceat(place[ended], cuts[:-1]) if last > first else np.zeros(0, np.uint16)
+                keys = [pa.array(np.diff(cuts)), pa.array(key.astype(np.int64)), pa.array(least_hashes(ended, cuts)), packed]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), *keys], ["doc_id", "n", "key", "second", "ids"])
         subwords.forget()
         common.give_back()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return common.written(rows.mapInArrow(encode, "doc_id long, n long, key long, ids binary"), "token-rows")
+    return common.written(rows.mapInArrow(encode, "doc_id long, n long, key long, second long, ids binary"), "token-rows")
+
+
+def drawing_order(end_id: int) -> np.ndarray:
+    """Each id's place in the order in which a text's key is drawn from its ids: weighted min-hashing, the end id last. The
+    tokenizers number ids from common to rare, so an id's logarithm stands for its rarity."""
+    wait = -np.log(np.random.default_rng(7).random(1 << 16).clip(1e-12)) / np.log(np.arange(1 << 16) / 256 + 1.1)
+    wait[end_id] = np.inf
+    place = np.empty(1 << 16, np.uint16)
+    place[np.argsort(wait)] = np.arange(1 << 16)
+    return place
 
 
 def least_hashes(ids: np.ndarray, cuts: np.ndarray) -> np.ndarray:
@@ -173,7 +186,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = 2048, end_id:
 
     Documents are tokenized once and stored. Document frequencies are counted over all of them; then each shard, about
     SHARD_TOKENS tokens, is indexed and packed by one task. Documents of one key, which like texts share, go to one shard;
-    keys with more than a part of a shard's tokens are salted. Neighbours are looked for within the shard. A document longer
+    a key with more than a part of a shard's tokens is split by the second key, and copies beyond that by row. Neighbours are looked for within the shard. A document longer
     than the window fills sequences of its own. Null and empty texts are the end id alone; repeated rows and null ids are
     packed like others; further columns are not looked at; empty input gives no pieces.
     """
@@ -183,11 +196,15 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = 2048, end_id:
     mean = n_tokens / max(1, n_docs)
     shared = docs.sparkSession.sparkContext.broadcast(df)  # 2^16 numbers
     part = max(1, SHARD_TOKENS // HOT_PARTS)
-    hot = rows.groupBy(F.col("key").alias("key_")).agg(F.sum("n").alias("n_")).where(F.col("n_") > part)
-    hot = common.written(hot.select("key_", F.ceil(F.col("n_") / part).cast("long").alias("spread")), "hot-keys")
-    hot = common.maybe_broadcast(hot, hot.count())
-    salt = F.coalesce(F.pmod(F.xxhash64("row_no"), F.col("spread")), F.lit(0))
-    numbered = rows.withColumn("row_no", F.monotonically_increasing_id()).join(hot, F.col("key") == F.col("key_"), "left")
+    pairs = common.written(rows.groupBy("key", "second").agg(F.sum("n").alias("n_")), "shard-keys")
+    spread = F.ceil(F.col("n_") / part).cast("long")
+    hot = pairs.groupBy("key").agg(F.sum("n_").alias("n_")).where(F.col("n_") > part).select(F.col("key").alias("key_"), spread.alias("spread"))
+    same = pairs.where(F.col("n_") > part).select(F.col("key").alias("key_"), F.col("second").alias("second_"), spread.alias("copies"))
+    hot, same = (common.maybe_broadcast(t, t.count()) for t in (common.written(hot, "hot-keys"), common.written(same, "hot-pairs")))
+    numbered = rows.withColumn("row_no", F.monotonically_increasing_id()).join(hot, F.col("key") == F.col("key_"), "left").drop("key_")
+    numbered = numbered.join(same, (F.col("key") == F.col("key_")) & (F.col("second") == F.col("second_")), "left")
+    again = F.coalesce(F.pmod(F.xxhash64("row_no"), F.col("copies")), F.lit(0))
+    salt = F.coalesce(F.pmod(F.xxhash64("second", again), F.col("spread")), F.lit(0))
     dealt = numbered.select("doc_id", "row_no", "n", "ids", F.pmod(F.xxhash64("key", salt), F.lit(count)).cast("int").alias("shard"))
 
     def packed(table: pa.Table) -> pa.Table:

@@ -109,3 +109,9 @@ def test_key_of_least_pairs():
     assert alone == np.iinfo(np.uint32).max and one >= 0 and other >= 0
     again = packing.least_hashes(np.array([5, 6, 7], "<u2"), np.array([0, 3])).tolist()
     assert again == [one]
+
+
+def test_rare_ids_are_drawn_first_and_the_end_id_last():
+    place = packing.drawing_order(1)
+    assert place[1] == place.max() and len(np.unique(place)) == 1 << 16
+    assert place[2:500].mean() > place[30_000:49_000].mean()
