@@ -11,8 +11,8 @@ from pyspark.sql.window import Window
 from graphlake.functions import text as T
 
 STAGES = ["embed", "search", "rerank", "traverse", "generate"]
-#: Least means of faithfulness, precision and keyword score, and of success.
-GATES = {"faithfulness": 0.6, "context_precision": 0.7, "keyword_score": 0.6, "success": 1.0}
+#: The least means that pass, of the whole score, faithfulness, precision and success.
+GATES = {"aggregate_score": 0.6, "faithfulness": 0.7, "context_precision": 0.6, "success": 1.0}
 
 
 def share_of_tokens(answer: Column, contexts: Column) -> Column:
@@ -55,14 +55,14 @@ def answer_metrics(rows: DataFrame, question: str, answer: str, contexts: str, e
 
 def metric_means(rows: DataFrame, category: str, metrics: list[str]) -> DataFrame:
     """(category, metric, n, mean, gate_failed): means of each metric by category and, as `all`, over all; a metric with a least
-    mean in GATES fails its gate below it."""
+    mean in GATES fails its gate below it, and without a mean."""
     held = rows.rollup(category).agg(*[F.struct(F.count(m).alias("n"), F.avg(m).alias("mean")).alias(m) for m in metrics])
     gate = F.lit(None).cast("double")
     for metric, least in GATES.items():
         gate = F.when(F.col("metric") == metric, least).otherwise(gate)
     flat = held.select(F.coalesce(category, F.lit("all")).alias("category"), F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in metrics])).alias("x"))
     flat = flat.select("category", "x.metric", "x.v.n", F.round("x.v.mean", 6).alias("mean"))
-    return flat.withColumn("gate_failed", F.coalesce(F.col("mean") < gate, F.lit(False)))
+    return flat.withColumn("gate_failed", F.coalesce(F.col("mean") < gate, gate.isNotNull()))
 
 
 def truth_checks(answer: Column, must: Column, forbidden: Column, count: Column, low: Column, high: Column) -> Column:

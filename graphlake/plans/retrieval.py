@@ -6,8 +6,9 @@ from graphlake.functions import text as T
 from graphlake.operators import classify as Q
 from graphlake.operators import graph as G
 from graphlake.operators import retrieval as R
+from graphlake.operators import vector_index as V
 from graphlake.plans import questions as P
-from graphlake.plans.base import ANSWERS, EDGES, NODES, answers, edges, nodes, query, read, stored, tagged, tokens_sql
+from graphlake.plans.base import ANSWERS, EDGES, NODES, answers, edges, folder, nodes, query, read, stored, tagged, tokens_sql
 
 
 def _questions(spark, sf):
@@ -39,6 +40,29 @@ def q_vector_topk_batch(spark, sf):
     return R.vector_topk_batch(read(spark, sf, "embeddings"), _questions(spark, sf), 30)
 
 
+@query(f"WITH {_BATCH} SELECT query_id, vec_id, score, rank FROM ranked WHERE rank <= 10")
+def q_vector_index_exact(spark, sf):
+    """The same result from a stored inverted file: the nearest lists, then the blocks whose bound reaches the tenth score."""
+    index = V.build(read(spark, sf, "embeddings"), folder(spark, "vector-index"))
+    return V.search(index, _questions(spark, sf), 10)
+
+
+@query(f"""WITH {_BATCH}, r AS (SELECT query_id, count(*) AS n FROM ranked WHERE rank <= 10 GROUP BY query_id)
+    SELECT query_id, n, true AS enough FROM r""")
+def q_vector_index_recall(spark, sf):
+    """Recall of the search of the first lists alone, as many as 0.95 of the best vectors of the even questions need, over all
+    questions; a row for each with the number of its best, and whether the recall of all is nine tenths or more."""
+    vectors = read(spark, sf, "embeddings")
+    index = V.build(vectors, folder(spark, "vector-index"))
+    asked = stored(_questions(spark, sf))
+    best = stored(V.search(index, asked, 10))
+    probes = V.probes_for(V.depths(index, best, asked).where("query_id % 40 = 0"), 0.95)
+    first = V.search(index, asked, 10, probes, exact=False).select("query_id", "vec_id")
+    whole = best.join(first.withColumn("hit", F.lit(1)), ["query_id", "vec_id"], "left").groupBy("query_id").agg(F.count("*").alias("n"), F.count("hit").alias("hits"))
+    total = whole.agg((F.sum("hits") >= 0.9 * F.sum("n")).alias("enough"))  # one row
+    return whole.join(F.broadcast(total), F.lit(True)).select("query_id", "n", "enough")
+
+
 def _candidates(spark, sf, k=30):
     docs = read(spark, sf, "documents").select("doc_id", "text")
     asked = _questions(spark, sf)

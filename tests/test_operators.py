@@ -138,11 +138,14 @@ def test_answer_metrics_by_hand(spark):
 
 
 def test_metric_means_and_gates(spark):
-    rows = spark.createDataFrame([("x", 0.5, 1.0, None), ("x", 0.6, 1.0, 0.25), ("y", 0.9, 0.0, None)], "source string, faithfulness double, success double, context_recall double")
-    got = {(r.category, r.metric): (r.n, r["mean"], r.gate_failed) for r in evaluate.metric_means(rows, "source", ["faithfulness", "success", "context_recall"]).collect()}
-    assert got[("x", "faithfulness")] == (2, 0.55, True) and got[("y", "faithfulness")] == (1, 0.9, False)
-    assert got[("all", "faithfulness")] == (3, 0.666667, False) and got[("all", "success")] == (3, 0.666667, True)
-    assert got[("x", "success")] == (2, 1.0, False) and got[("x", "context_recall")] == (1, 0.25, False) and got[("y", "context_recall")] == (0, None, False)
+    """By hand: a whole score of 0.6, faithfulness of 0.7, precision of 0.6 and success of 1 pass; less fails, and so does no mean."""
+    names = ["aggregate_score", "faithfulness", "context_precision", "success", "context_recall", "keyword_score"]
+    rows = [("x", 0.6, 0.7, 0.6, 1.0, None, 0.0), ("x", 0.6, 0.7, 0.6, 1.0, 0.25, 0.0), ("y", 0.59, 0.69, 0.59, 0.0, None, 0.1), ("z", None, None, None, None, None, None)]
+    table = spark.createDataFrame(rows, "source string, " + ", ".join(f"{n} double" for n in names))
+    got = {(r.category, r.metric): (r.n, r["mean"], r.gate_failed) for r in evaluate.metric_means(table, "source", names).collect()}
+    failed = lambda c: {m for (k, m), v in got.items() if k == c and v[2]}
+    assert failed("x") == set() and failed("y") == failed("z") == failed("all") == set(names[:4])
+    assert got[("x", "context_recall")] == (1, 0.25, False) and got[("z", "faithfulness")] == (0, None, True) and got[("all", "success")] == (3, 0.666667, True)
 
 
 def test_chi_square_of_even_classes_is_refused(spark):
