@@ -1,9 +1,9 @@
 """Byte-level BPE by corpus-level merge replay: every distinct chunk of the corpus is encoded once, all merges in rank order.
 
 Texts are cut to chunks where the split pattern always cuts, and a slice of texts is kept as codes into its own list of
-distinct chunks. The lists of all slices are dealt by chunk. A task joins its chunks' words to one sequence with an
-inverted index from token pair to positions, and takes the pairs by rank: each merge goes to all positions of its pair at
-once and touches only the neighbours, whose new pairs join the index. The ids go back to the slices, and codes become ids.
+distinct chunks. The lists of all slices are dealt by the chunks' hash. A task joins its chunks' words to one sequence with
+an inverted index from token pair to positions, and takes the pairs by rank: each merge goes to all positions of its pair
+at once and touches only the neighbours, whose new pairs join the index. The ids go back to the slices: codes become ids.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from __future__ import annotations
 import base64
 import heapq
 import re
+import struct
+import zlib
 from array import array
 from collections.abc import Iterator
 
@@ -22,8 +24,9 @@ from pyspark.sql import functions as F
 
 from graphlake.llm import common
 
-#: Bytes of text in a slice, distinct chunks and their bytes in one replay, and pairs that a worker remembers.
-SLICE_BYTES, BLOCK_CHUNKS, BLOCK_BYTES, PAIRS = 8 << 20, 32_768, 4 << 20, 1 << 20
+#: Bytes of text in a slice, distinct chunks in one replay, chunks and pairs that a worker remembers, and buckets of chunks
+#: for each shuffle partition.
+SLICE_BYTES, BLOCK_CHUNKS, KNOWN, PAIRS, BUCKETS = 16 << 20, 32_768, 200_000, 1 << 20, 4
 #: White space across which the pattern looks ahead: such texts are cut by the pattern itself.
 _UNSAFE = re.compile(r"\s\s\s|\s\s\Z")
 _loaded: dict[tuple[str, str], "Merges"] = {}
@@ -154,7 +157,8 @@ class Merges:
         cut[1:-1] = letter[:-1] & ~letter[1:] & (data[1:] < 128)
         cut[:-1] |= line | (data == 32)
         cut[1:] |= line
-        for i, text in enumerate(texts.to_pylist()):
+        for i in range(len(texts)):
+            text = texts[i].as_py()
             if _UNSAFE.search(text):
                 cut[starts[i] : starts[i + 1]] = False
                 lengths = [len(word.encode()) for word in self.split(text)]
@@ -167,13 +171,52 @@ class Merges:
         return chunks.indices.to_numpy(zero_copy_only=False), chunks.dictionary, np.searchsorted(at, starts)
 
 
+_ZSTD = pa.Codec("zstd", compression_level=3)
+
+
+def squeeze(numbers: np.ndarray) -> bytes:
+    """Unsigned numbers below 2**32 by byte planes, compressed: small ones cost little more than their information."""
+    planes = np.ascontiguousarray(numbers, "<u4").view(np.uint8).reshape(-1, 4).T
+    data = np.ascontiguousarray(planes).tobytes()
+    return struct.pack("<Q", len(data)) + (_ZSTD.compress(data, asbytes=True) if data else b"")
+
+
+def unsqueeze(data: bytes) -> np.ndarray:
+    size = struct.unpack_from("<Q", data)[0]
+    if not size:
+        return np.zeros(0, np.int64)
+    planes = np.frombuffer(_ZSTD.decompress(data[8:], size), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
+def pack(parts: list[bytes]) -> bytes:
+    """A list of byte strings: their lengths and their bytes, compressed."""
+    lengths, data = squeeze(np.fromiter(map(len, parts), np.int64, len(parts))), b"".join(parts)
+    return struct.pack("<QQ", len(lengths), len(data)) + lengths + (_ZSTD.compress(data, asbytes=True) if data else b"")
+
+
+def unpack(data: bytes) -> tuple[np.ndarray, bytes]:
+    """Lengths and bytes of a packed list."""
+    first, size = struct.unpack_from("<QQ", data)
+    return unsqueeze(data[16 : 16 + first]), _ZSTD.decompress(data[16 + first :], size).to_pybytes() if size else b""
+
+
+def _binary(value: bytes | None) -> pa.Array:
+    return pa.array([value], pa.binary())
+
+
 def slices(docs: DataFrame, vocabulary: tuple[str, str], id_col: str, text_col: str) -> DataFrame:
-    """(slice long, ids array, firsts binary, codes binary, chunks array<string>), written: texts of about SLICE_BYTES each as
-    codes into the slice's distinct chunks."""
+    """(slice long, bucket int, ids array, firsts, codes, buckets, chunks binary), written.
+
+    A slice of about SLICE_BYTES of texts is a row (bucket -1) with their ids, where each one's codes begin, the codes, the
+    commonest chunk's least, and each code's bucket; and a row for each bucket with its chunks in order of their codes.
+    """
+    spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    common.arrow_batches(docs.sparkSession)
+    common.arrow_batches(spark)
+    buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.spark_partition_id().cast("long").alias("part"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    names = ["slice", "ids", "firsts", "codes", "chunks"]
+    names = ["slice", "bucket", "ids", "firsts", "codes", "buckets", "chunks"]
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges, number = load(*vocabulary), 0
@@ -183,16 +226,27 @@ def slices(docs: DataFrame, vocabulary: tuple[str, str], id_col: str, text_col:
             nonlocal held, weight, number
             table = pa.Table.from_batches(held).combine_chunks()
             codes, chunks, firsts = merges.cut(table.column(2).chunk(0))
-            number += 1
-            whole = lambda column: pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), column)
-            ids = table.column(1).combine_chunks()
-            values = [pa.array([part << 32 | number], pa.int64()), whole(ids), pa.array([firsts.astype("<i8").tobytes()]), pa.array([codes.astype("<u4").tobytes()]), whole(chunks)]
-            held, weight = [], 0
-            return pa.RecordBatch.from_arrays(values, names)
+            keys = table.column(1).chunk(0)
+            held, weight, number = [], 0, number + 1
+            order = np.argsort(-np.bincount(codes, minlength=len(chunks)), kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            texts = chunks.take(pa.array(order)).cast(pa.binary()).to_pylist()
+            of = np.fromiter((zlib.crc32(x) % buckets for x in texts), np.int64, len(texts))
+            name = pa.array([part << 32 | number], pa.int64())
+            whole = pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)
+            yield pa.RecordBatch.from_arrays([name, pa.array([-1], pa.int32()), whole, _binary(squeeze(np.diff(firsts))), _binary(squeeze(rank[codes])), _binary(squeeze(of)), _binary(None)], names)
+            by = np.argsort(of, kind="stable")
+            parts = np.split(by, np.flatnonzero(np.diff(of[by])) + 1) if len(by) else []
+            n = len(parts)
+            packed = pa.array([pack([texts[i] for i in some.tolist()]) for some in parts], pa.binary())
+            none = pa.nulls(n, pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([name[0].as_py()] * n, pa.int64()), pa.array([of[some[0]] for some in parts], pa.int32()), pa.nulls(n, whole.type), none, none, none, packed], names)
 
         for batch in batches:
             part = batch.column(0)[0].as_py() if batch.num_rows else part
-            sizes = np.diff(np.frombuffer(batch.column(2).buffers()[1], np.int32)[batch.column(2).offset : batch.column(2).offset + batch.num_rows + 1])
+            texts = batch.column(2)
+            sizes = np.diff(np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + batch.num_rows + 1]) if batch.num_rows else []
             at = 0
             while at < batch.num_rows:
                 room = int(np.searchsorted(np.cumsum(sizes[at:]), SLICE_BYTES - weight, side="right"))
@@ -202,64 +256,43 @@ def slices(docs: DataFrame, vocabulary: tuple[str, str], id_col: str, text_col:
                     weight += int(sizes[at : at + take].sum())
                     at += take
                 if at < batch.num_rows or weight >= SLICE_BYTES:
-                    yield flush()
+                    yield from flush()
         if held:
-            yield flush()
+            yield from flush()
         common.give_back()
 
-    made = rows.mapInArrow(coded, f"slice long, ids array<{kind}>, firsts binary, codes binary, chunks array<string>")
+    made = rows.mapInArrow(coded, f"slice long, bucket int, ids array<{kind}>, firsts binary, codes binary, buckets binary, chunks binary")
     return common.written(made, "bpe-slices")
 
 
 def replayed(slices: DataFrame, vocabulary: tuple[str, str]) -> DataFrame:
-    """(slice, places binary, lengths binary, tokens binary): the ids of a slice's chunks, a row for each replay that had some.
+    """(slice, bucket, tokens binary): the ids of each row of chunks, in the same order.
 
-    Chunks are dealt and sorted by their text, so each distinct one of the corpus is in one replay (two at the most, where
-    a block ends); a chunk that every slice has is a row of each, spread with the others.
+    Rows are dealt by bucket, so each distinct chunk of the corpus is in one task, which replays those that it hasn't met; a
+    bucket's chunks are forgotten beyond KNOWN of them and replayed when they come again.
     """
-    rows = slices.select("slice", F.posexplode("chunks").alias("place", "chunk")).repartition("chunk").sortWithinPartitions("chunk")
-    names = ["slice", "places", "lengths", "tokens"]
+    rows = slices.where("bucket >= 0").select("slice", "bucket", "chunks").repartition("bucket").sortWithinPartitions("bucket")
 
     def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges = load(*vocabulary)
-        held, distinct, weight = [], 0, 0
-
-        def flush():
-            nonlocal held, distinct, weight
-            table = pa.Table.from_batches(held).combine_chunks()
-            coded = table.column(2).combine_chunks().dictionary_encode()
-            coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
-            ids = merges.encode(coded.dictionary.to_pylist())
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            begins, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(ids), "<u4")
-            codes = coded.indices.to_numpy(zero_copy_only=False)
-            owner, place = table.column(0).to_numpy(), table.column(1).to_numpy().astype("<i4")
-            order = np.argsort(owner, kind="stable")
-            cuts = np.flatnonzero(np.diff(owner[order])) + 1
-            out = [[], [], [], []]
-            for some in np.split(order, cuts):
-                length = sizes[codes[some]] // 4
-                take = np.repeat(begins[codes[some]] // 4 - (np.cumsum(length) - length), length) + np.arange(length.sum())
-                for column, value in zip(out, (owner[some[0]], place[some].tobytes(), length.astype("<i4").tobytes(), flat[take].tobytes())):
-                    column.append(value)
-            held, distinct, weight = [], 0, 0
-            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *[pa.array(x, pa.binary()) for x in out[1:]]], names)
-
+        merges, known, last = load(*vocabulary), {}, None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            column = batch.column(2)
-            distinct += len(column.unique())
-            weight += column.nbytes
-            held.append(batch)
-            if distinct >= BLOCK_CHUNKS or weight >= BLOCK_BYTES:
-                yield flush()
-        if held:
-            yield flush()
+            out = []
+            for bucket, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if bucket != last or len(known) > KNOWN:
+                    known, last = {}, bucket
+                lengths, text = unpack(data)
+                ends = np.cumsum(lengths).tolist()
+                chunks = [text[a:b] for a, b in zip([0, *ends], ends)]
+                new = [c for c in chunks if c not in known]
+                for at in range(0, len(new), BLOCK_CHUNKS):
+                    some = new[at : at + BLOCK_CHUNKS]
+                    known.update(zip(some, merges.encode([c.decode() for c in some])))
+                out.append(pack([known[c] for c in chunks]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["slice", "bucket", "tokens"])
         merges.known.clear()
         common.give_back()
 
-    return rows.mapInArrow(replay, "slice long, places binary, lengths binary, tokens binary")
+    return rows.mapInArrow(replay, "slice long, bucket int, tokens binary")
 
 
 def encode(docs: DataFrame, vocabulary: tuple[str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -272,33 +305,30 @@ def encode(docs: DataFrame, vocabulary: tuple[str, str], id_col: str = "doc_id",
     """
     kind = docs.schema[id_col].dataType.simpleString()
     kept = slices(docs, vocabulary, id_col, text_col)
-    lists = replayed(kept, vocabulary).groupBy("slice").agg(F.collect_list(F.struct("places", "lengths", "tokens")).alias("found"))
-    met = kept.select("slice", "ids", "firsts", "codes", F.size("chunks").alias("n")).join(lists, "slice", "left").drop("slice")
+    lists = replayed(kept, vocabulary).groupBy("slice").agg(F.collect_list(F.struct("bucket", "tokens")).alias("found"))
+    met = kept.where("bucket = -1").select("slice", "ids", "firsts", "codes", "buckets").join(lists, "slice", "left").drop("slice")
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 keys = batch.column(0).slice(i, 1).flatten()
-                firsts = np.frombuffer(batch.column(1)[i].as_buffer(), "<i8")
-                codes = np.frombuffer(batch.column(2)[i].as_buffer(), "<u4")
-                count = batch.column(3)[i].as_py()
-                begin, length, flat, at = np.zeros(count, np.int64), np.zeros(count, np.int64), [], 0
-                for part in batch.column(4)[i].as_py() or []:
-                    places, lengths = np.frombuffer(part["places"], "<i4"), np.frombuffer(part["lengths"], "<i4").astype(np.int64)
-                    length[places], begin[places] = lengths, at + np.cumsum(lengths) - lengths
-                    at += len(part["tokens"]) // 4
-                    flat.append(part["tokens"])
-                flat = np.frombuffer(b"".join(flat), "<u4")
-                out, counts = [], []
-                for a, b in zip(firsts[:-1].tolist(), firsts[1:].tolist()):
-                    some = codes[a:b]
-                    sizes = length[some]
-                    total = np.cumsum(sizes)
-                    n = int(total[-1]) if b > a else 0
-                    take = np.repeat(begin[some] - total + sizes, sizes) + np.arange(n)
-                    out.append(flat[take].tobytes())
-                    counts.append(n)
-                yield pa.RecordBatch.from_arrays([keys, pa.array(counts, pa.int64()), pa.array(out, pa.binary())], ["id", "n_tokens", "ids"])
+                counts, codes, of = (unsqueeze(batch.column(j)[i].as_py()) for j in (1, 2, 3))
+                by = np.argsort(of, kind="stable")
+                found = [unpack(x["tokens"]) for x in sorted(batch.column(4)[i].as_py() or [], key=lambda x: x["bucket"])]
+                sizes = np.concatenate([n for n, _ in found]) // 4 if found else np.zeros(0, np.int64)
+                flat = np.frombuffer(b"".join([x for _, x in found]), "<u4")
+                begin, length = np.empty_like(sizes), np.empty_like(sizes)
+                length[by], begin[by] = sizes, np.cumsum(sizes) - sizes
+                out, n_tokens, at = [], [], 0
+                for count in counts.tolist():
+                    some = codes[at : at + count]
+                    at += count
+                    width = length[some]
+                    total = np.cumsum(width)
+                    n = int(total[-1]) if count else 0
+                    out.append(flat[np.repeat(begin[some] - total + width, width) + np.arange(n)].tobytes())
+                    n_tokens.append(n)
+                yield pa.RecordBatch.from_arrays([keys, pa.array(n_tokens, pa.int64()), pa.array(out, pa.binary())], ["id", "n_tokens", "ids"])
         common.give_back()
 
     return met.mapInArrow(ids, f"id {kind}, n_tokens long, ids binary").withColumnRenamed("id", id_col)
