@@ -175,18 +175,43 @@ _ZSTD = pa.Codec("zstd", compression_level=3)
 
 
 def squeeze(numbers: np.ndarray) -> bytes:
-    """Unsigned numbers below 2**32 by byte planes, compressed: small ones cost little more than their information."""
-    planes = np.ascontiguousarray(numbers, "<u4").view(np.uint8).reshape(-1, 4).T
-    data = np.ascontiguousarray(planes).tobytes()
-    return struct.pack("<Q", len(data)) + (_ZSTD.compress(data, asbytes=True) if data else b"")
+    """Numbers from 0 to 2**32 - 1 in little more than their information: their bit lengths, compressed, and for each length the
+    bits below the highest one, a plane of bits for each place."""
+    numbers = np.asarray(numbers, np.int64)
+    lengths = np.frexp(numbers.astype(np.float64))[1].astype(np.uint8)
+    head = _ZSTD.compress(lengths.tobytes(), asbytes=True) if len(lengths) else b""
+    planes = [struct.pack("<QQ", len(numbers), len(head)), head]
+    for length in np.unique(lengths).tolist():
+        some = numbers[lengths == length]
+        planes += [np.packbits((some >> place & 1).astype(np.uint8)).tobytes() for place in range(length - 1)]
+    return b"".join(planes)
 
 
 def unsqueeze(data: bytes) -> np.ndarray:
+    n, size = struct.unpack_from("<QQ", data)
+    out = np.zeros(n, np.int64)
+    if not n:
+        return out
+    lengths, at = np.frombuffer(_ZSTD.decompress(data[16 : 16 + size], n), np.uint8), 16 + size
+    for length in np.unique(lengths).tolist():
+        where = np.flatnonzero(lengths == length)
+        some, width = np.full(len(where), 1 << length >> 1, np.int64), -(-len(where) // 8)
+        for place in range(length - 1):
+            some |= np.unpackbits(np.frombuffer(data, np.uint8, width, at), count=len(where)).astype(np.int64) << place
+            at += width
+        out[where] = some
+    return out
+
+
+def pack_ids(parts: list[bytes]) -> bytes:
+    """A list of id strings: how many ids each has, and all ids."""
+    counts = squeeze(np.fromiter(map(len, parts), np.int64, len(parts)) // 4)
+    return struct.pack("<Q", len(counts)) + counts + squeeze(np.frombuffer(b"".join(parts), "<u4"))
+
+
+def unpack_ids(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     size = struct.unpack_from("<Q", data)[0]
-    if not size:
-        return np.zeros(0, np.int64)
-    planes = np.frombuffer(_ZSTD.decompress(data[8:], size), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+    return unsqueeze(data[8 : 8 + size]), unsqueeze(data[8 + size :])
 
 
 def pack(parts: list[bytes]) -> bytes:
@@ -287,7 +312,7 @@ def replayed(slices: DataFrame, vocabulary: tuple[str, str]) -> DataFrame:
                 for at in range(0, len(new), BLOCK_CHUNKS):
                     some = new[at : at + BLOCK_CHUNKS]
                     known.update(zip(some, merges.encode([c.decode() for c in some])))
-                out.append(pack([known[c] for c in chunks]))
+                out.append(pack_ids([known[c] for c in chunks]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["slice", "bucket", "tokens"])
         merges.known.clear()
         common.give_back()
@@ -314,9 +339,9 @@ def encode(docs: DataFrame, vocabulary: tuple[str, str], id_col: str = "doc_id",
                 keys = batch.column(0).slice(i, 1).flatten()
                 counts, codes, of = (unsqueeze(batch.column(j)[i].as_py()) for j in (1, 2, 3))
                 by = np.argsort(of, kind="stable")
-                found = [unpack(x["tokens"]) for x in sorted(batch.column(4)[i].as_py() or [], key=lambda x: x["bucket"])]
-                sizes = np.concatenate([n for n, _ in found]) // 4 if found else np.zeros(0, np.int64)
-                flat = np.frombuffer(b"".join([x for _, x in found]), "<u4")
+                found = [unpack_ids(x["tokens"]) for x in sorted(batch.column(4)[i].as_py() or [], key=lambda x: x["bucket"])]
+                sizes = np.concatenate([n for n, _ in found]) if found else np.zeros(0, np.int64)
+                flat = np.concatenate([x for _, x in found]).astype("<u4") if found else np.zeros(0, "<u4")
                 begin, length = np.empty_like(sizes), np.empty_like(sizes)
                 length[by], begin[by] = sizes, np.cumsum(sizes) - sizes
                 out, n_tokens, at = [], [], 0

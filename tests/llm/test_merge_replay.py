@@ -61,6 +61,11 @@ def test_a_pair_that_another_merge_makes_early_goes_first():
     assert [np.frombuffer(x, "<u4").tolist() for x in merges.replay([w.encode() for w in words])] == [library.encode_ordinary(w) for w in words]
 
 
+@given(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 9), max_size=60))
+def test_squeezed_numbers_come_back(numbers):
+    assert merge_replay.unsqueeze(merge_replay.squeeze(np.array(numbers, np.int64))).tolist() == numbers
+
+
 @pytest.mark.parametrize("slice_bytes,block", [(8 << 20, 32_768), (300, 7)])
 def test_query(spark, tmp_path, monkeypatch, slice_bytes, block):
     texts = ODD + [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
