@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphlake.functions import text as T
+from graphlake.operators import statistics as S
 
 STAGES = ["embed", "search", "rerank", "traverse", "generate"]
 #: The least means that pass, of the whole score, faithfulness, precision and success.
@@ -129,56 +128,51 @@ def distribution(domains: DataFrame, column: str, classes: list[str]) -> DataFra
 
 
 def chi_square(counts: DataFrame, classes: int) -> DataFrame:
-    """counts (n): the statistic against a uniform spread, its p-value (closed form for even degrees of freedom), Cramer's V,
-    and whether every class expects 5 at least. An even number of classes has no such form: ValueError."""
-    if classes % 2 == 0:
-        raise ValueError(f"{classes} classes have odd degrees of freedom, whose p-value has no closed form")
+    """counts (n): the statistic against a uniform spread, its p-value for any degrees of freedom, Cramer's V, and whether every
+    class expects 5 at least."""
     sums = counts.agg(F.sum("n").alias("total"), F.sum(F.col("n").cast("double") * F.col("n")).alias("squares"))
     statistic = F.col("squares") * classes / F.col("total") - F.col("total")
-    half = (classes - 1) // 2
-    tail = lambda x: F.exp(-x / 2) * sum((F.pow(x / 2, F.lit(i)) / math.factorial(i) for i in range(half)), F.lit(0.0))
-    return sums.select(
-        F.round(statistic, 6).alias("statistic"), F.lit(classes - 1).alias("df"), F.round(tail(statistic), 6).alias("p"),
-        F.round(F.sqrt(statistic / (F.col("total") * (classes - 1))), 6).alias("cramer_v"), (F.col("total") / classes >= 5).alias("enough"),
+    held = sums.withColumn("x", statistic)
+    return held.select(
+        F.round("x", 6).alias("statistic"), F.lit(classes - 1).alias("df"), F.round(S.chi_square_tail(F.col("x"), classes - 1), 6).alias("p"),
+        F.round(F.sqrt(F.col("x") / (F.col("total") * (classes - 1))), 6).alias("cramer_v"), (F.col("total") / classes >= 5).alias("enough"),
     )
 
 
-def bootstrap(domains: DataFrame, column: str, classes: list[str], rounds: int = 200, seed: int = 7) -> DataFrame:
-    """Chi-square p-values of resamples: (mean, median, low, high, crosses).
+def bootstrap(counts: DataFrame, classes: list[str], rounds: int = 200, seed: int = 7) -> DataFrame:
+    """Chi-square p-values of resamples of counts (stage, n): (mean, median, low, high, crosses).
 
-    A resample gives every row a Poisson(1) weight drawn from a hash of (row key, round, seed), so rows aren't collected and
-    a rerun gives the same numbers; rows are summed by class and round before the shuffle. domains has a `key`.
+    A resample draws as many rows as there are, with replacement: a number for each class and round, from hashes of round and
+    class, so a rerun gives the same. No row is copied; a round is one row, and `rounds` of them are summed up.
     """
-    u = F.pmod(F.xxhash64("key", "round", F.lit(seed)), F.lit(1_000_000)) / 1_000_000
-    steps, p, total = [], math.exp(-1), 0.0
-    for k in range(8):
-        total += p / math.factorial(k)
-        steps.append((k, total))
-    weight = F.lit(8)
-    for k, edge in reversed(steps):
-        weight = F.when(u < edge, k).otherwise(weight)
-    drawn = domains.select("key", F.col(column).alias("stage"), F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
-    counts = drawn.groupBy("round", "stage").agg(F.sum(weight).alias("n")).groupBy("round").agg(F.sum("n").alias("total"), F.sum(F.col("n").cast("double") * F.col("n")).alias("squares"))
-    x = F.col("squares") * len(classes) / F.col("total") - F.col("total")
-    p_value = F.exp(-x / 2) * sum((F.pow(x / 2, F.lit(i)) / math.factorial(i) for i in range((len(classes) - 1) // 2)), F.lit(0.0))
-    held = counts.where("total > 0").select(p_value.alias("p")).agg(F.avg("p").alias("mean"), F.median("p").alias("median"), F.percentile("p", F.array(F.lit(0.025), F.lit(0.975))).alias("ci"))
-    return held.select("mean", "median", F.col("ci")[0].alias("low"), F.col("ci")[1].alias("high"), ((F.col("ci")[0] < 0.05) & (F.col("ci")[1] > 0.05)).alias("crosses"))
+    drawn = S.resampled_counts(counts, classes, rounds, seed)
+    names = [f"n{i}" for i in range(len(classes))]
+    total = sum((F.col(n) for n in names[1:]), F.col(names[0]))
+    squares = sum((F.col(n).cast("double") * F.col(n) for n in names), F.lit(0.0))
+    held = drawn.withColumn("total", total).where("total > 0").withColumn("x", squares * len(classes) / F.col("total") - F.col("total"))
+    p = held.select(S.chi_square_tail(F.col("x"), len(classes) - 1).alias("p"))
+    ends = p.agg(F.avg("p").alias("mean"), F.median("p").alias("median"), F.percentile("p", F.array(F.lit(0.025), F.lit(0.975))).alias("ci"))
+    low, high = F.col("ci")[0], F.col("ci")[1]
+    return ends.select(*[F.round(c, 6).alias(n) for n, c in (("mean", F.col("mean")), ("median", F.col("median")), ("low", low), ("high", high))], ((low < 0.05) & (high > 0.05)).alias("crosses"))
 
 
 def median_split(rows: DataFrame, value: str) -> DataFrame:
-    """Adds y: whether the value is at least the median of all. The median is one number, broadcast."""
-    middle = rows.agg(F.median(value).alias("middle"))
+    """Adds y: whether the value is at least the exact median of all. The median is one row, broadcast."""
+    middle = S.quantiles(rows, [], value, [0.5]).select(F.get("q", F.lit(0)).alias("middle"))
     return rows.join(F.broadcast(middle), F.lit(True)).withColumn("y", (F.col(value) >= F.col("middle")).cast("int")).drop("middle")
 
 
+def logistic_weights(rows: DataFrame, features: list[str]) -> DataFrame:
+    """(name, weight) of the logistic regression of y on the features, and of its intercept."""
+    weights = S.logistic(rows, features, "y")
+    return rows.sparkSession.createDataFrame(list(zip([*features, "intercept"], weights)), "name string, weight double")
+
+
 def logistic_report(rows: DataFrame, features: list[str]) -> DataFrame:
     """(label, precision, recall, f1, support) of a logistic regression on rows (features, y), fitted and judged on them."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-
-    table = VectorAssembler(inputCols=features, outputCol="features").transform(rows).select("features", F.col("y").cast("double").alias("label"))
-    n = max(1, rows.count())
-    predicted = LogisticRegression(maxIter=1000, regParam=1 / n, standardization=False).fit(table).transform(table)
+    *weights, intercept = S.logistic(rows, features, "y")
+    z = sum((w * F.col(f).cast("double") for w, f in zip(weights, features)), F.lit(intercept))
+    predicted = rows.select(F.col("y").cast("double").alias("label"), (z > 0).cast("double").alias("prediction")).dropna()
     cells = predicted.groupBy("label").agg(F.count("*").alias("support"), F.count_if(F.col("prediction") == F.col("label")).alias("hit"))
     named = predicted.groupBy(F.col("prediction").alias("label")).agg(F.count("*").alias("named"))
     both = cells.join(named, "label", "left")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from graphlake.operators import statistics as S
+
 #: Price of 1000 tokens by model, and of any other model.
 PRICES = [("click", 0.001), ("view", 0.0005), ("purchase", 0.01)]
 DEFAULT_PRICE = 0.002
@@ -30,9 +32,11 @@ def filter_metrics(log: DataFrame, kind: str | None = None, name: str | None = N
 
 
 def latency_stats(log: DataFrame, by: str) -> DataFrame:
-    p = F.percentile("value", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    held = log.groupBy(by).agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.avg("value").alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"), p.alias("p"))
-    return held.select(by, "n", F.round("total", 2).alias("total"), F.round("mean", 4).alias("mean"), "least", "most", *[F.round(F.col("p")[i], 4).alias(f"p{q}") for i, q in enumerate((50, 95, 99))])
+    """(by, n, total, mean, least, most, p50, p95, p99): percentiles are exact and come by selection, so no group's values are held."""
+    held = log.groupBy(by).agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.avg("value").alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"))
+    q = S.quantiles(log, [by], "value", [0.5, 0.95, 0.99]).withColumnRenamed(by, "by_")
+    both = held.join(q, held[by].eqNullSafe(q["by_"]), "left")
+    return both.select(by, "n", F.round("total", 2).alias("total"), F.round("mean", 4).alias("mean"), "least", "most", *[F.round(F.get("q", F.lit(i)), 4).alias(f"p{p}") for i, p in enumerate((50, 95, 99))])
 
 
 def cost_rows(calls: DataFrame, model: str, tokens: Column) -> DataFrame:

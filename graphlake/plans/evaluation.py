@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from graphlake.functions import text as T
 from graphlake.operators import evaluate as E
 from graphlake.operators import metrics as M
-from graphlake.plans.base import ANSWERS, answers, query, read, tokens_sql
+from graphlake.plans.base import ANSWERS, answers, query, read, stored, tokens_sql
 
 _A, _E = tokens_sql("answer"), tokens_sql("expected")
 _SHARE = f"CASE WHEN len({_A}) = 0 THEN 0.0 ELSE CAST(len(list_intersect({_A}, {_E})) AS DOUBLE) / len({_A}) END"
@@ -160,11 +160,44 @@ def q_chi_square(spark, sf):
     return E.chi_square(E.distribution(E.first_failures(_stage_log(spark, sf)), "domain", E.STAGES), len(E.STAGES))
 
 
-@query()
+_GAMMA = "1 - list_sum(list_transform(range(0, 600), lambda i: exp(-x / 2 + (5.5 + i) * ln(x / 2) - lgamma(6.5 + i))))"
+
+
+@query(f"""WITH c AS (SELECT count(*) AS n FROM orders GROUP BY month(o_orderdate)), s AS (SELECT CAST(sum(n) AS DOUBLE) AS total, CAST(sum(n * n) AS DOUBLE) * 12 / sum(n) - sum(n) AS x FROM c)
+    SELECT round(x, 6) AS statistic, 11 AS df, round({_GAMMA}, 6) AS p, round(sqrt(x / (total * 11)), 6) AS cramer_v, total / 12 >= 5 AS enough FROM s""")
+def q_chi_square_months(spark, sf):
+    """Orders by month against an even spread: odd degrees of freedom."""
+    return E.chi_square(read(spark, sf, "orders").groupBy(F.month("o_orderdate")).agg(F.count("*").alias("n")), 12)
+
+
+def _draws(rounds: int, seed: int) -> str:
+    """A binomial draw after another in SQL: for each round, the number of k whose distribution is below the hash's uniform."""
+    n = len(E.STAGES)
+    pick = ", ".join(f"coalesce(sum(n) FILTER (stage = '{s}'), 0)::BIGINT AS c{i}" for i, s in enumerate(E.STAGES))
+    steps = [f"w AS (SELECT {pick} FROM c)", f"b0 AS (SELECT *, {' + '.join(f'c{i}' for i in range(n))} AS trials, {' + '.join(f'c{i}' for i in range(n))} AS rest FROM w, (SELECT unnest(range(1, {rounds + 1})) AS round))"]
+    for i in range(n - 1):
+        u = f"(CAST(('0x' || substr(md5('{seed}:' || round || ':{i}'), 1, 8)) AS UBIGINT)::DOUBLE + 0.5) / 4294967296"
+        steps.append(f"p{i} AS (SELECT *, CASE WHEN rest > 0 THEN c{i}::DOUBLE / rest ELSE 0 END AS p, {u} AS u FROM b{i})")
+        steps.append(f"r{i} AS (SELECT *, greatest(0, floor(trials * p - 12 * sqrt(trials * p * (1 - p)) - 12))::BIGINT AS low, least(trials, ceil(trials * p + 12 * sqrt(trials * p * (1 - p)) + 12))::BIGINT AS high FROM p{i})")
+        steps.append(f"k{i} AS (SELECT round, u, k, sum(exp(lgamma(trials + 1) - lgamma(k + 1) - lgamma(trials - k + 1) + k * ln(p) + (trials - k) * ln(1 - p))) OVER (PARTITION BY round ORDER BY k) AS cdf FROM (SELECT *, unnest(range(low, high + 1)) AS k FROM r{i} WHERE p > 0 AND p < 1 AND trials > 0))")
+        steps.append(f"d{i} AS (SELECT round, count(*) FILTER (cdf < u) AS below FROM k{i} GROUP BY round)")
+        steps.append(f"b{i + 1} AS (SELECT r.* EXCLUDE (p, u, low, high, trials, rest), m AS n{i}, trials - m AS trials, rest - c{i} AS rest FROM (SELECT r{i}.*, CASE WHEN p <= 0 THEN 0 WHEN p >= 1 THEN trials ELSE least(trials, low + coalesce(below, 0)) END::BIGINT AS m FROM r{i} LEFT JOIN d{i} USING (round)) r)".replace("r.* EXCLUDE (p, u, low, high, trials, rest)", "r.* EXCLUDE (p, u, low, high, trials, rest, m)"))
+    return ", ".join(steps)
+
+
+_LAST = len(E.STAGES) - 1
+_SQUARES = " + ".join([*[f"n{i} * n{i}" for i in range(_LAST)], "trials * trials"])
+_TOTAL = " + ".join([*[f"n{i}" for i in range(_LAST)], "trials"])
+
+
+@query(f"""WITH {_LOG}, c AS (SELECT domain AS stage, count(*) AS n FROM d WHERE domain <> 'none' GROUP BY 1), {_draws(200, 7)},
+    x AS (SELECT CAST({_SQUARES} AS DOUBLE) * 5 / ({_TOTAL}) - ({_TOTAL}) AS x FROM b{_LAST} WHERE {_TOTAL} > 0), v AS (SELECT exp(-x / 2) * (1 + x / 2) AS p FROM x)
+    SELECT round(avg(p), 6) AS mean, round(median(p), 6) AS median, round(quantile_cont(p, 0.025), 6) AS low, round(quantile_cont(p, 0.975), 6) AS high,
+        quantile_cont(p, 0.025) < 0.05 AND quantile_cont(p, 0.975) > 0.05 AS crosses FROM v""")
 def q_bootstrap(spark, sf):
-    """p-values of 200 resamples of the failing runs."""
+    """p-values of 200 resamples of the failing runs, drawn from the classes' counts."""
     failing = E.first_failures(_stage_log(spark, sf)).where("domain <> 'none'")
-    return E.bootstrap(failing.withColumnRenamed("run", "key"), "domain", E.STAGES)
+    return E.bootstrap(stored(failing.groupBy(F.col("domain").alias("stage")).agg(F.count("*").alias("n"))), E.STAGES)
 
 
 @query("SELECT event_id, CAST(value >= (SELECT median(value) FROM events) AS INTEGER) AS y FROM events")
@@ -172,11 +205,20 @@ def q_median_label(spark, sf):
     return E.median_split(read(spark, sf, "events"), "value").select("event_id", "y")
 
 
+def _median_rows(spark, sf):
+    return stored(E.median_split(read(spark, sf, "events"), "value").select("value", (F.col("event_type") == "purchase").cast("int").alias("flag"), "y"))
+
+
 @query()
 def q_logistic_report(spark, sf):
     """Precision, recall and F1 of a logistic regression of the median split."""
-    rows = E.median_split(read(spark, sf, "events"), "value").withColumn("flag", (F.col("event_type") == "purchase").cast("int"))
-    return E.logistic_report(rows, ["value", "flag"])
+    return E.logistic_report(_median_rows(spark, sf), ["value", "flag"])
+
+
+@query()
+def q_logistic_weights(spark, sf):
+    """The weights of that regression."""
+    return E.logistic_weights(_median_rows(spark, sf), ["value", "flag"])
 
 
 def _log(spark, sf):

@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from graphlake.operators import adjacency as N
 from graphlake.operators import graph as G
-from graphlake.plans.base import EDGES, NODES, edges, nodes, query, read, tagged
+from graphlake.plans.base import EDGES, NODES, edges, folder, nodes, query, read, tagged
 
 
 @query(f"WITH {NODES} SELECT id, type, coalesce(name, mnemonic, '') AS label FROM nodes")
@@ -98,12 +99,13 @@ def _seeds(spark, sf):
 
 @query(_expand_sql(1))
 def q_expand_1hop(spark, sf):
-    return G.expand(edges(spark, sf), _seeds(spark, sf), 1)
+    return N.expand(N.store(edges(spark, sf), folder(spark, "adjacency")), _seeds(spark, sf), 1)
 
 
 @query(_expand_sql(2))
 def q_expand_2hop(spark, sf):
-    return G.expand(edges(spark, sf), _seeds(spark, sf), 2)
+    """Two hops from all customers over a stored adjacency: the edges are dealt once, and hops deal their frontier alone."""
+    return N.expand(N.store(edges(spark, sf), folder(spark, "adjacency")), _seeds(spark, sf), 2)
 
 
 @query(f"""WITH {NODES}, {EDGES}, e AS (SELECT source AS id, 'out' AS way, type FROM edges UNION ALL SELECT target, 'in', type FROM edges),

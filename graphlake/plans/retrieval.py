@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from graphlake.functions import text as T
+from graphlake.operators import answers as S
 from graphlake.operators import classify as Q
+from graphlake.operators import documents as D
 from graphlake.operators import graph as G
 from graphlake.operators import retrieval as R
 from graphlake.operators import vector_index as V
@@ -205,3 +207,70 @@ def q_flagship(spark, sf):
     reached = G.expand_each(edges(spark, sf), stored(walk), 2).join(known.select(F.col("id").alias("node"), "type"), "node")
     counts = reached.groupBy("query_id").agg(F.count("*").alias("n_nodes"), F.count_if(F.col("type") == "las_curve").alias("n_curves"), F.count_if(F.col("type") == "las_document").alias("n_wells"))
     return ruled.join(counts, "query_id", "left").select("query_id", "route", "relation", *[F.coalesce(n, F.lit(0)).alias(n) for n in ("n_nodes", "n_curves", "n_wells")])
+
+
+#: Terms that the pages define in turn.
+TERMS = ["porosity", "permeability", "lithology"]
+_PARAGRAPH = r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?is)<p(?:\s[^>]*)?>(.*?)</p>', 1), '<[^>]*>', ' ', 'g'),
+    '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) AS t FROM pages"""
+_ANY = P._any
+_PLAIN = "CASE WHEN {0} = floor({0}) THEN CAST(CAST({0} AS BIGINT) AS VARCHAR) ELSE CAST({0} AS VARCHAR) END"
+_FIRST_TOPIC = "CASE " + " ".join(f"WHEN {_ANY(words)} THEN '{topic}'" for topic, words in P.rules.OUT_OF_SCOPE) + " END"
+_RULE_ANSWER = P._first([(P.rules.DOMAIN_ANSWERS[n], p) for n, p in P.rules.DOMAIN_RULES])
+_LISTED = "coalesce('Found ' || len(listed) || ' unique ' || field || ' values: ' || array_to_string(listed, ', ') || '.', 'No values found for ' || field || '.')"
+_OUT_TEXT = S.OUT_OF_SCOPE.replace("%s", "' || topic || '")
+
+
+@query(f"""WITH {P.ASKED}, {NODES}, {EDGES},
+    r AS (SELECT conv_id * 100000 + turn AS query_id, conv_id, question, q, {P._ROUTE} AS route, {P._AGG} AS kind, coalesce({P._FIELD}, 'entity_type') AS field, {P._ATTR} AS attribute, {_FIRST_TOPIC} AS topic,
+        {_RULE_ANSWER} AS ruled, 'customer-' || split_part(nullif(replace(regexp_extract(q, '{P.rules.WELL_ID}', 1), '/', '_'), ''), '_', 1) AS target, {_ANY(S.COMPLEX)} AS complex FROM a SEMI JOIN embeddings ON conv_id = vec_id WHERE conv_id % 20 = 0),
+    s AS (SELECT c.conv_id, v.vec_id, {_COS.format(a="v.embedding", b="e.embedding")} AS score FROM (SELECT DISTINCT conv_id FROM r) c JOIN embeddings e ON e.vec_id = c.conv_id, embeddings v),
+    k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, vec_id) AS rank FROM s),
+    found AS (SELECT query_id, rank, lang, source, n_chars, mnemonic, concat('ENTITY TYPE: LAS_CURVE', chr(10), 'ENTITY ID: ', n.id, chr(10), chr(10), 'ATTRIBUTES:', CASE WHEN mnemonic IS NOT NULL THEN concat(chr(10), '  - mnemonic: ', mnemonic) ELSE '' END,
+        chr(10), '  - unit: ', unit, chr(10), d.text) AS text FROM k JOIN r USING (conv_id) JOIN documents d ON vec_id = doc_id JOIN nodes n ON n.id = 'order-' || doc_id WHERE rank <= 10),
+    best AS (SELECT query_id, left(arg_min(text, rank), 200) AS text FROM found GROUP BY query_id),
+    p AS ({_PARAGRAPH}), d AS (SELECT {TERMS!r}[page_id % {len(TERMS)} + 1] AS term, arg_min(substr(t, 1, 2000), page_id) AS definition FROM p WHERE length(t) >= 10 GROUP BY 1),
+    gl AS (SELECT query_id, CASE WHEN definition IS NOT NULL THEN '**' || g.term || '**: ' || definition ELSE 'No definition of ''' || coalesce(g.term, '') || ''' is stored.' END AS answer
+        FROM (SELECT query_id, nullif(regexp_extract(q, '{S.TERM}', 1), '') AS term FROM r WHERE route = 'glossary') g LEFT JOIN d USING (term)),
+    held AS (SELECT upper(mnemonic) AS code, target FROM edges JOIN nodes ON source = id WHERE edges.type = 'describes' AND mnemonic IS NOT NULL),
+    wells AS (SELECT target, list_sort(list(DISTINCT code)) AS codes FROM held GROUP BY target),
+    holders AS (SELECT code, min(target) AS holder, count(DISTINCT target) AS n FROM held GROUP BY code),
+    tokens AS (SELECT query_id, unnest(t) AS code, generate_subscripts(t, 1) AS pos FROM (SELECT query_id, regexp_extract_all(question, '[A-Z0-9_-]{{2,}}') AS t FROM r WHERE route = 'relation' AND target IS NULL)),
+    told AS (SELECT query_id, arg_min(coalesce(name || ' (well ID: ' || holder || ')', holder) || CASE WHEN n > 1 THEN ' (plus ' || n - 1 || ' other matches)' ELSE '' END, pos) AS answer
+        FROM tokens JOIN holders USING (code) LEFT JOIN nodes ON id = holder GROUP BY query_id),
+    ex AS (SELECT query_id, CASE WHEN complex OR attribute <> 'mnemonic' OR len(m) = 0 THEN NULL WHEN len(m) <= 5 THEN array_to_string(m, ', ') ELSE len(m) || ' curves found: ' || array_to_string(m[1:5], ', ') || '...' END AS answer
+        FROM r JOIN (SELECT query_id, list(mnemonic ORDER BY rank) FILTER (mnemonic IS NOT NULL) AS m FROM found GROUP BY query_id) USING (query_id)),
+    rows AS (SELECT query_id, rank, n_chars, CASE field WHEN 'domain' THEN lang WHEN 'operator' THEN source WHEN 'state' THEN source ELSE lang END AS value FROM found JOIN r USING (query_id)),
+    groups AS (SELECT query_id, value, count(*) AS size, min(rank) AS first FROM rows WHERE value IS NOT NULL GROUP BY ALL),
+    top AS (SELECT query_id, arg_max(value || ' (' || size || ' records).', size * 1000 - first) AS compared, list_sort(list(value))[1:20] AS listed FROM groups GROUP BY query_id),
+    sums AS (SELECT query_id, count(*) AS n, sum(n_chars) AS total, min(n_chars) AS low, max(n_chars) AS high FROM rows GROUP BY query_id),
+    ag AS (SELECT query_id, CASE kind WHEN 'COUNT' THEN CASE WHEN coalesce(n, 0) = 1 THEN 'There is 1 record.' ELSE 'There are ' || coalesce(n, 0) || ' records.' END
+        WHEN 'COMPARISON' THEN coalesce(compared, 'No data found for comparison.') WHEN 'SUM' THEN 'Total is ' || coalesce(total, 0) || '.'
+        WHEN 'RANGE' THEN coalesce('Range is ' || high - low || ' (' || low || ' to ' || high || ').', '{S.NOTHING}') WHEN 'MAX' THEN coalesce(CAST(high AS VARCHAR), '{S.NOTHING}') WHEN 'MIN' THEN coalesce(CAST(low AS VARCHAR), '{S.NOTHING}')
+        WHEN 'LIST' THEN {_LISTED} WHEN 'DISTINCT' THEN {_LISTED} END AS answer
+        FROM r LEFT JOIN sums USING (query_id) LEFT JOIN top USING (query_id)),
+    u AS (SELECT r.query_id, route, list_filter([
+            {{'by': route, 'a': CASE route WHEN 'glossary' THEN gl.answer WHEN 'out_of_scope' THEN '{_OUT_TEXT}' WHEN 'curve_count' THEN CAST((SELECT count(*) FROM edges WHERE edges.type = 'describes' AND edges.target = r.target) AS VARCHAR)
+                WHEN 'well_count' THEN 'There are ' || (SELECT count(*) FROM customer) || ' wells.' WHEN 'relation' THEN coalesce(len(wells.codes) || ' curve types: ' || array_to_string(wells.codes[1:10], ', '), told.answer) END}},
+            {{'by': 'extraction', 'a': CASE WHEN route IN ('relation', 'extraction') THEN ex.answer END}}, {{'by': 'aggregation', 'a': CASE WHEN route IN ('relation', 'extraction', 'aggregation') THEN ag.answer END}},
+            {{'by': 'rule', 'a': CASE WHEN route <> 'fallback' THEN ruled END}}, {{'by': 'fallback', 'a': best.text}}, {{'by': 'none', 'a': '{S.NOTHING}'}}], lambda x: x.a IS NOT NULL)[1] AS v
+        FROM r LEFT JOIN best USING (query_id) LEFT JOIN gl USING (query_id) LEFT JOIN wells ON wells.target = r.target LEFT JOIN told USING (query_id) LEFT JOIN ex USING (query_id) LEFT JOIN ag USING (query_id))
+    SELECT query_id, route, v.by AS answered_by, v.a AS answer FROM u""")
+def q_answers(spark, sf):
+    """An answer for every question of every twentieth conversation, by a plan for each route, from the ten nearest documents of
+    the conversation's vector, the graph, and the terms that the pages define."""
+    asked, vectors, known = P.asked(spark, sf).where("conv_id % 20 = 0"), read(spark, sf, "embeddings"), nodes(spark, sf)
+    by_vector = asked.select("conv_id").distinct().join(vectors, F.col("conv_id") == F.col("vec_id"))
+    near = R.vector_topk_batch(vectors, by_vector.select(F.col("conv_id").alias("query_id"), F.col("embedding").alias("query")), 10)
+    routed = asked.join(by_vector.select("conv_id"), "conv_id", "left_semi").select("conv_id", (F.col("conv_id") * 100_000 + F.col("turn")).alias("query_id"), "question", Q.route(F.col("question")).alias("route"))
+    routed = stored(routed)
+    told = known.where("type = 'las_curve'").select("id", R.generated_text(F.col("id"), F.col("type"), F.col("attributes")).alias("told"))
+    docs = read(spark, sf, "documents").select("doc_id", tagged("order", "doc_id").alias("id"), "text", "lang", "source", "n_chars")
+    texts = near.join(docs, near["vec_id"] == docs["doc_id"]).join(told, "id").select(F.col("query_id").alias("conv_id"), "rank", F.concat_ws("\n", "told", "text").alias("text"), "lang", "source", "n_chars")
+    found = stored(routed.select("conv_id", "query_id").join(texts, "conv_id").drop("conv_id"))
+    terms = F.element_at(F.array(*map(F.lit, TERMS)), (F.col("page_id") % len(TERMS) + 1).cast("int"))
+    pages = read(spark, sf, "pages").select("page_id", terms.alias("term"), D.page_definition(F.col("html")).alias("definition")).where("definition is not null")
+    defined = pages.groupBy("term").agg(F.min_by("definition", "page_id").alias("definition"))
+    fields = {"domain": "lang", "operator": "source", "state": "source", "entity_type": "lang", "year": "n_chars"}
+    well = lambda w: F.concat(F.lit("customer-"), F.substring_index(w, "_", 1))
+    return S.answer_all(routed, S.Sources(found, known, edges(spark, sf), defined, fields, well))
