@@ -123,3 +123,12 @@ TOOL_WORDS = [(1, ["validate"]), (1, ["export", "generate report", "summarize"])
 CURVE_WORDS = ["nphi", "gr", "rhob", "dtc", "depth", "porosity", "gamma ray", "density"]
 AGGREGATION_WORDS = ["average", "mean", "median", "mode", "min", "max", "sum", "count", "standard deviation", "variance", "percentile", "correlation", "total", "statistics"]
 INFERENCE_WORDS = ["predict", "recommend", "assess", "explain", "identify potential", "reservoir quality", "depositional environment", "completion strategy", "lithology", "hydrocarbon", "heterogeneity", "characterization"]
+
+#: Words of questions that name no field, fields that no question may name, and words that lead to a field that holds them.
+STOPWORDS = [
+    "what", "show", "list", "all", "the", "does", "many", "how", "are", "there", "for", "with", "get", "give", "could", "you", "unique", "available", "different",
+    "count", "number", "records", "total", "per", "of", "in", "and", "to", "from", "find", "tell", "me",
+]
+RESERVED_FIELDS = ["id", "_id", "type", "attributes", "metadata", "data"]
+KEYWORD_PRIORITY = ["production", "oil", "gas", "mnemonic", "curve", "well", "region", "site", "operator", "county", "state", "unit", "value", "depth", "date", "year", "month"]
+COMPARED_ENTITIES = ["las", "usgs", "eia", "curve", "site", "measurement", "dataset"]

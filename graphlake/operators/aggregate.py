@@ -89,3 +89,10 @@ def category_lists(rows: DataFrame, key: str, code: str, categories: dict[str, l
 def category_share(part: Column, whole: Column) -> Column:
     """Percent, halves to the even number."""
     return F.coalesce(F.bround(100 * part / F.nullif(whole, F.lit(0))), F.lit(0.0)).cast("long")
+
+
+def first_holders(held: DataFrame, code: str, parent: str, child: str) -> DataFrame:
+    """(code, holder, others, first_child): for each code the first parent that holds it, how many others do, and the first child
+    that has it; null codes are left out. Distinct parents are summed up before the last shuffle."""
+    pairs = held.where(F.col(code).isNotNull()).groupBy(code, parent).agg(F.min(child).alias("child_"))
+    return pairs.groupBy(code).agg(F.min(parent).alias("holder"), (F.count("*") - 1).alias("others"), F.min("child_").alias("first_child"))

@@ -29,8 +29,31 @@ def aggregation_type(question: Column) -> Column:
     return F.when(has("what data") & has("available"), "COUNT").when(comparison, "COMPARISON").when(spans, "RANGE").otherwise(first_rule(q, rules.AGGREGATION))
 
 
-def comparison_field(question: Column) -> Column:
-    return first_rule(F.lower(question), [("domain", ["domain"]), ("operator", ["operator"]), ("state", ["state"]), ("entity_type", ["entity", "type"])])
+def chosen_field(question: Column, fields: list[str]) -> Column:
+    """The field that a question names: a word that is one, else the shortest field that holds a word of three letters, word by
+    word, else the shortest one that holds the first keyword of the question that any field holds. Stop words and reserved
+    fields don't count; null where nothing fits."""
+    q = F.lower(question)
+    known = sorted((f for f in fields if f.lower() not in rules.RESERVED_FIELDS), key=lambda f: (len(f), f.lower()))
+    if not known:
+        return F.lit(None).cast("string")
+    words = F.filter(F.regexp_extract_all(q, F.lit(r"[a-z0-9_]+"), F.lit(0)), lambda w: ~w.isin(rules.STOPWORDS))
+    first = lambda found: F.get(F.filter(F.transform(words, found), lambda f: f.isNotNull()), F.lit(0))
+    exact = first(lambda w: F.coalesce(*[F.when(w == f.lower(), f) for f in known]))
+    inside = first(lambda w: F.when(F.length(w) >= 3, F.coalesce(*[F.when(F.contains(F.lit(f.lower()), w), f) for f in known])))
+    holding = [(k, [f for f in known if k in f.lower()]) for k in rules.KEYWORD_PRIORITY]
+    by_word = [F.when(F.contains(q, F.lit(k)), held[0]) for k, held in holding if held]
+    return F.coalesce(exact, inside, *by_word)
+
+
+def comparison_field(question: Column, fields: list[str] | None = None) -> Column:
+    """What a comparison is over: domain, operator or state by name, the type where an entity is named; given the fields, a
+    question that names none of these takes the field that it names otherwise."""
+    q = F.lower(question)
+    if fields is None:
+        return first_rule(q, [("domain", ["domain"]), ("operator", ["operator"]), ("state", ["state"]), ("entity_type", ["entity", "type"])])
+    by_rule = first_rule(q, [("domain", ["domain"]), ("operator", ["operator"]), ("state", ["state"]), ("entity_type", rules.COMPARED_ENTITIES)])
+    return F.coalesce(by_rule, chosen_field(question, fields))
 
 
 def entities(question: Column) -> dict[str, Column]:

@@ -71,6 +71,39 @@ def truth_checks(answer: Column, must: Column, forbidden: Column, count: Column,
     return sum((F.when(c, 1.0).otherwise(0.0) for c in checks), F.lit(0.0)) / len(checks)
 
 
+def truth_report(
+    answer: Column, must: Column, forbidden: Column, exact: Column, count: Column, low: Column, high: Column, kind: Column, kinds: Column, expected: Column, values: Column
+) -> Column:
+    """Array of (check, passed, missing, extra) of the checks that a case states; a check whose condition is null is left out.
+
+    contains: the answer has each of must (missing: those it lacks); forbidden: it has none of them (extra: those it has);
+    exact: it has that text as it stands; count: within low and high, either of which may be null, given a count;
+    entity_type: kind is one of kinds; values: the same set as expected (missing and extra: the differences).
+    """
+    text = F.lower(F.coalesce(answer, F.lit("")))
+    none = F.array().cast("array<string>")
+    lacking = F.filter(must, lambda m: ~F.contains(text, F.lower(m)))
+    found = F.filter(forbidden, lambda m: F.contains(text, F.lower(m)))
+    gone, more = F.array_except(expected, values), F.array_except(values, expected)
+    check = lambda name, passed, missing=none, extra=none: F.struct(F.lit(name).alias("check"), passed.alias("passed"), missing.alias("missing"), extra.alias("extra"))
+    bounded = F.coalesce(count >= low, F.lit(True)) & F.coalesce(count <= high, F.lit(True))
+    checks = [
+        F.when(must.isNotNull(), check("contains", F.size(lacking) == 0, lacking)),
+        F.when(forbidden.isNotNull(), check("forbidden", F.size(found) == 0, extra=found)),
+        F.when(exact.isNotNull(), check("exact", F.contains(F.coalesce(answer, F.lit("")), exact))),
+        F.when(count.isNotNull() & (low.isNotNull() | high.isNotNull()), check("count", bounded)),
+        F.when(kind.isNotNull(), check("entity_type", F.coalesce(F.array_contains(kinds, kind), F.lit(False)))),
+        F.when(expected.isNotNull(), check("values", F.coalesce((F.size(gone) == 0) & (F.size(more) == 0), F.lit(False)), F.coalesce(gone, expected), F.coalesce(more, none))),
+    ]
+    return F.filter(F.array(*checks), lambda c: c.isNotNull())
+
+
+def truth_score(report: Column) -> Column:
+    """Share of the checks that passed; 0 without a check."""
+    passed = F.size(F.filter(report, lambda c: c["passed"]))
+    return F.when(F.size(report) > 0, passed / F.size(report)).otherwise(0.0)
+
+
 def tier_results(rows: DataFrame) -> DataFrame:
     """rows (tier, latency, success, correct): totals, accuracy, and latency of the successes."""
     of_success = F.when(F.col("success"), F.col("latency"))

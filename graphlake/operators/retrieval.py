@@ -13,7 +13,7 @@ HIGH, MEDIUM = 0.85, 0.6
 TOP_K = {"high": 30, "medium": 18, "low": 15}
 WEIGHTS_HIGH, WEIGHTS_LOW = (0.6, 0.4), (0.7, 0.3)
 TRUNCATE, FALLBACK = 15, 5
-FIRST_LIMIT, AGGREGATION_LIMIT, AGGREGATION_CAP = 100, 1000, 5000
+FIRST_LIMIT, AGGREGATION_LIMIT, AGGREGATION_CAP, FETCH_LIMIT = 100, 1000, 5000, 1000
 #: Questions, and bytes of their vectors, that may be broadcast to all vectors at once.
 QUESTION_BLOCK, BLOCK_BYTES = 10_000, 16 << 20
 
@@ -64,6 +64,16 @@ def vector_topk_batch(vectors: DataFrame, questions: DataFrame, k: int) -> DataF
     return out
 
 
+def fetch_by_ids(docs: DataFrame, wanted: DataFrame, limit: int = FETCH_LIMIT, query: list[float] | None = None) -> DataFrame:
+    """The documents whose id is wanted, `limit` at most: in order of id, or given a query vector by cosine, ties by id. A wanted id
+    that repeats counts once, one that is no document not at all."""
+    found = docs.join(wanted.select("id").distinct(), "id", "left_semi")
+    if query is None:
+        return found.orderBy("id").limit(limit)
+    q = F.array(*[F.lit(float(x)) for x in query])
+    return found.withColumn("score", F.round(cosine(F.col("embedding"), q), 6)).orderBy(F.desc("score"), "id").limit(limit)
+
+
 def rerank(candidates: DataFrame, vector_weight: Column | float = 0.7, keyword_weight: Column | float = 0.3, top_k: Column | int = 5) -> DataFrame:
     """candidates (query_id, rank, query_text, text, ...): adds score and new_rank, the top_k of each query.
 

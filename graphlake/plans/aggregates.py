@@ -210,8 +210,8 @@ def q_pattern_count(spark, sf):
     return codes.agg(F.count_if(F.contains("code", F.lit("_")) & (F.length("code") <= 8)).alias("n"))
 
 
-@query("""SELECT p_name AS code, min(l_orderkey) AS holder, count(DISTINCT l_orderkey) - 1 AS others FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_name""")
+@query("""SELECT p_name AS code, min(l_orderkey) AS holder, count(DISTINCT l_orderkey) - 1 AS others, min(p_partkey) AS first_child FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_name""")
 def q_code_lookup(spark, sf):
-    """The first order that holds a code, and how many others do."""
-    held = _order_parts(spark, sf).select("p_name", "l_orderkey").distinct()
-    return held.groupBy(F.col("p_name").alias("code")).agg(F.min("l_orderkey").alias("holder"), (F.count("*") - 1).alias("others"))
+    """The first order that holds a code, how many others do, and the first part that has it."""
+    lines, parts = read(spark, sf, "lineitem").select("l_orderkey", "l_partkey"), read(spark, sf, "part").select("p_partkey", F.col("p_name").alias("code"))
+    return A.first_holders(lines.join(parts, F.col("l_partkey") == F.col("p_partkey")), "code", "l_orderkey", "p_partkey")

@@ -92,6 +92,22 @@ def q_truth_checks(spark, sf):
     return read(spark, sf, "part").select("p_partkey", F.round(score, 6).alias("score"))
 
 
+@query("""WITH c AS (SELECT p_partkey, string_split(p_name, ' ') AS got, contains(p_name, 'small') AND contains(p_name, 'b') AS must, contains(p_name, 'hot') AS bad, contains(p_name, CAST(p_size AS VARCHAR)) AS exact,
+        p_size BETWEEN 10 AND 20 AS n, p_type IN ('SMALL', 'PROMO') AS kind FROM part),
+    v AS (SELECT *, list_sort(list_filter(['small', 'hot'], lambda x: NOT list_contains(got, x))) AS missing, list_filter(got, lambda x: x NOT IN ('small', 'hot')) AS extra FROM c)
+    SELECT p_partkey, array_to_string(list_filter(['small', 'hot'], lambda x: NOT list_contains(got, x)), ',') AS missing, CAST(len(list_distinct(extra)) AS INTEGER) AS n_extra,
+        round((must::INTEGER + (NOT bad)::INTEGER + exact::INTEGER + n::INTEGER + kind::INTEGER + (len(missing) = 0 AND len(extra) = 0)::INTEGER) / 6.0::DOUBLE, 6) AS score FROM v""")
+def q_truth_report(spark, sf):
+    """All kinds of checks, with a part's name as the answer and its words as the values."""
+    lit = lambda *x: F.array(*map(F.lit, x))
+    report = E.truth_report(
+        F.col("p_name"), lit("Small", "b"), lit("hot", "zz"), F.col("p_size").cast("string"), F.col("p_size"), F.lit(10), F.lit(20), F.lit("yes"),
+        F.when(F.col("p_type").isin("SMALL", "PROMO"), lit("yes")).otherwise(lit("no")), lit("small", "hot"), F.split("p_name", " "),
+    )
+    held = read(spark, sf, "part").select("p_partkey", report.alias("r")).withColumn("v", F.get(F.filter("r", lambda c: c["check"] == "values"), F.lit(0)))
+    return held.select("p_partkey", F.array_join("v.missing", ",").alias("missing"), F.size("v.extra").alias("n_extra"), F.round(E.truth_score(F.col("r")), 6).alias("score"))
+
+
 def _runs(spark, sf):
     k = F.get_json_object("props", "$.k").cast("int")
     ok = F.col("event_type") != "error"

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from graphlake.functions import rules
 from graphlake.functions import text as T
 from graphlake.functions import units as U
+from graphlake.operators import classify as Q
 from graphlake.plans.base import ANSWERS, answers, query, read, tokens_sql
 
 _A, _E = tokens_sql("answer"), tokens_sql("expected")
@@ -129,18 +130,15 @@ def q_structured_extract(spark, sf):
     return _notes(spark, sf).select("c_custkey", F.coalesce(year, T.attribute(note, "state"), T.attribute(note, "operator")).alias("answer"))
 
 
-#: Fields a question may name, and those it may not.
-FIELDS = ["event_type", "value", "user", "value_type", "id"]
+#: Fields a question may name.
+FIELDS = ["event_type", "value", "user", "gas_unit", "oil_unit", "id", "type"]
+_FIELD_WORDS = "['which event_type is it', 'what val was it', 'by user and value', 'nothing here', 'gases by it', 'show ' || event_type, 'count of type and id']"
 
 
-@query("""WITH q AS (SELECT event_id, ['which event_type is it', 'what val was it', 'by user and value', 'nothing here'][event_id % 4 + 1] AS q FROM events)
-    SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'event_type' WHEN 1 THEN 'value' WHEN 2 THEN 'user' END AS field FROM q""")
+@query(f"""WITH q AS (SELECT event_id, event_type, {_FIELD_WORDS}[event_id % 7 + 1] AS q FROM events)
+    SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'event_type' WHEN 1 THEN 'value' WHEN 2 THEN 'user' WHEN 4 THEN 'gas_unit' WHEN 6 THEN 'event_type' END AS field FROM q""")
 def q_field_match(spark, sf):
-    """A token that is a field, else the shortest field that holds a token of three letters; `id` is reserved."""
-    asked = F.element_at(F.array(*map(F.lit, ["which event_type is it", "what val was it", "by user and value", "nothing here"])), (F.col("event_id") % 4 + 1).cast("int"))
-    words = read(spark, sf, "events").select("event_id", F.posexplode(T.tokens(asked)).alias("pos", "word"))
-    fields = F.broadcast(spark.createDataFrame([(f,) for f in FIELDS if f != "id"], "field string"))  # a fixed list
-    inside = (F.length("word") >= 3) & F.contains("field", F.col("word"))
-    rank = F.struct(F.when(F.col("word") == F.col("field"), 0).otherwise(1).alias("kind"), "pos", F.length("field").alias("len"), "field")
-    hits = words.join(fields, inside).groupBy("event_id").agg(F.min_by("field", rank).alias("field"))
-    return read(spark, sf, "events").select("event_id").join(hits, "event_id", "left")
+    """The field that a question about an event names: a word that is one, the shortest that holds a word, one by a keyword."""
+    asked = F.array(*map(F.lit, ["which event_type is it", "what val was it", "by user and value", "nothing here", "gases by it"]), F.concat(F.lit("show "), "event_type"), F.lit("count of type and id"))
+    question = F.element_at(asked, (F.col("event_id") % 7 + 1).cast("int"))
+    return read(spark, sf, "events").select("event_id", Q.chosen_field(question, FIELDS).alias("field"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlake.sources.tables import upsert
+from graphlake.streaming.buckets import BucketedTable
 
 
 def event_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
@@ -27,13 +27,8 @@ def first_of_key(events: DataFrame, key: str, ttl: str = "10 minutes") -> DataFr
     return events.withWatermark("ts", ttl).dropDuplicatesWithinWatermark([key])
 
 
-def upsert_into(events: DataFrame, path: str, keys: list[str], version: str, checkpoint: str):
-    """A query that merges each micro-batch into generations of a Parquet table; a batch that is retried writes its own
-    generation again, so the result is that of one run."""
-    spark = events.sparkSession
-
-    def merge(batch: DataFrame, number: int) -> None:
-        merged = batch if number == 0 else upsert(spark.read.parquet(f"{path}/{number - 1}"), batch, keys, version)
-        upsert(merged.limit(0), merged, keys, version).write.mode("overwrite").parquet(f"{path}/{number}")
-
-    return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def upsert_into(events: DataFrame, path: str, keys: list[str], version: str, checkpoint: str, buckets: int = 64):
+    """A query that merges each micro-batch into a `BucketedTable`: a batch rewrites the buckets that it touches, and one that is
+    retried is merged once."""
+    table = BucketedTable(events.sparkSession, path, keys, version, buckets)
+    return events.writeStream.foreachBatch(lambda batch, number: table.merge(batch, number) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

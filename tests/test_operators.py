@@ -11,6 +11,7 @@ from graphlake.functions import text as T
 from graphlake.functions import units
 from graphlake.operators import aggregate, classify, documents, evaluate, graph, retrieval
 from graphlake.streaming import streams
+from graphlake.streaming.buckets import BucketedTable
 
 
 def one(spark, column):
@@ -97,9 +98,10 @@ def test_chi_square_and_bootstrap(spark):
     counts = spark.createDataFrame([(s, n) for s, n in zip(evaluate.STAGES, (5, 6, 30, 7, 7))], "stage string, n long")
     r = evaluate.chi_square(counts, 5).first()
     assert r.statistic == pytest.approx(41.272727, abs=1e-4) and r.p < 1e-6 and r.enough
-    runs = spark.createDataFrame([(i, evaluate.STAGES[i % 5]) for i in range(50)], "key int, domain string")
-    b = evaluate.bootstrap(runs, "domain", evaluate.STAGES, 50).first()
-    assert 0 <= b.low <= b.median <= b.high <= 1 and b == evaluate.bootstrap(runs, "domain", evaluate.STAGES, 50).first()
+    even = spark.createDataFrame([(s, 10) for s in evaluate.STAGES], "stage string, n long")
+    b = evaluate.bootstrap(even, evaluate.STAGES, 50).first()
+    assert 0 <= b.low <= b.median <= b.high <= 1 and b == evaluate.bootstrap(even, evaluate.STAGES, 50).first()
+    assert evaluate.bootstrap(counts, evaluate.STAGES, 50).first().high < 0.05
 
 
 def test_streams(spark, tmp_path):
@@ -116,8 +118,7 @@ def test_streams(spark, tmp_path):
     assert spark.table("first").count() == spark.read.parquet(source).select("user_id").distinct().count()
     run = streams.upsert_into(streams.event_stream(spark, f"{tmp_path}/in").select("event_type", "event_id", "value"), f"{tmp_path}/out", ["event_type"], "event_id", f"{tmp_path}/c3")
     run.awaitTermination(120)
-    last = max(int(p.name) for p in (tmp_path / "out").iterdir() if p.name.isdigit())
-    got = {r.event_type: r.event_id for r in spark.read.parquet(f"{tmp_path}/out/{last}").collect()}
+    got = {r.event_type: r.event_id for r in BucketedTable(spark, f"{tmp_path}/out", ["event_type"], "event_id").read().collect()}
     assert got == {r.event_type: r.m for r in spark.read.parquet(source).groupBy("event_type").agg(F.max("event_id").alias("m")).collect()}
 
 
@@ -189,3 +190,41 @@ def test_question_blocks_give_the_same(spark, monkeypatch):
     whole = sorted(map(tuple, retrieval.vector_topk_batch(vectors, asked, 4).collect()))
     monkeypatch.setattr(retrieval, "QUESTION_BLOCK", 2)
     assert whole == sorted(map(tuple, retrieval.vector_topk_batch(vectors, asked, 4).collect())) and len(whole) == 24
+
+
+def test_chosen_field(spark):
+    fields = ["operator", "oil_production", "well_name", "unit", "Value", "id", "type", "state_code", "state"]
+    choose = lambda q: one(spark, classify.chosen_field(F.lit(q), fields))
+    assert [choose(q) for q in ("what UNIT is it", "the prod of it", "oils", "many id of type", "list all", "value and unit", "nothing")] == ["unit", "oil_production", "oil_production", None, None, "Value", None]
+    assert choose("state") == "state" and choose("stat") == "state" and one(spark, classify.chosen_field(F.lit("unit"), ["id"])) is None
+    compare = lambda q: one(spark, classify.comparison_field(F.lit(q), fields))
+    assert [compare(q) for q in ("which domain", "which curve has most", "more wells", "which is it")] == ["domain", "entity_type", "well_name", None]
+
+
+def test_truth_report(spark):
+    rows = spark.createDataFrame(
+        [
+            (1, "Well A has 21 curves", ["well a", "21"], ["GR"], "21", 21, 20, 22, "las_document", ["las_document", "x"], ["GR", "NPHI"], ["NPHI", "GR"]),
+            (2, "well b, gr", ["well a", "GR"], ["gr", "zz"], "Well B", 5, 6, None, "las_curve", ["x"], ["GR", "NPHI"], ["GR", "DT"]),
+            (3, None, None, None, None, None, 1, 2, None, None, None, ["GR"]),
+            (4, None, ["x"], None, None, 3, None, 3, "t", None, ["a"], None),
+        ],
+        "id int, a string, must array<string>, bad array<string>, exact string, n long, low long, high long, kind string, kinds array<string>, want array<string>, got array<string>",
+    )
+    report = evaluate.truth_report(*[F.col(c) for c in ("a", "must", "bad", "exact", "n", "low", "high", "kind", "kinds", "want", "got")])
+    got = {r.id: (r.r, r.s) for r in rows.select("id", report.alias("r")).withColumn("s", evaluate.truth_score(F.col("r"))).collect()}
+    told = {i: [(c.check, c.passed, c.missing, c.extra) for c in r] for i, (r, _) in got.items()}
+    assert told[1] == [(n, True, [], []) for n in ("contains", "forbidden", "exact", "count", "entity_type", "values")] and got[1][1] == 1.0
+    assert told[2] == [("contains", False, ["well a"], []), ("forbidden", False, [], ["gr"]), ("exact", False, [], []), ("count", False, [], []), ("entity_type", False, [], []), ("values", False, ["NPHI"], ["DT"])]
+    assert told[3] == [] and got[3][1] == 0.0
+    assert told[4] == [("contains", False, ["x"], []), ("count", True, [], []), ("entity_type", False, [], []), ("values", False, ["a"], [])] and got[4][1] == 0.25
+
+
+def test_first_holder_and_lookup(spark):
+    held = spark.createDataFrame([("GR", "w2", "c5"), ("GR", "w1", "c9"), ("GR", "w1", "c7"), ("DT", "w3", "c1"), (None, "w1", "c2")], "code string, parent string, child string")
+    assert sorted(map(tuple, aggregate.first_holders(held, "code", "parent", "child").collect())) == [("DT", "w3", 0, "c1"), ("GR", "w1", 1, "c5")]
+    docs = spark.createDataFrame([(f"d{i}", [float(i)]) for i in range(5)] + [("d9", None)], "id string, embedding array<double>")
+    wanted = spark.createDataFrame([("d3",), ("d1",), ("d1",), ("d9",), ("zz",), ("d4",)], "id string")
+    assert [r.id for r in retrieval.fetch_by_ids(docs, wanted, 3).collect()] == ["d1", "d3", "d4"]
+    near = retrieval.fetch_by_ids(docs.where("embedding is not null"), wanted, 2, [1.0])
+    assert [r.id for r in near.collect()] == ["d1", "d3"]
