@@ -204,14 +204,19 @@ def unsqueeze(data: bytes) -> np.ndarray:
 
 
 def pack_ids(parts: list[bytes]) -> bytes:
-    """A list of id strings: how many ids each has, and all ids."""
+    """A list of id strings: how many ids each has, and all ids in 16 bits where they fit, compressed."""
     counts = squeeze(np.fromiter(map(len, parts), np.int64, len(parts)) // 4)
-    return struct.pack("<Q", len(counts)) + counts + squeeze(np.frombuffer(b"".join(parts), "<u4"))
+    ids = np.frombuffer(b"".join(parts), "<u4")
+    width = 2 if not len(ids) or ids.max() < 1 << 16 else 4
+    data = ids.astype(f"<u{width}").tobytes()
+    return struct.pack("<QBQ", len(counts), width, len(data)) + counts + (_ZSTD.compress(data, asbytes=True) if data else b"")
 
 
 def unpack_ids(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    size = struct.unpack_from("<Q", data)[0]
-    return unsqueeze(data[8 : 8 + size]), unsqueeze(data[8 + size :])
+    first, width, size = struct.unpack_from("<QBQ", data)
+    at = struct.calcsize("<QBQ")
+    ids = np.frombuffer(_ZSTD.decompress(data[at + first :], size), f"<u{width}") if size else np.zeros(0, "<u2")
+    return unsqueeze(data[at : at + first]), ids
 
 
 def pack(parts: list[bytes]) -> bytes:
@@ -233,8 +238,9 @@ def _binary(value: bytes | None) -> pa.Array:
 def slices(docs: DataFrame, vocabulary: tuple[str, str], id_col: str, text_col: str) -> DataFrame:
     """(slice long, bucket int, ids array, firsts, codes, buckets, chunks binary), written.
 
-    A slice of about SLICE_BYTES of texts is a row (bucket -1) with their ids, where each one's codes begin, the codes, the
-    commonest chunk's least, and each code's bucket; and a row for each bucket with its chunks in order of their codes.
+    A slice of about SLICE_BYTES of texts is a row (bucket -1) with their ids, how many codes each has, the codes, shorter ones
+    for commoner chunks, and how many codes each bit length and bucket has; and a row for each bucket with its chunks in
+    order of their codes.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
@@ -253,14 +259,20 @@ def slices(docs: DataFrame, vocabulary: tuple[str, str], id_col: str, text_col:
             codes, chunks, firsts = merges.cut(table.column(2).chunk(0))
             keys = table.column(1).chunk(0)
             held, weight, number = [], 0, number + 1
-            order = np.argsort(-np.bincount(codes, minlength=len(chunks)), kind="stable")
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
-            texts = chunks.take(pa.array(order)).cast(pa.binary()).to_pylist()
+            common_first = np.argsort(-np.bincount(codes, minlength=len(chunks)), kind="stable")
+            texts = chunks.take(pa.array(common_first)).cast(pa.binary()).to_pylist()
+            # codes of one bit length cost the same, so among them chunks go by bucket and text, which packs best
+            lengths = np.frexp(np.arange(len(texts), dtype=np.float64))[1].astype(np.int64)
             of = np.fromiter((zlib.crc32(x) % buckets for x in texts), np.int64, len(texts))
+            cells = lengths * buckets + of
+            order = [i for _, _, i in sorted(zip(cells.tolist(), texts, range(len(texts))))]
+            rank = np.empty(len(order), np.int64)
+            rank[common_first[order]] = np.arange(len(order))
+            texts, of = [texts[i] for i in order], of[order]
+            table_of_cells = np.bincount(cells, minlength=(int(lengths.max()) + 1) * buckets if len(texts) else 0)
             name = pa.array([part << 32 | number], pa.int64())
             whole = pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)
-            yield pa.RecordBatch.from_arrays([name, pa.array([-1], pa.int32()), whole, _binary(squeeze(np.diff(firsts))), _binary(squeeze(rank[codes])), _binary(squeeze(of)), _binary(None)], names)
+            yield pa.RecordBatch.from_arrays([name, pa.array([-1], pa.int32()), whole, _binary(squeeze(np.diff(firsts))), _binary(squeeze(rank[codes])), _binary(squeeze(np.append(table_of_cells, buckets))), _binary(None)], names)
             by = np.argsort(of, kind="stable")
             parts = np.split(by, np.flatnonzero(np.diff(of[by])) + 1) if len(by) else []
             n = len(parts)
@@ -337,8 +349,9 @@ def encode(docs: DataFrame, vocabulary: tuple[str, str], id_col: str = "doc_id",
         for batch in batches:
             for i in range(batch.num_rows):
                 keys = batch.column(0).slice(i, 1).flatten()
-                counts, codes, of = (unsqueeze(batch.column(j)[i].as_py()) for j in (1, 2, 3))
-                by = np.argsort(of, kind="stable")
+                counts, codes, cells = (unsqueeze(batch.column(j)[i].as_py()) for j in (1, 2, 3))
+                cells, buckets = cells[:-1], int(cells[-1])
+                by = np.argsort(np.repeat(np.arange(len(cells)) % buckets, cells), kind="stable")
                 found = [unpack_ids(x["tokens"]) for x in sorted(batch.column(4)[i].as_py() or [], key=lambda x: x["bucket"])]
                 sizes = np.concatenate([n for n, _ in found]) if found else np.zeros(0, np.int64)
                 flat = np.concatenate([x for _, x in found]).astype("<u4") if found else np.zeros(0, "<u4")
