@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from graphlake.functions import text as T
 from graphlake.operators import aggregate as A
-from graphlake.plans.base import NODES, nodes, query, read
+from graphlake.operators import bitmap_index as B
+from graphlake.plans.base import NODES, folder, nodes, query, read
 
 
 @query(f"WITH {NODES} SELECT count(*) AS n FROM nodes WHERE type = 'las_curve'")
@@ -198,6 +199,14 @@ def q_has_all(spark, sf):
     return held.where("n = 2").select("l_orderkey")
 
 
+@query(f"WITH {_PARTS} SELECT l_orderkey FROM o WHERE p_type IN ('SMALL', 'PROMO') GROUP BY l_orderkey HAVING count(DISTINCT p_type) = 2")
+def q_has_all_bitmaps(spark, sf):
+    """The same by an AND of the types' stored bitmaps."""
+    index = B.build(_order_parts(spark, sf).select(F.col("p_type").alias("term"), F.col("l_orderkey").alias("member")), folder(spark, "bitmaps"))
+    wanted = spark.createDataFrame([(1, "SMALL"), (1, "PROMO")], "query_id int, term string")  # the two that are asked for
+    return B.with_all(index, wanted).select(F.col("member").alias("l_orderkey"))
+
+
 @query(f"WITH {_PARTS}, d AS (SELECT DISTINCT l_orderkey, p_type FROM o WHERE p_type NOT IN ('SMALL', 'PROMO', 'LARGE')) SELECT l_orderkey, array_to_string(list(p_type ORDER BY p_type)[1:10], ',') AS codes FROM d GROUP BY l_orderkey")
 def q_codes_except(spark, sf):
     rest = _order_parts(spark, sf).where(~F.col("p_type").isin("SMALL", "PROMO", "LARGE"))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from graphlake.functions import text as T
 from graphlake.operators import answers as S
+from graphlake.operators import bitmap_index as B
 from graphlake.operators import classify as Q
 from graphlake.operators import documents as D
 from graphlake.operators import graph as G
@@ -114,6 +115,16 @@ def q_id_contains(spark, sf):
     return read(spark, sf, "documents").where(R.id_match(F.col("doc_id").cast("string"), F.col("text"), F.lit("15"))).select("doc_id")
 
 
+@query("""WITH w AS (SELECT item_id, string_split(text, ' ')[2] AS word FROM benchmark UNION ALL SELECT -1, '15')
+    SELECT item_id, doc_id FROM documents JOIN w ON contains(lower(text), lower(word))""")
+def q_substring_index(spark, sf):
+    """Documents that hold each benchmark item's second word, by stored trigrams, and those that hold 15, which has none."""
+    words = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.get(F.split("text", " "), F.lit(1)).alias("keyword"))
+    words = words.unionByName(spark.createDataFrame([(-1, "15")], "query_id long, keyword string"))
+    docs = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    return B.containing(B.build_grams(docs, folder(spark, "trigrams")), docs, words).select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"))
+
+
 _KEYED = _RERANK + ", k AS (SELECT *, contains(lower(text), @word) AS passes FROM re WHERE new_rank <= 30)"
 _FALLBACK = """, w AS (SELECT *, bool_or(passes) OVER (PARTITION BY query_id) AS any_pass, count(*) FILTER (passes) OVER (PARTITION BY query_id ORDER BY new_rank) AS place FROM k)
     SELECT query_id, doc_id, new_rank, passes FROM w WHERE CASE WHEN any_pass THEN passes AND place <= 15 ELSE new_rank <= 5 END"""
@@ -238,7 +249,7 @@ _OUT_TEXT = S.OUT_OF_SCOPE.replace("%s", "' || topic || '")
     tokens AS (SELECT query_id, unnest(t) AS code, generate_subscripts(t, 1) AS pos FROM (SELECT query_id, regexp_extract_all(question, '[A-Z0-9_-]{{2,}}') AS t FROM r WHERE route = 'relation' AND target IS NULL)),
     told AS (SELECT query_id, arg_min(coalesce(name || ' (well ID: ' || holder || ')', holder) || CASE WHEN n > 1 THEN ' (plus ' || n - 1 || ' other matches)' ELSE '' END, pos) AS answer
         FROM tokens JOIN holders USING (code) LEFT JOIN nodes ON id = holder GROUP BY query_id),
-    ex AS (SELECT query_id, CASE WHEN complex OR attribute <> 'mnemonic' OR len(m) = 0 THEN NULL WHEN len(m) <= 5 THEN array_to_string(m, ', ') ELSE len(m) || ' curves found: ' || array_to_string(m[1:5], ', ') || '...' END AS answer
+    ex AS (SELECT query_id, CASE WHEN complex OR attribute IS DISTINCT FROM 'mnemonic' OR len(m) = 0 THEN NULL WHEN len(m) <= 5 THEN array_to_string(m, ', ') ELSE len(m) || ' curves found: ' || array_to_string(m[1:5], ', ') || '...' END AS answer
         FROM r JOIN (SELECT query_id, list(mnemonic ORDER BY rank) FILTER (mnemonic IS NOT NULL) AS m FROM found GROUP BY query_id) USING (query_id)),
     rows AS (SELECT query_id, rank, n_chars, CASE field WHEN 'domain' THEN lang WHEN 'operator' THEN source WHEN 'state' THEN source ELSE lang END AS value FROM found JOIN r USING (query_id)),
     groups AS (SELECT query_id, value, count(*) AS size, min(rank) AS first FROM rows WHERE value IS NOT NULL GROUP BY ALL),
