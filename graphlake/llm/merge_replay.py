@@ -26,7 +26,7 @@ from graphlake.llm import common
 
 #: Bytes of text in a slice, distinct chunks in one replay, chunks and pairs that a worker remembers, and buckets of chunks
 #: for each shuffle partition.
-SLICE_BYTES, BLOCK_CHUNKS, KNOWN, PAIRS, BUCKETS = 16 << 20, 32_768, 200_000, 1 << 20, 4
+SLICE_BYTES, BLOCK_CHUNKS, KNOWN, PAIRS, BUCKETS = 24 << 20, 32_768, 200_000, 1 << 20, 4
 #: White space across which the pattern looks ahead: such texts are cut by the pattern itself.
 _UNSAFE = re.compile(r"\s\s\s|\s\s\Z")
 _loaded: dict[tuple[str, str], "Merges"] = {}
