@@ -4,23 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from graphlake.functions import text as T
-
-
-def header_names(categories: list[str | None], names: list[str | None]) -> list[str]:
-    """Column names of two header rows: the category to the left goes on, repeats get _1, _2, nameless columns col_i."""
-    seen: dict[str, int] = {}
-    out, category = [], ""
-    for i, name in enumerate(names):
-        given = (categories[i] or "").strip() if i < len(categories) else ""
-        category = given or category
-        name = (name or "").strip()
-        full = f"{category}_{name}" if category and name else name or f"col_{i}"
-        seen[full] = seen.get(full, -1) + 1
-        out.append(full if not seen[full] else f"{full}_{seen[full]}")
-    return out
+from graphlake.sources import readers
+from graphlake.sources.readers import header_names  # noqa: F401
 
 
 def cell(value: Column) -> Column:
@@ -30,18 +17,27 @@ def cell(value: Column) -> Column:
     return F.coalesce(whole, F.when(F.contains(plain, F.lit(".")), plain.try_cast("double").cast("string")), plain)
 
 
-def read_two_header_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of one CSV file under two header rows, blank rows left out. Only the two header lines reach the driver."""
-    lines = spark.read.text(path)
-    first, second = (spark.read.csv(spark.sparkContext.parallelize([r.value])).first() for r in lines.limit(2).collect())
-    names = header_names(list(first), list(second))
-    schema = ", ".join(f"c{i} string" for i in range(len(names)))
-    raw = spark.read.schema(schema).csv(path, multiLine=True).withColumn("line_", F.monotonically_increasing_id())
-    # the header is where the file begins: the two least lines of the least partition
-    body = raw.join(F.broadcast(raw.orderBy("line_").limit(2).select("line_")), "line_", "left_anti")
-    cells = [cell(F.col(f"c{i}")).alias(n) for i, n in enumerate(names)]
-    out = body.select(*cells)
-    return out.where(F.coalesce(*[F.col(f"`{n}`") for n in names]).isNotNull())
+def two_header_columns(spark: SparkSession, path: str) -> list[str]:
+    """The distinct column names of all files under path, in the order of the least column number and file that has them."""
+    readers.register(spark)
+    heads = spark.read.format("two_header_csv").option("headersOnly", True).load(path)
+    named = heads.select(F.map_keys("cells")[0].alias("name"), F.struct("row", "file").alias("at"))
+    return [r.name for r in named.groupBy("name").agg(F.min("at").alias("at")).orderBy("at").collect()]  # bounded by the columns
+
+
+def two_header_rows(spark: SparkSession, path: str, multiline: bool = True, split_bytes: int = readers.SPLIT) -> DataFrame:
+    """(file, split, row, cells map): rows of all files under path, each under its own two header rows; blank cells and rows are
+    left out. Without multiline, for files whose quoted cells have no line breaks, large files are cut."""
+    readers.register(spark)
+    rows = spark.read.format("two_header_csv").option("multiLine", multiline).option("splitBytes", split_bytes).load(path)
+    cells = F.map_filter(F.transform_values("cells", lambda _, v: cell(v)), lambda _, v: v.isNotNull())
+    return rows.select("file", "split", "row", cells.alias("cells")).where(F.size("cells") > 0)
+
+
+def read_two_header_csv(spark: SparkSession, path: str, multiline: bool = True, split_bytes: int = readers.SPLIT) -> DataFrame:
+    """The same with a column for each name that any file has, null where a file lacks it. Only names reach the driver."""
+    rows = two_header_rows(spark, path, multiline, split_bytes)
+    return rows.select(*[F.try_element_at("cells", F.lit(n)).alias(n) for n in two_header_columns(spark, path)])
 
 
 _SERIES = """value struct<timeSeries: array<struct<
@@ -70,13 +66,10 @@ def read_time_series(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, pos, line, section) of well-log files: a line's section is the last `~X` line at or before it in its file."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    lines = whole.select("file", F.posexplode(F.split("value", "\r?\n")).alias("pos", "line")).withColumn("line", F.trim("line"))
-    marker = F.when(F.startswith("line", F.lit("~")), F.upper("line"))
-    before = Window.partitionBy("file").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return lines.withColumn("section", F.last(marker, ignorenulls=True).over(before))
+def log_lines(spark: SparkSession, path: str, header_only: bool = False) -> DataFrame:
+    """(file, pos, line, section) of well-log files, streamed by `readers.WellLog`: no shuffle, no file held whole."""
+    readers.register(spark)
+    return spark.read.format("well_log").option("headerOnly", header_only).load(path)
 
 
 def _fields(lines: DataFrame, section: str) -> DataFrame:
