@@ -76,6 +76,23 @@ def with_any(index: Index, asked: DataFrame) -> DataFrame:
     return _members(index, met.groupBy("query_id", "bucket").agg(F.bitmap_or_agg("bits").alias("bits")))
 
 
+def with_all_but(index: Index, asked: DataFrame, but: DataFrame) -> DataFrame:
+    """(query_id, member): the members that hold all terms asked of a query and none of those in but, both (query_id, term)."""
+    wanted, barred = asked.select("query_id", "term").distinct(), but.select("query_id", "term").distinct()
+    needed = wanted.groupBy("query_id").agg(F.count("*").alias("needed"))
+    held = index.bitmaps.join(wanted, "term").groupBy("query_id", "bucket").agg(F.bitmap_and_agg("bits").alias("bits"), F.count("*").alias("n"))
+    out = index.bitmaps.join(barred, "term").groupBy("query_id", "bucket").agg(F.bitmap_or_agg("bits").alias("out"))
+    sets = held.join(needed, "query_id").where("n = needed").join(out, ["query_id", "bucket"], "left")
+    left = F.array_except(numbers_in(F.col("bucket"), F.col("bits")), F.when(F.col("out").isNull(), F.array().cast("array<bigint>")).otherwise(numbers_in(F.col("bucket"), F.col("out"))))
+    return sets.select("query_id", F.explode(left).alias("number")).join(index.numbers, "number").select("query_id", "member")
+
+
+def terms_but(index: Index, but: list[str]) -> DataFrame:
+    """(member, term): each member's terms that aren't among the given ones; the bitmaps of those are not read out."""
+    rest = index.bitmaps.where(~F.col("term").isin(but)).select("term", F.explode(numbers_in(F.col("bucket"), F.col("bits"))).alias("number"))
+    return rest.join(index.numbers, "number").select("member", "term")
+
+
 def grams(text: Column) -> Column:
     """The distinct runs of GRAM characters of the lower-cased text; none in a shorter one."""
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))

@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from graphlake.functions import text as T
 
@@ -134,8 +133,7 @@ def first_answer(rows: DataFrame, term: str, definition: str, source: str, prior
 
 def cache_latest(rows: DataFrame, key: str, at: str, now: Column, ttl: Column, cap: int | None = None) -> DataFrame:
     """Each key's newest row, if it is still valid: at + ttl > now, and ttl > 0. With a cap, the newest `cap` keys: a top-k."""
-    newest = Window.partitionBy(key).orderBy(F.desc(at))
-    held = rows.withColumn("n_", F.row_number().over(newest)).where("n_ = 1").drop("n_")
+    held = rows.groupBy(F.col(key).alias("key_")).agg(F.max_by(F.struct("*"), F.col(at)).alias("row_")).select("row_.*")
     valid = held.where((ttl > 0) & (F.col(at) + ttl > now))
     return valid if cap is None else valid.orderBy(F.desc(at), key).limit(cap)
 

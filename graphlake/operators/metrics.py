@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from graphlake.operators import statistics as S
 
@@ -61,5 +60,6 @@ def slowest(rows: DataFrame, value: str, key: str, n: int = 5) -> DataFrame:
 
 def stage_share(rows: DataFrame, run: str, value: str) -> DataFrame:
     """Adds share: a stage's part of its run's total."""
-    whole = F.sum(value).over(Window.partitionBy(run))
-    return rows.withColumn("share", F.round(F.coalesce(F.try_divide(F.col(value), whole), F.lit(0.0)), 6))
+    totals = rows.groupBy(F.col(run).alias("run_")).agg(F.sum(value).alias("whole_"))  # summed up before the shuffle, so a run of any size is no task's alone
+    joined = rows.join(totals, F.col(run).eqNullSafe(F.col("run_")))
+    return joined.withColumn("share", F.round(F.coalesce(F.try_divide(F.col(value), F.col("whole_")), F.lit(0.0)), 6)).drop("run_", "whole_")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from graphlake.functions import text as T
 from graphlake.operators import aggregate as A
 from graphlake.operators import bitmap_index as B
+from graphlake.operators import wells as W
 from graphlake.plans.base import NODES, folder, nodes, query, read
 
 
@@ -21,8 +22,7 @@ def q_count_filtered(spark, sf):
 
 @query("SELECT count(DISTINCT upper(p_brand)) AS n, string_agg(DISTINCT upper(p_brand), ',' ORDER BY upper(p_brand)) AS codes FROM part WHERE upper(p_brand) <> 'NONE'")
 def q_count_distinct(spark, sf):
-    codes = read(spark, sf, "part").select(F.upper("p_brand").alias("c")).where("c <> 'NONE'").distinct()
-    return codes.agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("c")), ",").alias("codes"))
+    return W.distinct_codes(read(spark, sf, "part"), F.col("p_brand"))
 
 
 @query("SELECT DISTINCT nullif(p_name, '') AS value FROM part WHERE p_name IS NOT NULL AND p_name <> '' ORDER BY 1 LIMIT 20")
@@ -101,8 +101,7 @@ def q_children_per_parent(spark, sf):
 def _children(spark, sf):
     """Children of each parent, the parent taken from the tag in the child's text."""
     tag = F.concat(F.lit("LAS_CURVE [BELONGS_TO_WELL] customer-"), F.col("o_custkey").cast("string"), F.lit(" [UNIT] x"))
-    parent = F.coalesce(T.missing(F.regexp_extract(tag, r"\[BELONGS_TO_WELL\]\s*(\S+)", 1)))
-    return read(spark, sf, "orders").select(parent.alias("parent")).groupBy("parent").agg(F.count("*").alias("n"))
+    return W.children_per_parent(read(spark, sf, "orders"), W.parent_of(tag))
 
 
 @query("WITH c AS (SELECT count(*) AS n FROM orders GROUP BY o_custkey) SELECT count(*) AS parents, min(n) AS least, max(n) AS most, round(avg(n), 2) AS average FROM c")
@@ -182,7 +181,7 @@ _UNITS = ["Ohm-m", "ohm m", "OHMM", "g/cm3", "ohm..m", ""]
 def q_unit_filter(spark, sf):
     """Brands of parts whose unit, spelt in several ways, is ohm.m."""
     unit = F.element_at(F.array(*map(F.lit, _UNITS)), (F.col("p_size") % 6 + 1).cast("int"))
-    return read(spark, sf, "part").where(T.normalize_unit(unit) == "ohm.m").groupBy("p_brand").agg(F.count("*").alias("n"))
+    return W.with_unit(read(spark, sf, "part"), unit).groupBy("p_brand").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {_PARTS} SELECT l_orderkey, CAST(round_even(100.0 * count(DISTINCT p_type) FILTER (p_type IN ('MEDIUM', 'LARGE')) / count(DISTINCT p_type), 0) AS BIGINT) AS share FROM o GROUP BY l_orderkey""")
@@ -195,28 +194,44 @@ def q_category_share(spark, sf):
 @query(f"WITH {_PARTS} SELECT l_orderkey FROM o WHERE p_type IN ('SMALL', 'PROMO') GROUP BY l_orderkey HAVING count(DISTINCT p_type) = 2")
 def q_has_all(spark, sf):
     """Orders that have every wanted type (relational division)."""
-    held = _order_parts(spark, sf).where(F.col("p_type").isin("SMALL", "PROMO")).groupBy("l_orderkey").agg(F.count_distinct("p_type").alias("n"))
-    return held.where("n = 2").select("l_orderkey")
+    return W.has_all(_order_parts(spark, sf), "l_orderkey", "p_type", ["SMALL", "PROMO"])
+
+
+def _bitmaps(spark, sf):
+    return B.build(_order_parts(spark, sf).select(F.col("p_type").alias("term"), F.col("l_orderkey").alias("member")), folder(spark, "bitmaps"))
 
 
 @query(f"WITH {_PARTS} SELECT l_orderkey FROM o WHERE p_type IN ('SMALL', 'PROMO') GROUP BY l_orderkey HAVING count(DISTINCT p_type) = 2")
 def q_has_all_bitmaps(spark, sf):
     """The same by an AND of the types' stored bitmaps."""
-    index = B.build(_order_parts(spark, sf).select(F.col("p_type").alias("term"), F.col("l_orderkey").alias("member")), folder(spark, "bitmaps"))
+    index = _bitmaps(spark, sf)
     wanted = spark.createDataFrame([(1, "SMALL"), (1, "PROMO")], "query_id int, term string")  # the two that are asked for
     return B.with_all(index, wanted).select(F.col("member").alias("l_orderkey"))
 
 
 @query(f"WITH {_PARTS}, d AS (SELECT DISTINCT l_orderkey, p_type FROM o WHERE p_type NOT IN ('SMALL', 'PROMO', 'LARGE')) SELECT l_orderkey, array_to_string(list(p_type ORDER BY p_type)[1:10], ',') AS codes FROM d GROUP BY l_orderkey")
 def q_codes_except(spark, sf):
-    rest = _order_parts(spark, sf).where(~F.col("p_type").isin("SMALL", "PROMO", "LARGE"))
-    return rest.groupBy("l_orderkey").agg(F.array_join(F.slice(F.array_sort(F.collect_set("p_type")), 1, 10), ",").alias("codes"))
+    return W.codes_except(_order_parts(spark, sf), "l_orderkey", "p_type", ["SMALL", "PROMO", "LARGE"])
+
+
+@query(f"WITH {_PARTS}, d AS (SELECT DISTINCT l_orderkey, p_type FROM o WHERE p_type NOT IN ('SMALL', 'PROMO', 'LARGE')) SELECT l_orderkey, array_to_string(list(p_type ORDER BY p_type)[1:10], ',') AS codes FROM d GROUP BY l_orderkey")
+def q_codes_except_bitmaps(spark, sf):
+    """The same from the stored bitmaps of the other types."""
+    rest = B.terms_but(_bitmaps(spark, sf), ["SMALL", "PROMO", "LARGE"])
+    return rest.groupBy(F.col("member").alias("l_orderkey")).agg(F.array_join(F.slice(F.array_sort(F.collect_list("term")), 1, 10), ",").alias("codes"))
+
+
+@query(f"WITH {_PARTS} SELECT l_orderkey FROM o GROUP BY l_orderkey HAVING bool_or(p_type = 'SMALL') AND NOT bool_or(p_type IN ('PROMO', 'LARGE'))")
+def q_has_but_bitmaps(spark, sf):
+    """Orders with one type and without two others: AND NOT of the stored bitmaps."""
+    asked = spark.createDataFrame([(1, "SMALL")], "query_id int, term string")
+    but = spark.createDataFrame([(1, "PROMO"), (1, "LARGE")], "query_id int, term string")
+    return B.with_all_but(_bitmaps(spark, sf), asked, but).select(F.col("member").alias("l_orderkey"))
 
 
 @query("SELECT count(*) AS n FROM (SELECT DISTINCT replace(p_name, ' ', '_') AS code FROM part) WHERE contains(code, '_') AND length(code) <= 8")
 def q_pattern_count(spark, sf):
-    codes = read(spark, sf, "part").select(F.replace("p_name", F.lit(" "), F.lit("_")).alias("code")).distinct()
-    return codes.agg(F.count_if(F.contains("code", F.lit("_")) & (F.length("code") <= 8)).alias("n"))
+    return W.underscore_count(read(spark, sf, "part"), F.replace("p_name", F.lit(" "), F.lit("_")))
 
 
 @query("""SELECT p_name AS code, min(l_orderkey) AS holder, count(DISTINCT l_orderkey) - 1 AS others, min(p_partkey) AS first_child FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_name""")
@@ -224,3 +239,62 @@ def q_code_lookup(spark, sf):
     """The first order that holds a code, how many others do, and the first part that has it."""
     lines, parts = read(spark, sf, "lineitem").select("l_orderkey", "l_partkey"), read(spark, sf, "part").select("p_partkey", F.col("p_name").alias("code"))
     return A.first_holders(lines.join(parts, F.col("l_partkey") == F.col("p_partkey")), "code", "l_orderkey", "p_partkey")
+
+
+#: Part types as codes of the four groups.
+CURVES = {"depth": ["STANDARD"], "resistivity": ["SMALL"], "porosity": ["MEDIUM", "LARGE"], "lithology": ["ECONOMY", "PROMO"]}
+
+
+def _curves_sql(name: str) -> str:
+    return f"array_to_string(list(DISTINCT p_type ORDER BY p_type) FILTER (p_type IN ({', '.join(map(repr, CURVES[name]))})), ', ') AS {name}"
+
+
+def _wells(spark, sf):
+    """(well_id, well, uwi, codes) of each order: its customer's name but for those of segment BUILDING, and a block from its keys but
+    for every third customer."""
+    codes = W.held_codes(_order_parts(spark, sf), "l_orderkey", "p_type")
+    key, customer = F.col("o_orderkey"), F.col("o_custkey")
+    block = F.when(customer % 3 != 0, F.concat((customer % 5 + 12).cast("string"), F.lit("/"), (key % 12).cast("string"), F.lit("-"), (key % 7).cast("string")))
+    orders = read(spark, sf, "orders").select("o_orderkey", "o_custkey", block.alias("uwi"))
+    named = read(spark, sf, "customer").select("c_custkey", F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_name")).alias("well"))
+    joined = codes.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(named, F.col("o_custkey") == F.col("c_custkey"))
+    return joined.select(F.col("o_orderkey").cast("string").alias("well_id"), "well", "uwi", "codes")
+
+
+_WELLS = f"""{_PARTS}, g AS (SELECT l_orderkey, {', '.join(map(_curves_sql, CURVES))} FROM o GROUP BY l_orderkey),
+    b AS (SELECT CAST(o_orderkey AS VARCHAR) AS well_id, CASE WHEN c_mktsegment <> 'BUILDING' THEN c_name END AS well,
+        CASE WHEN o_custkey % 3 <> 0 THEN (o_custkey % 5 + 12) || '/' || (o_orderkey % 12) || '-' || (o_orderkey % 7) END AS uwi, g.*
+        FROM g JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey),
+    w AS (SELECT *, CASE WHEN uwi LIKE '15/%' THEN 'Norwegian North Sea (block ' || split_part(uwi, '-', 1) || ')' WHEN well IS NOT NULL THEN 'Norwegian Continental Shelf' END AS basin FROM b)"""
+
+
+@query(f"""WITH {_WELLS} SELECT well_id,
+    coalesce(well, 'well ' || well_id) || ' log suite classification: ' || coalesce(nullif(concat_ws('; ', 'depth control (' || depth || ')', 'porosity logs (' || porosity || ')',
+        'resistivity logs (' || resistivity || ')', 'lithofacies interpretation (' || lithology || ')'), ''), 'standard FORCE 2020 open-hole suite') || '.'
+        || coalesce(' This suite is typical of the ' || basin || '.', ' This suite is typical of Norwegian Continental Shelf block ' || uwi || '.', '') AS suite,
+    'Geological setting: ' || CASE WHEN basin IS NULL AND well IS NULL THEN 'part of the FORCE 2020 Norwegian Continental Shelf release'
+        ELSE concat_ws('; ', 'located in the ' || basin, 'well name ' || well, 'block ' || uwi) END || '. Curve support includes '
+        || coalesce(nullif(concat_ws(', ', CASE WHEN porosity <> '' AND resistivity <> '' THEN 'porosity and resistivity coverage for reservoir evaluation' END,
+            CASE WHEN lithology <> '' THEN 'lithofacies logs for depositional context' END), ''), 'standard open-hole measurements') || '.' AS setting FROM w""")
+def q_suite_and_setting(spark, sf):
+    """Each well's suite, basin and geological setting as answers."""
+    wells = _wells(spark, sf)
+    held = W.groups(F.col("codes"), CURVES)
+    well, uwi = F.col("well"), F.col("uwi")
+    return wells.select("well_id", W.suite_answer(held, well, uwi, F.col("well_id")).alias("suite"), W.setting_answer(held, well, uwi).alias("setting"))
+
+
+@query(f"""WITH {_WELLS} SELECT well_id,
+    'Possible: ' || coalesce(nullif(concat_ws('; ', 'saturation analysis (' || resistivity || ' with ' || porosity || ')', 'lithology interpretation (' || lithology || ')', 'depth control (' || depth || ')'), ''),
+        'basic well-log quality control only') || '. Impossible: '
+        || coalesce(nullif(concat_ws('; ', CASE WHEN porosity IS NULL OR resistivity IS NULL THEN 'saturation analysis (needs both porosity and resistivity curves)' END,
+            CASE WHEN lithology IS NULL THEN 'lithofacies interpretation (requires lithology curves)' END), ''), 'None noted') || '.' AS capability,
+    concat_ws(' ', 'Yes - the curve suite supports a complete petrophysical evaluation.',
+        'It includes ' || nullif(concat_ws('; ', 'resistivity logs (' || resistivity || ')', 'porosity logs (' || porosity || ')', 'depth control (' || depth || ')'), '') || ' for interpretation.',
+        'Lithology coverage comes from ' || lithology || '.') AS evaluation,
+    'Use ' || nullif(concat_ws(' and ', 'resistivity logs (' || resistivity || ') to spot hydrocarbon-bearing zones', 'porosity logs (' || porosity || ') to confirm density-neutron crossover'), '') || '.' AS hydrocarbon
+    FROM w""")
+def q_capability_answers(spark, sf):
+    """What each well's codes allow: capabilities, evaluation, and the way to hydrocarbons where there is one."""
+    held = W.groups(F.col("codes"), CURVES)
+    return _wells(spark, sf).select("well_id", W.capability_answer(held).alias("capability"), W.evaluation_answer(held).alias("evaluation"), W.hydrocarbon_answer(held).alias("hydrocarbon"))

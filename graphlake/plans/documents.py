@@ -4,8 +4,10 @@ from pyspark.sql import functions as F
 
 from graphlake.operators import documents as D
 from graphlake.operators import retrieval as R
-from graphlake.plans.base import NODES, edges, nodes, query, read, tagged
+from graphlake.plans.base import NODES, edges, folder, nodes, query, read, tagged
 from graphlake.sources import tables as S
+from graphlake.streaming import cache
+from graphlake.streaming.streams import event_stream
 
 
 @query(f"WITH {NODES} SELECT id, CASE type WHEN 'part' THEN 'unknown' ELSE 'subsurface' END AS domain FROM nodes")
@@ -118,6 +120,25 @@ def q_ttl_latest(spark, sf):
     return D.cache_latest(rows.join(F.broadcast(end), F.lit(True)), "user_id", "at", F.col("end"), F.lit(12 * 3600 * 1_000_000)).select("user_id")
 
 
+@query("""WITH e AS (SELECT CAST(user_id AS VARCHAR) AS term, CASE WHEN value <= 60 THEN event_type END AS source, value > 40 AS gone, coalesce(props, '') AS definition, ts FROM events),
+    p AS (SELECT * FROM e WHERE NOT gone QUALIFY row_number() OVER (PARTITION BY term, source ORDER BY ts DESC, definition DESC) = 1)
+    SELECT term, source, definition FROM p WHERE ts + INTERVAL 24 HOUR > (SELECT max(ts) FROM events)
+        AND NOT EXISTS (SELECT 1 FROM e g WHERE g.gone AND g.term = p.term AND (g.source IS NULL OR g.source = p.source) AND g.ts >= p.ts)""")
+def q_ttl_state(spark, sf):
+    """The same cache kept as streaming state: events are puts, those over 40 invalidate their source, those over 60 all sources
+    of their key. Rows of up to 40 days before the newest are let in, so the order of the files doesn't matter."""
+    at = folder(spark, "cache")
+    value = F.col("value")
+    rows = event_stream(spark, f"{sf}/events.parque[t]", 1_000).select(  # a pattern, because a stream takes no single file
+        F.col("user_id").cast("string").alias("term"), F.when(value <= 60, F.col("event_type")).alias("source"), F.col("props").alias("definition"),
+        F.col("ts").alias("at"), F.lit(24 * 3600.0).alias("ttl"), (value > 40).alias("gone"),
+    )
+    cache.cache_into(rows, f"{at}/changes", f"{at}/state", "40 days").awaitTermination()
+    end = read(spark, sf, "events").agg(F.max(F.col("ts").cast("timestamp")).alias("end"))
+    changes = spark.read.schema("term string, source string, definition string, at timestamp, expires timestamp, status string, changed timestamp").parquet(f"{at}/changes")
+    return cache.held(changes, end.first()[0]).select("term", "source", "definition")  # one value: the log's end
+
+
 @query("SELECT event_type, arg_max(event_id, event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY event_type")
 def q_upsert_latest(spark, sf):
     """Two halves of the events merged by key, the latest version first."""
