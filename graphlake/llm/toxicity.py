@@ -194,7 +194,8 @@ def severity(toxic_col: str, quality_col: str | None) -> Column:
 def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, label_col: str = "toxic", quality_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel:
     """Fits on a sample of labelled rows, about train_docs and TRAIN_BYTES of features at most (all, where there are fewer), in
     one task that holds no more; the driver gets the weights, of features that pass the GAIN test. Grades come from the
-    labels alone: see severity(); a quality_col that labels lacks counts as none. Null labels and ids are passed over; of
+    labels alone: see severity(); a quality_col that labels lacks counts as none. Near copies of a sampled text of the same grade
+    are left out of the fit: see distinct_docs(). Null labels and ids are passed over; of
     several labels of an id the worst holds; each row of a repeated id counts; other columns are not looked at."""
     spark = docs.sparkSession
     common.arrow_batches(spark, 2)

@@ -1,4 +1,5 @@
 import math
+import re
 import zlib
 
 import numpy as np
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from graphlake.llm import common, language_id, queries, toxicity
 
-from .helpers import ODD, SF, docs
+from .helpers import ODD, SF, docs, folder
 
 
 def test_bundles_equal_a_plain_sum():
@@ -139,3 +140,61 @@ def test_distinct_words_in_slices(monkeypatch):
         for r, c in zip(row, code):
             got.setdefault(first + int(r), set()).add(words[c])
     assert got == {0: {"a", "b"}, 3: {"long", "word"}, 4: {"x"}}
+
+
+def plain_vector(text):
+    """A text's bundle, trigram by trigram; None without a letter."""
+    runs = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+    padded, out = f" {' '.join(runs)} ", np.zeros(language_id.DIMENSIONS)
+    for a, b, c in zip(padded, padded[1:], padded[2:]):
+        if b != " ":
+            out += np.roll(language_id.letter_vector(ord(a)), 2) * np.roll(language_id.letter_vector(ord(b)), 1) * language_id.letter_vector(ord(c))
+    return out if runs else None
+
+
+def test_predictions_equal_brute_force(spark, tmp_path):
+    """The query's lang_pred and score, on awkward rows and on texts of three languages."""
+    spoken = {"en": "the weather this morning is rather cold and windy", "de": "das wetter heute morgen ist ziemlich kalt und windig", "es": "el tiempo esta mañana es bastante frío y ventoso"}
+    texts, langs = list(ODD), [None] * len(ODD)
+    for i in range(48):
+        lang = ["en", "de", "es"][i % 3]
+        words = spoken[lang].split()
+        texts.append(" ".join(words[i % 4 :] + words[: i % 5]))
+        langs.append(None if i % 11 == 10 else lang)
+    at = folder(spark, tmp_path, texts, langs)
+    sums = {}
+    for i, (text, lang) in enumerate(zip(texts, langs)):
+        vector = plain_vector(text)
+        if lang and vector is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            sums[lang] = sums.get(lang, 0) + vector / np.linalg.norm(vector)
+    units = {lang: v / np.linalg.norm(v) for lang, v in sorted(sums.items())}
+    rows = queries.op2_hyperdimensional_langid(spark, at).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(len(texts)))
+    for r in rows:
+        vector = plain_vector(texts[r.doc_id])
+        if vector is None:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        cosines = {lang: float(vector @ u / (np.linalg.norm(vector) or 1)) for lang, u in units.items()}
+        assert abs(r.score - min(1, max(0, *cosines.values()))) < 1e-4
+        assert cosines[r.lang_pred] > max(cosines.values()) - 1e-4
+
+
+def test_grades_equal_brute_force(spark):
+    """severity, p_toxic, grade and toxic from a model's weights, word by word."""
+    marked = {"fox": 1.5, "quick": 0.4, "word": 2.5, "naïve": 0.7, "emoji": 3.0, "now": 0.2}
+    weights = {f: w / (i + 1) for word, w in marked.items() for i, f in enumerate(toxicity.features(word))}
+    model = toxicity.OrdinalModel(weights, np.array([1.2, 2.9]))
+    texts = [*ODD, "FOX fox (fox) foxes", "quick, quicker quickest!", "emoji word"]
+    got = {r.doc_id: r for r in toxicity.grade(docs(spark, texts), model).collect()}
+    assert len(got) == len(texts)
+    seen = set()
+    for i, text in enumerate(texts):
+        words = {w.strip().lower().strip(toxicity._TRIM) for w in re.split("[ \t-\r]+", text or "")} - {""}
+        score = sum(weights.get(f, 0.0) for w in words for f in toxicity.features(w))
+        above = [1 / (1 + math.exp(c - score)) for c in (1.2, 2.9)]
+        assert abs(got[i].severity - sum(above)) < 1e-9 and abs(got[i].p_toxic - above[0]) < 1e-9
+        want = sum(p >= toxicity.DECIDED for p in above)
+        assert (got[i].grade, got[i].toxic) == (want, want > 0)
+        seen.add(round(score, 3))
+    assert len(seen) > 5
