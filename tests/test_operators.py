@@ -6,6 +6,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from graphlake.functions import text as T
 from graphlake.functions import units
@@ -192,6 +193,27 @@ def test_question_blocks_give_the_same(spark, monkeypatch):
     assert whole == sorted(map(tuple, retrieval.vector_topk_batch(vectors, asked, 4).collect())) and len(whole) == 24
 
 
+def test_batch_top_k_equals_the_expressions(spark, monkeypatch):
+    """Shards, blocks, chunks and copies; null, zero, odd-width, infinite and NaN vectors, null ids: as by one cosine a pair. A
+    plan with a cosine a pair did not end on 51,282 vectors in the limits."""
+    nan, inf = float("nan"), float("inf")
+    odd = [None, [], [0.0, 0.0, 0.0], [1.0, None, 0.0], [1.0, 2.0], [nan, 1.0, 0.0], [inf, 0.0, 1.0], [-3.0, 0.5, 0.0]]
+    data = [(i, [float(i % 7) - 3, float(i % 11) / 3, float(i % 5)]) for i in range(900)] + [(900 + i, v) for i, v in enumerate(odd)] + [(None, [1.0, 0.0, 2.0]), (5, [1.0, 1.0, 1.0])]
+    vectors = spark.createDataFrame(data, "vec_id long, embedding array<float>")
+    asked = spark.createDataFrame([(f"q{i}", v) for i, (_, v) in enumerate(data[:20] + data[899:])], "query_id string, query array<double>")
+    score = F.round(retrieval.cosine(F.col("embedding"), F.col("query")), 6)
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    want = asked.crossJoin(vectors).select("query_id", "vec_id", score.alias("score")).withColumn("rank", F.row_number().over(best)).where("rank <= 30")
+    want = sorted(map(str, want.collect()))
+    assert sorted(map(str, retrieval.vector_topk_batch(vectors, asked, 30).collect())) == want
+    for name, value in {"QUESTION_BLOCK": 7, "SHARD_ROWS": 100, "PACK": 4}.items():
+        monkeypatch.setattr(retrieval, name, value)
+    assert sorted(map(str, retrieval.vector_topk_batch(vectors, asked, 30).collect())) == want
+    assert retrieval.vector_topk_batch(vectors.limit(0), asked, 3).count() == retrieval.vector_topk_batch(vectors, asked.limit(0), 3).count() == 0
+    plan = retrieval.vector_topk_batch(vectors, asked, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_chosen_field(spark):
     fields = ["operator", "oil_production", "well_name", "unit", "Value", "id", "type", "state_code", "state"]
     choose = lambda q: one(spark, classify.chosen_field(F.lit(q), fields))
