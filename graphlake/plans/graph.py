@@ -125,7 +125,7 @@ def q_count_prefix(spark, sf):
 @query(f"WITH {EDGES} SELECT source, target, type FROM edges WHERE type = 'contains' AND target NOT IN (SELECT 'part-' || p_partkey FROM part WHERE p_size <= 25)")
 def q_orphan_edges(spark, sf):
     """Edges to parts that the node table lacks: it has those of p_size <= 25 alone."""
-    return G.orphan_edges(nodes(spark, sf, all_parts=False), edges(spark, sf)).select("source", "target", "type")
+    return G.orphan_edges(nodes(spark, sf, all_parts=False), edges(spark, sf).select("source", "target", "type"))
 
 
 @query(f"WITH {NODES}, {EDGES} SELECT 'node' AS what, type, count(*) AS n FROM nodes GROUP BY type UNION ALL SELECT 'edge', type, count(*) FROM edges GROUP BY type")

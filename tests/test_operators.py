@@ -214,6 +214,23 @@ def test_batch_top_k_equals_the_expressions(spark, monkeypatch):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def _graph(spark):
+    nodes = spark.createDataFrame([(i, "t", {}) for i in [f"n{i}" for i in range(60)] + ["n1", None]], "id string, type string, attributes map<string,string>")
+    pairs = [(f"n{i}", f"n{i * 7 % 80}", "x") for i in range(80)] + [("n1", "gone", "y"), ("n1", "gone", "y"), (None, "n1", "x"), ("n2", None, "x"), ("lost", "gone", "x"), ("n1", "n2", "y")]
+    return nodes, pairs, spark.createDataFrame(pairs, "source string, target string, type string")
+
+
+def test_orphans_are_found_in_tasks_that_grow_with_the_nodes(spark, monkeypatch):
+    nodes, pairs, edges = _graph(spark)
+    known = {f"n{i}" for i in range(60)}
+    want = sorted({str(p) for p in pairs if p[0] not in known or p[1] not in known})
+    assert sorted(str(tuple(r)) for r in graph.orphan_edges(nodes, edges).collect()) == want
+    monkeypatch.setattr(graph, "NODES_A_TASK", 5)
+    found = graph.orphan_edges(nodes, edges)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(str(tuple(r)) for r in found.collect()) == want and "SortMergeJoin" not in plan and "hashpartitioning(target" in plan and ", 13)" in plan
+
+
 def test_chosen_field(spark):
     fields = ["operator", "oil_production", "well_name", "unit", "Value", "id", "type", "state_code", "state"]
     choose = lambda q: one(spark, classify.chosen_field(F.lit(q), fields))
