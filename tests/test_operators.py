@@ -231,6 +231,17 @@ def test_orphans_are_found_in_tasks_that_grow_with_the_nodes(spark, monkeypatch)
     assert sorted(str(tuple(r)) for r in found.collect()) == want and "SortMergeJoin" not in plan and "hashpartitioning(target" in plan and ", 13)" in plan
 
 
+def test_degrees_are_counted_in_tasks_that_grow_with_the_nodes(spark, monkeypatch):
+    nodes, pairs, edges = _graph(spark)
+    monkeypatch.setattr(graph, "NODES_A_TASK", 5)
+    found = graph.degrees(nodes, edges)
+    count = lambda i, at: sum(p[at] == i for p in pairs)
+    ends = lambda i: ",".join(sorted(f"{way}:{t}:{n}" for at, way in enumerate(("out", "in")) for t in "xy" if (n := sum(p[at] == i and p[2] == t for p in pairs))))
+    want = sorted(str((i, count(i, 0), count(i, 1), ends(i))) for i in [f"n{i}" for i in range(60)] + ["n1"]) + [str((None, 0, 0, ""))]
+    assert sorted(str(tuple(r)) for r in found.collect()) == sorted(want)
+    assert ", 13)" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_chosen_field(spark):
     fields = ["operator", "oil_production", "well_name", "unit", "Value", "id", "type", "state_code", "state"]
     choose = lambda q: one(spark, classify.chosen_field(F.lit(q), fields))
