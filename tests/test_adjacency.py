@@ -1,5 +1,6 @@
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from graphlake.operators import adjacency, graph
@@ -50,3 +51,17 @@ def test_no_edges(spark, tmp_path):
     stored = adjacency.store(hub(spark).where("pos < 0"), str(tmp_path))
     starts = spark.createDataFrame([("a",)], "id string")
     assert rows(adjacency.expand(stored, starts, 2)) == [("a", "a", 0)]
+
+
+def test_tasks_grow_with_the_graph(spark, tmp_path, monkeypatch):
+    """Buckets follow the neighbours, hops are dealt as wide as the lists, and the last hop is not stored."""
+    monkeypatch.setattr(adjacency, "BUCKET", 100)
+    edges = hub(spark)
+    stored = adjacency.store(edges, str(tmp_path))
+    assert stored.buckets == 70
+    starts = spark.createDataFrame([("n3",), ("hub",)], "id string")
+    monkeypatch.setattr(adjacency, "_kept", lambda df: pytest.fail("stored"))
+    assert rows(adjacency.expand(stored, starts, 1)) == rows(graph.expand(edges, starts, 1))
+    monkeypatch.undo()
+    assert rows(adjacency.expand(stored, starts, 2)) == rows(graph.expand(edges, starts, 2))
+    assert "hashpartitioning(query_id" in (plan := adjacency.expand(stored, starts, 1)._jdf.queryExecution().executedPlan().toString()) and ", 70)" in plan
