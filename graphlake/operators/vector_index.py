@@ -12,21 +12,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Vectors of a block and questions of a pack; vectors of a list that k-means learns from; the most lists (their centroids go
+from graphlake.operators import retrieval
+
+#: Vectors of a block and questions that meet it at once; vectors of a list that k-means learns from; the most lists (their centroids go
 #: to every task: 4,096 of 1,024 components are 32 MB); rings that the distances of a list are cut to.
-BLOCK, PACK, SAMPLE, MOST_LISTS, RINGS = 1_024, 256, 64, 4_096, 8
-#: References to questions that a task holds before all packs go out, full or not.
-HELD = 200_000
-#: Bytes of packs that may be broadcast to the blocks.
+BLOCK, PACK, SAMPLE, MOST_LISTS, RINGS = 1_024, 512, 64, 4_096, 8
+#: Bytes of questions that go to every shard of the blocks at once.
 BROADCAST_BYTES = 32 << 20
 #: Scores are compared to this many digits, so a bound must miss by more than rounding.
 DIGITS, SLACK = 6, 2e-6
 #: Null and zero vectors: no list's centroid is near them, and their score is 0.
 NOWHERE = -1
+#: Stands for a null id in tasks; it is before all others.
+NO_ID = -(1 << 63)
 
 
 @dataclass
@@ -40,9 +43,10 @@ class Index:
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     """Vectors as rows; null, of another length or not finite: zeros."""
     out = np.zeros((len(column), width))
-    for i, row in enumerate(column.to_pylist()):
-        if row is not None and len(row) == width and None not in row:
-            out[i] = row
+    lengths = pc.fill_null(column.value_lengths(), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    values = column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)  # a null component: NaN
+    rows = np.flatnonzero(lengths == width)
+    out[rows] = values[(np.cumsum(np.maximum(lengths, 0)) - lengths)[rows, None] + np.arange(width)]
     out[~np.isfinite(out).all(axis=1)] = 0
     return out
 
@@ -119,7 +123,7 @@ def build(vectors: DataFrame, path: str, lists: int | None = None) -> Index:
             yield flush()
 
     # ranges split a list of any size over tasks
-    dealt = rows.mapInArrow(assigned, "list int, ring int, far double, vec_id long, unit binary").repartitionByRange("list", "ring", "vec_id").sortWithinPartitions("list", "ring")
+    dealt = rows.mapInArrow(assigned, "list int, ring int, far double, vec_id long, unit binary").repartitionByRange("list", "ring", "vec_id").sortWithinPartitions("list", "ring", "vec_id")
     dealt.mapInArrow(blocks, "list int, ring int, radius double, ids array<long>, units binary").write.mode("overwrite").parquet(f"{path}/blocks")
     spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(centres)], "list int, centroid array<double>").write.mode("overwrite").parquet(f"{path}/centroids")
     return load(spark, path)
@@ -147,17 +151,13 @@ def searched(index: Index, questions: DataFrame, k: int, probes: int = 4, exact:
     width = index.centroids.shape[1] if len(index.centroids) else 1
     if not len(index.centroids):
         width = max(1, asked.agg(F.max(F.size("query"))).first()[0] or 1)
-    reach = {(r.list, r.ring): r.radius for r in index.blocks.groupBy("list", "ring").agg(F.max("radius").alias("radius")).collect()}  # lists times RINGS rows
-    first = _hits(index, asked, width, k, reach, probes, None)
+    first = _hits(index, asked, width, k, probes, False)
     if not exact:
         return _best(first, k), _read(first)
     first = _kept(first)
-    counts = first.groupBy("query_id").agg(F.count("vec_id").alias("n"))
-    least = _best(first, k).groupBy("query_id").agg(F.min("score").alias("least"))
-    bound = least.join(counts, "query_id").select("query_id", F.when(F.col("n") >= k, F.col("least")).alias("least"))
-    rest = _hits(index, asked.join(bound, "query_id", "left"), width, k, reach, probes, "least")
-    both = first.unionByName(_kept(rest))
-    return _best(both, k), _read(both)
+    least = _best(first, k).groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n")).where(F.col("n") >= k)
+    every = _hits(index, asked.join(least, "query_id", "left"), width, k, probes, True)
+    return _best(every, k), _read(first.unionByName(every))
 
 
 def depths(index: Index, best: DataFrame, questions: DataFrame) -> DataFrame:
@@ -166,18 +166,20 @@ def depths(index: Index, best: DataFrame, questions: DataFrame) -> DataFrame:
     centres = index.centroids
     width, most = (centres.shape[1], len(centres)) if len(centres) else (1, 0)
 
-    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            units = _units(_matrix(batch.column(1), width))
-            close = units @ centres.T if most else np.zeros((len(units), 0))
-            place = np.argsort(np.argsort(-close, axis=1, kind="stable"), axis=1) + 1
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(place.tolist(), pa.list_(pa.int32()))], ["query_id", "places"])
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(at, PACK) for b in batches for at in range(0, b.num_rows, PACK)):
+            close = _units(_matrix(batch.column(1), width)) @ centres.T if most else np.zeros((batch.num_rows, 0))
+            place = np.full((len(close), most + 1), most + 1, np.int32)  # the last: no list
+            np.put_along_axis(place, np.argsort(-close, axis=1, kind="stable"), np.arange(1, most + 1, dtype=np.int32)[None], axis=1)
+            found, own = batch.column(2).flatten(), np.repeat(np.arange(len(close)), batch.column(2).value_lengths().to_numpy(zero_copy_only=False))
+            at = pc.struct_field(found, "list").to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own)), pc.struct_field(found, "vec_id"), pa.array(place[own, np.where(at == NOWHERE, most, at)])], ["query_id", "vec_id", "depth"])
 
-    asked = questions.select(F.col("query_id").cast("long").alias("query_id"), F.col("query").cast("array<double>").alias("query")).mapInArrow(order, "query_id long, places array<int>")
+    asked = questions.select(F.col("query_id").cast("long").alias("query_id"), F.col("query").cast("array<double>").alias("query"))
     home = index.blocks.select("list", F.explode("ids").alias("vec_id"))
-    held = best.select("query_id", "vec_id").join(home, "vec_id").join(asked, "query_id")
-    depth = F.when(F.col("list") == NOWHERE, most + 1).otherwise(F.get("places", F.col("list")))
-    return held.groupBy("query_id", "vec_id").agg(F.min(depth).alias("depth"))
+    held = best.select("query_id", "vec_id").join(home, "vec_id").groupBy("query_id").agg(F.collect_list(F.struct("vec_id", "list")).alias("held"))  # k of a question, and more where ids repeat
+    found = asked.join(held, "query_id").mapInArrow(placed, "query_id long, vec_id long, depth int")
+    return found.groupBy("query_id", "vec_id").agg(F.min("depth").alias("depth"))
 
 
 def probes_for(found: DataFrame, recall: float) -> int:
@@ -198,71 +200,87 @@ def _kept(df: DataFrame) -> DataFrame:
 
 def _best(hits: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return hits.where("vec_id is not null").select("query_id", "vec_id", "score").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return hits.where("score is not null").select("query_id", "vec_id", "score").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def _read(hits: DataFrame) -> DataFrame:
-    return hits.where("vec_id is null").groupBy("query_id").agg(F.sum("read").alias("read"))
-
-
-def _hits(index: Index, asked: DataFrame, width: int, k: int, reach: dict, probes: int, least: str | None) -> DataFrame:
-    """(query_id, vec_id, score, read): for each block that a question reads its k best there, and a row without a vec_id that
-    tells how many vectors were read. Without least, a question reads its first lists; with it, the others' rings whose
-    bound reaches that score."""
-    centres = index.centroids
-    places = sorted(reach)
-    rings = np.array([p[0] for p in places], int)
-    radii = np.array([reach[p] for p in places])
-
-    def packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], list] = {}
-        count = 0
-
-        def flush(key):
-            ids, units = zip(*held.pop(key))
-            values = ([key[0]], [key[1]], [list(ids)], [np.stack(units).astype("<f8").tobytes()])
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, (pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary()))], ["p_list", "p_ring", "q_ids", "q_units"])
-
-        for batch in batches:
-            units = _units(_matrix(batch.column(1), width))
-            near = units @ centres.T if len(centres) else np.zeros((len(units), 0))
-            floor = batch.column(2).to_pylist()
-            for number, unit, close, bar in zip(batch.column(0).to_pylist(), units, near, floor):
-                mine = np.argsort(-close, kind="stable")[:probes]
-                at = np.where(rings == NOWHERE, 0.0, close[rings] if len(close) else 0.0) + radii
-                is_first = np.isin(rings, mine)
-                wanted = is_first if least is None else ~is_first & ((at + SLACK >= bar) if bar is not None else True)
-                for i in np.flatnonzero(wanted).tolist():
-                    held.setdefault(places[i], []).append((number, unit))
-                    count += 1
-                    if len(held[places[i]]) >= PACK:
-                        yield flush(places[i])
-                if count >= HELD:
-                    for key in list(held):
-                        yield flush(key)
-                    count = 0
-        for key in list(held):
-            yield flush(key)
-
-    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["query_id", "vec_id", "score", "read"]
-        for batch in batches:
-            for i in range(batch.num_rows):
-                q_ids, ids = np.array(batch.column(0)[i].as_py()), np.array(batch.column(2)[i].as_py())
-                units = np.frombuffer(batch.column(3)[i].as_buffer(), "<f8").reshape(len(ids), width)
-                table = np.frombuffer(batch.column(1)[i].as_buffer(), "<f8").reshape(len(q_ids), width) @ units.T
-                table = np.round(table, DIGITS) + 0.0
-                take = [np.lexsort((ids, -row))[:k] for row in table]
-                rows = np.repeat(np.arange(len(q_ids)), [len(t) for t in take])
-                columns = np.concatenate(take)
-                none = pa.nulls(len(q_ids), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[rows]), pa.array(ids[columns]), pa.array(table[rows, columns]), pa.array(np.zeros(len(rows), np.int64))], names)
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids), none, none.cast(pa.float64()), pa.array(np.full(len(q_ids), len(ids)))], names)
-
-    floor = F.col(least) if least else F.lit(None).cast("double")
-    made = asked.select("query_id", "query", floor.alias("floor")).mapInArrow(packs, "p_list int, p_ring int, q_ids array<long>, q_units binary")
-    made = _kept(made)
-    size = made.agg(F.sum(F.octet_length("q_units"))).first()[0] or 0
-    some = F.broadcast(made) if size <= BROADCAST_BYTES else made
-    met = index.blocks.join(some, (F.col("list") == F.col("p_list")) & (F.col("ring") == F.col("p_ring")))
-    return met.select("q_ids", "q_units", "ids", "units").mapInArrow(scores, "query_id long, vec_id long, score double, read long")
+    return hits.where("score is null").groupBy("query_id").agg(F.sum("read").alias("read"))
+
+
+def _hits(index: Index, asked: DataFrame, width: int, k: int, probes: int, exact: bool) -> DataFrame:
+    """(query_id, vec_id, score, read): the k best of each question in each shard of the blocks, and a row without a score that tells
+    how many of the shard's vectors it read. A question reads its first lists; with exact, every block whose bound reaches
+    its `least` score, those of its first lists again (not counted again), and returns none below that score.
+
+    Each shard meets each block of questions in one cogrouped task: vectors are shuffled once for a block of questions, questions
+    once for a shard, however many lists they read."""
+    spark, centres = asked.sparkSession, index.centroids
+    n, held = asked.count(), index.blocks.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()[0]
+    parts = max(1, min(n, -(-n * width * 8 // max(1, BROADCAST_BYTES))), -(-n // retrieval.QUESTION_BLOCK))
+    shards = max(1, -(-held // retrieval.SHARD_ROWS), -(-held * width * 8 // retrieval.SHARD_BYTES), min(-(-held // retrieval.LEAST_SHARD), 3 * spark.sparkContext.defaultParallelism))
+    part = lambda n, *columns: F.pmod(F.xxhash64(*columns), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = index.blocks.select("list", "ring", "radius", "ids", "units", part(shards, "list", "ring", F.get("ids", F.lit(0))).alias("shard"), each(parts).alias("part"))
+    floor = F.col("least") if exact else F.lit(None).cast("double")
+    right = asked.select("query_id", "query", floor.alias("floor"), part(parts, "query_id", "query").alias("part"), each(shards).alias("shard"))
+    names = ["query_id", "vec_id", "score", "read"]
+    kinds = pa.int64(), pa.int64(), pa.float64(), pa.int64()
+
+    def search(blocks: pa.Table, questions: pa.Table) -> pa.Table:
+        if "ids" not in blocks.schema.names or "query" not in questions.schema.names or not len(blocks) or not len(questions):  # no such group
+            return pa.table([pa.array([], t) for t in kinds], names)
+        blocks = blocks.take(pc.sort_indices(pa.table({"list": blocks["list"], "ring": blocks["ring"], "id": pc.list_element(blocks["ids"], 0)}), sort_keys=[(c, "ascending") for c in ("list", "ring", "id")], null_placement="at_start"))
+        lists, radii = blocks["list"].to_numpy(), blocks["radius"].to_numpy()
+        column = questions["query"]
+        units = _units(_matrix(pa.concat_arrays(column.chunks), width))
+        bars = pc.fill_null(questions["floor"], -np.inf).to_numpy()
+        scores, ids, read = np.full((len(units), k), -np.inf), np.zeros((len(units), k), np.int64), np.zeros(len(units), np.int64)
+        held = []
+        for i in range(len(blocks)):
+            own = pc.fill_null(blocks["ids"][i].values, NO_ID).to_numpy(zero_copy_only=False)
+            table = np.frombuffer(blocks["units"][i].as_buffer(), "<f8").reshape(len(own), -1)
+            held.append((own, table if table.shape[1] == width else np.zeros((len(own), width))))  # another width: zeros alone are held
+        sizes = np.array([len(own) for own, _ in held])
+        for low in range(0, len(units), PACK):
+            pack, bar = units[low : low + PACK], bars[low : low + PACK]
+            near = pack @ centres.T if len(centres) else np.zeros((len(pack), 1))
+            last = np.partition(near, -probes, axis=1)[:, -probes] if probes < near.shape[1] else np.full(len(pack), -np.inf)
+            close = np.where(lists == NOWHERE, 0.0, near[:, lists])
+            is_first = (lists != NOWHERE) & (close >= last[:, None])
+            wanted = close + radii + SLACK >= bar[:, None] if exact else is_first
+            read[low : low + PACK] = ((wanted & ~is_first) if exact else wanted) @ sizes
+            for i in np.flatnonzero(wanted.any(axis=0)).tolist():
+                rows = np.flatnonzero(wanted[:, i])
+                _merge(scores, ids, low + rows, bar[rows], pack[rows] @ held[i][1].T, held[i][0])
+        row, rank = np.nonzero(scores > -np.inf)
+        number = questions["query_id"].combine_chunks()
+        number = pa.concat_arrays(number.chunks) if isinstance(number, pa.ChunkedArray) else number
+        found = pa.array(ids[row, rank], mask=ids[row, rank] == NO_ID)
+        hits = pa.table([number.take(pa.array(row)), found, pa.array(scores[row, rank]), pa.array(np.zeros(len(row), np.int64))], names)
+        none = pa.nulls(len(read), pa.int64())
+        return pa.concat_tables([hits, pa.table([number, none, none.cast(pa.float64()), pa.array(read)], names)])
+
+    return left.groupBy("shard", "part").cogroup(right.groupBy("shard", "part")).applyInArrow(search, "query_id long, vec_id long, score double, read long")
+
+
+def _merge(scores: np.ndarray, ids: np.ndarray, rows: np.ndarray, bar: np.ndarray, found: np.ndarray, own: np.ndarray) -> None:
+    """Puts what of found, the cosines of the questions `rows` with the vectors `own`, is among a question's best into its row of
+    scores and ids (k each, best first, ties by id); scores under the question's bar are left out."""
+    k = scores.shape[1]
+    least, last = scores[rows, -1], ids[rows, -1]
+    enough = np.maximum(least, bar)
+    if found.shape[1] > 2 * k:  # the k-th best here is a bar as well
+        enough = np.maximum(enough, np.partition(found, -k, axis=1)[:, -k] - 1e-6) if np.isneginf(least).any() else enough
+    row, at = np.nonzero(found >= enough[:, None] - SLACK)
+    score, number = retrieval.rounded(found[row, at]), own[at]
+    keep = (score >= bar[row] - SLACK / 10) & ((score > least[row]) | ((score == least[row]) & (number < last[row])))
+    row, score, number = row[keep], score[keep], number[keep]
+    touched, group = np.unique(row, return_inverse=True)
+    if not len(touched):
+        return
+    mine = rows[touched]
+    group = np.concatenate([np.repeat(np.arange(len(touched)), k), group])
+    score, number = np.concatenate([scores[mine].ravel(), score]), np.concatenate([ids[mine].ravel(), number])
+    order = np.lexsort((number, -score, group))
+    top = order[np.searchsorted(group[order], np.arange(len(touched)))[:, None] + np.arange(k)]
+    scores[mine], ids[mine] = score[top], number[top]

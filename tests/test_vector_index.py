@@ -66,3 +66,16 @@ def test_no_vectors_and_no_questions(spark, tmp_path):
     index = vector_index.build(one, f"{tmp_path}/b")
     assert rows(vector_index.search(index, asked, 3)) == [(1, 1, 1.0, 1)]
     assert rows(vector_index.search(index, asked.limit(0), 3)) == []
+
+
+def test_hits_grow_with_shards_not_with_blocks(spark, tmp_path, monkeypatch):
+    """A question had k rows and a copy of its vector for each block that it read."""
+    monkeypatch.setattr(vector_index, "BLOCK", 16)
+    rng = np.random.default_rng(8)
+    df = table(spark, [(i, rng.normal(size=6)) for i in range(2000)] + [(None, np.ones(6))] * 2)
+    asked, sizes, real = questions(df, 100), [], vector_index._best
+    monkeypatch.setattr(vector_index, "_best", lambda hits, k: sizes.append(hits.count()) or real(hits, k))
+    found = vector_index.search(vector_index.build(df, str(tmp_path), 40), asked, 5, probes=2)
+    key = lambda r: tuple((x is not None, x) for x in r)
+    assert sorted(map(tuple, found.collect()), key=key) == sorted(map(tuple, retrieval.vector_topk_batch(df, asked, 5).collect()), key=key)
+    assert sizes[-1] <= 20 * 6  # one shard
