@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Rows of numbers that may be broadcast; letters of a trigram.
 BROADCAST_ROWS, GRAM = 200_000, 3
+#: Characters of texts whose trigrams are found at once; numbers of a bitmap; bitmaps put together at once.
+SLICE, BUCKET, AT_ONCE = 1 << 20, 32_768, 512
 
 
 @dataclass
@@ -26,20 +31,25 @@ def build(pairs: DataFrame, path: str) -> Index:
     Members are numbered by range: a task numbers its own, from the count of the tasks before it. A term that all members have
     is as many bitmaps as there are buckets, put together from partial ones, so no task sees its pairs at once.
     """
-    spark = pairs.sparkSession
     held = pairs.select("term", "member").where("term is not null and member is not null")
-    held.select("member").distinct().repartitionByRange("member").withColumn("part", F.spark_partition_id()).write.mode("overwrite").parquet(f"{path}/members")
+    numbers = _numbered(held.select("member").distinct(), path)
+    numbered = held.join(numbers, "member")
+    bits = numbered.groupBy("term", F.bitmap_bucket_number("number").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits"))
+    bits.repartitionByRange("term", "bucket").sortWithinPartitions("term", "bucket").write.mode("overwrite").parquet(f"{path}/bitmaps")
+    return load(pairs.sparkSession, path)
+
+
+def _numbered(members: DataFrame, path: str) -> DataFrame:
+    """Stores (member, number) of distinct members under path."""
+    spark = members.sparkSession
+    members.repartitionByRange("member").withColumn("part", F.spark_partition_id()).write.mode("overwrite").parquet(f"{path}/members")
     members = spark.read.parquet(f"{path}/members")
     counts = members.groupBy("part").agg(F.count("*").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task of the numbering
     offsets = counts.select(F.col("part").alias("p_"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     within = members.withColumn("at", F.row_number().over(Window.partitionBy("part").orderBy("member")))
     within.join(F.broadcast(offsets), F.col("part") == F.col("p_")).select("member", (F.col("first") + F.col("at")).alias("number")).write.mode("overwrite").parquet(f"{path}/numbers")
-    numbers = spark.read.parquet(f"{path}/numbers")
-    numbered = held.join(numbers, "member")
-    bits = numbered.groupBy("term", F.bitmap_bucket_number("number").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits"))
-    bits.repartitionByRange("term", "bucket").sortWithinPartitions("term", "bucket").write.mode("overwrite").parquet(f"{path}/bitmaps")
-    return load(spark, path)
+    return spark.read.parquet(f"{path}/numbers")
 
 
 def load(spark: SparkSession, path: str) -> Index:
@@ -95,12 +105,88 @@ def terms_but(index: Index, but: list[str]) -> DataFrame:
 
 def grams(text: Column) -> Column:
     """The distinct runs of GRAM characters of the lower-cased text; none in a shorter one."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
+    places = F.when(F.length(F.lower(text)) >= GRAM, F.sequence(F.lit(1), F.length(F.lower(text)) - (GRAM - 1))).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(places, lambda i: F.substring(F.lower(text), i, F.lit(GRAM))))
 
 
 def build_grams(docs: DataFrame, path: str) -> Index:
-    """The index of the trigrams of docs (id, text)."""
-    return build(docs.select(F.explode(grams(F.col("text"))).alias("term"), F.col("id").alias("member")), path)
+    """The index of the trigrams of docs (id, text).
+
+    A task turns a slice of texts at once into lists of places, one for each trigram and bucket, two bytes a text, which are
+    shuffled by trigram and bucket and put together in order. Long texts are cut into pieces that overlap.
+    """
+    held = docs.where("id is not null and text is not null")
+    numbers = _numbered(held.select(F.col("id").alias("member")).distinct(), path)
+    texts = held.join(numbers, F.col("id") == F.col("member")).select("number", F.lower("text").alias("text"))
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def slices() -> Iterator[tuple[list, list]]:
+            numbers, pieces, size = [], [], 0
+            for batch in batches:
+                for number, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    text = text.as_py()
+                    for at in range(0, max(1, len(text) - GRAM + 1), SLICE):
+                        numbers.append(number)
+                        pieces.append(text[at : at + SLICE + GRAM - 1])
+                        size += len(pieces[-1])
+                        if size >= SLICE:
+                            yield numbers, pieces
+                            numbers, pieces, size = [], [], 0
+            yield numbers, pieces
+
+        for numbers, pieces in slices():
+            lens = np.fromiter(map(len, pieces), np.int64, len(pieces))
+            chars = np.frombuffer("".join(pieces).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+            if not len(chars) or lens.max() < GRAM:
+                continue
+            order, dense = np.unique(np.array(numbers), return_inverse=True)
+            own = np.repeat(np.arange(len(lens)), lens)[: 1 - GRAM]
+            whole = own == np.repeat(np.arange(len(lens)), lens)[GRAM - 1 :]
+            coded = pa.array((chars[:-2] << 42 | chars[1:-1] << 21 | chars[2:])[whole]).dictionary_encode()
+            grams, code = coded.dictionary.to_numpy(), coded.indices.to_numpy().astype(np.int64)
+            key = code * len(order) + dense[own[whole]]
+            if len(grams) * len(order) <= 64 * SLICE:
+                seen = np.zeros(len(grams) * len(order), bool)
+                seen[key] = True
+                key = np.flatnonzero(seen)
+            else:
+                key = np.unique(key)
+            # by trigram, by number
+            code, number = key // len(order), order[key % len(order)] - 1
+            begins = np.flatnonzero((np.diff(code, prepend=-1) != 0) | (np.diff(number // BUCKET, prepend=-1) != 0))
+            cuts = np.append(begins, len(key)) * 2
+            first = grams[code[begins]]
+            terms = np.stack([first >> 42, first >> 21 & 0x1FFFFF, first & 0x1FFFFF], axis=1).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+            places = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer((number % BUCKET).astype("<u2"))])
+            yield pa.RecordBatch.from_arrays([pa.array([terms[i : i + GRAM] for i in range(0, len(terms), GRAM)]), pa.array(number[begins] // BUCKET + 1), places], ["term", "bucket", "places"])
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, lists = [], []  # of rows in order; lists: those of a key
+
+        def bitmaps() -> pa.RecordBatch:
+            bits = np.zeros((len(keys), BUCKET), bool)
+            for i, places in enumerate(lists):
+                bits[i, np.frombuffer(b"".join(places), "<u2")] = True
+            packed = np.packbits(bits, axis=1, bitorder="little")
+            made = pa.array([row.tobytes() for row in packed], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), made], ["term", "bucket", "bits"])
+
+        for batch in batches:
+            for term, bucket, places in zip(*(c.to_pylist() for c in batch.columns)):
+                if not keys or keys[-1] != (term, bucket):
+                    if len(keys) >= AT_ONCE:
+                        yield bitmaps()
+                        keys, lists = [], []
+                    keys.append((term, bucket))
+                    lists.append([])
+                lists[-1].append(places)
+        if keys:
+            yield bitmaps()
+
+    lists = texts.sortWithinPartitions("number").mapInArrow(found, "term string, bucket long, places binary")
+    dealt = lists.repartition("term", "bucket").sortWithinPartitions("term", "bucket")
+    dealt.mapInArrow(together, "term string, bucket long, bits binary").write.mode("overwrite").parquet(f"{path}/bitmaps")
+    return load(docs.sparkSession, path)
 
 
 def containing(index: Index, docs: DataFrame, keywords: DataFrame) -> DataFrame:
@@ -112,8 +198,9 @@ def containing(index: Index, docs: DataFrame, keywords: DataFrame) -> DataFrame:
     asked = keywords.select("query_id", F.lower("keyword").alias("word")).where("word is not null")
     long = asked.where(F.length("word") >= GRAM)
     found = with_all(index, long.select("query_id", F.explode(grams(F.col("word"))).alias("term"))).join(long, "query_id")
-    checked = found.join(docs.select(F.col("id").alias("member"), "text"), "member")
-    short = docs.select(F.col("id").alias("member"), "text").join(F.broadcast(asked.where(F.length("word") < GRAM)), F.lit(True)) if asked.where(F.length("word") < GRAM).take(1) else None  # a stated set of words
-    both = checked.select("query_id", "word", "member", "text")
-    both = both if short is None else both.unionByName(short.select("query_id", "word", "member", "text"))
-    return both.where(F.contains(F.lower("text"), F.col("word"))).select("query_id", F.col("member").alias("id"))
+    docs = docs.select(F.col("id").alias("member"), F.lower("text").alias("text"))
+    words = found.groupBy("member").agg(F.collect_list(F.struct("query_id", "word")).alias("words"))  # a text meets its words once
+    checked = words.join(docs, "member").select("member", F.explode(F.filter("words", lambda w: F.contains("text", w["word"]))).alias("w"))
+    short = docs.join(F.broadcast(asked.where(F.length("word") < GRAM)), F.lit(True)) if asked.where(F.length("word") < GRAM).take(1) else None  # a stated set of words
+    both = checked.select("w.query_id", F.col("member").alias("id"))
+    return both if short is None else both.unionByName(short.where(F.contains("text", "word")).select("query_id", F.col("member").alias("id")))

@@ -30,3 +30,19 @@ def test_substrings_equal_a_scan(spark, tmp_path, texts):
     index = bitmap_index.build_grams(docs, str(tmp_path))
     got = rows(bitmap_index.containing(index, docs, spark.createDataFrame(list(words.items()), "query_id int, keyword string")))
     assert got == sorted((q, i) for q, w in words.items() for i, t in enumerate(texts) if w is not None and t is not None and w.lower() in t.lower())
+
+
+def test_trigrams_make_no_row_for_each_text(spark, tmp_path, monkeypatch):
+    """Every trigram of every text was a row of its own."""
+    monkeypatch.setattr(bitmap_index, "SLICE", 5)
+    monkeypatch.setattr(bitmap_index, "AT_ONCE", 3)
+    monkeypatch.setattr(bitmap_index, "build", None)
+    texts = ["a😀bcde", "😀bc", "The cat sat on the mat", "", None, "ab", "ÄÖÜäöü x", "the", "cat" * 9]
+    docs = spark.createDataFrame([*enumerate(texts), (2, "twice 😀bc"), (None, "the cat")], "id int, text string")
+    index = bitmap_index.build_grams(docs, str(tmp_path))
+    words = dict(enumerate(["😀bc", "a😀b", "THE", "sat on", "äöü", "catcat", "at "]))
+    got = rows(bitmap_index.containing(index, docs, spark.createDataFrame(list(words.items()), "query_id int, keyword string")))
+    held = [*enumerate(texts), (2, "twice 😀bc")]
+    assert got == sorted((q, i) for q, w in words.items() for i, t in held if t is not None and w.lower() in t.lower())
+    bits = index.bitmaps.selectExpr("term", "bitmap_count(bits) n").collect()
+    assert {r.term: r.n for r in bits}["the"] == 2 and len({r.term for r in bits}) == len(bits)
