@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphlake.functions import text as T
-from graphlake.operators import narrow, retrieval
+from graphlake.operators import graph, narrow, retrieval
 
 
 def plan_of(df):
@@ -35,6 +35,18 @@ def test_few_ids_cut_where_rows_are_read_and_many_by_a_shuffle(spark, no_size_br
     assert narrow.among(rows, "k", ids.limit(0), "id").count() == 0
 
 
+def test_edges_are_cut_to_the_frontier_before_they_are_shuffled(spark, edges, no_size_broadcast, monkeypatch):
+    seeds = spark.createDataFrame([(1, "c1", None, 2), (2, "d1", "incoming", 1), (3, "c2", "outgoing", 0)], "query_id long, id string, direction string, hops int")
+    cut = graph.expand_each(edges, seeds)
+    logical, physical = plan_of(cut)
+    assert physical.count("BroadcastHashJoin") == logical.count("LeftSemi") and logical.count("LeftSemi") >= 2
+    got = sorted(map(tuple, cut.collect()), key=str)
+    monkeypatch.setattr(narrow.among, "__defaults__", (0,))
+    plain = graph.expand_each(edges, seeds)
+    assert "BroadcastHashJoin" not in plan_of(plain)[1]
+    assert sorted(map(tuple, plain.collect()), key=str) == got and len(got) > 8
+
+
 def test_words_of_queries_may_be_given(spark):
     rows = spark.createDataFrame([(1, 1, "Red cat", "a red dog"), (1, 2, "Red cat", "cat, red"), (2, 1, "", "x"), (2, 2, "", None), (3, 1, None, "y")], "query_id long, rank int, query_text string, text string")
     names = ["query_id", "rank", "hybrid", "new_rank"]
