@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphlake.functions import text as T
-from graphlake.operators import graph, narrow, retrieval
+from graphlake.operators import answers, graph, narrow, retrieval
 
 
 def plan_of(df):
@@ -47,6 +47,25 @@ def test_edges_are_cut_to_the_frontier_before_they_are_shuffled(spark, edges, no
     assert sorted(map(tuple, plain.collect()), key=str) == got and len(got) > 8
 
 
+def test_relations_go_on_with_the_named_wells_and_codes_alone(spark, edges, no_size_broadcast, monkeypatch):
+    nodes = spark.createDataFrame(
+        [(f"c{i}", "las_curve", {"mnemonic": ["GR", "NPHI", None][i % 3]}) for i in range(7)] + [(f"d{i}", "las_document", {"WELL": f"W{i}"}) for i in range(5)],
+        "id string, type string, attributes map<string,string>",
+    )
+    asked = spark.createDataFrame([(1, "curves of well 3_1-1"), (2, "Which well has NPHI"), (3, "Which well has XX"), (4, "curves of well 8_1-1")], "query_id long, question string")
+    sources = answers.Sources(None, nodes, edges, None, {}, lambda w: F.concat(F.lit("d"), F.substring_index(w, "_", 1)))
+    seen, real = [], narrow.among
+
+    def watched(rows, key, ids, id_col):
+        seen.append(key)
+        return real(rows, key, ids, id_col)
+
+    monkeypatch.setattr(answers, "among", watched)
+    got = dict(map(tuple, answers.relations(asked, sources).collect()))
+    assert got == {1: "2 curve types: GR, NPHI", 2: "W0 (well ID: d0) (plus 4 other matches)", 3: None, 4: None}
+    assert sorted(seen) == ["code", "source", "source", "target"]
+
+
 def test_words_of_queries_may_be_given(spark):
     rows = spark.createDataFrame([(1, 1, "Red cat", "a red dog"), (1, 2, "Red cat", "cat, red"), (2, 1, "", "x"), (2, 2, "", None), (3, 1, None, "y")], "query_id long, rank int, query_text string, text string")
     names = ["query_id", "rank", "hybrid", "new_rank"]
