@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Rows of numbers that may be broadcast; letters of a trigram.
-BROADCAST_ROWS, GRAM = 200_000, 3
+from graphlake.operators.narrow import kept
+
+#: Rows of numbers that may be broadcast; numbers of the bitmaps that a task reads out; letters of a trigram.
+BROADCAST_ROWS, READ_OUT, GRAM = 200_000, 1 << 19, 3
 #: Characters of texts whose trigrams are found at once; numbers of a bitmap; bitmaps put together at once.
 SLICE, BUCKET, AT_ONCE = 1 << 20, 32_768, 512
 
@@ -66,9 +68,19 @@ def numbers_in(bucket: Column, bits: Column) -> Column:
     return F.transform(found, lambda p: (bucket - 1) * 32_768 + p + 1)
 
 
-def _members(index: Index, sets: DataFrame) -> DataFrame:
-    found = sets.where(F.bitmap_count("bits") > 0).select("query_id", F.explode(numbers_in(F.col("bucket"), F.col("bits"))).alias("number"))
-    return found.join(index.numbers, "number").select("query_id", "member")
+def _members(index: Index, sets: DataFrame, key: str = "query_id", numbers: Column | None = None) -> DataFrame:
+    """(key, member): the members whose numbers stored sets (key, bucket, bits) hold, or such of them as the array `numbers` has.
+
+    A few KB of bitmaps are millions of numbers, and the planner sees the bytes alone: so bits are counted, and numbers are
+    broadcast only if they are few. Of more, bitmaps are dealt to tasks that read them out, and numbers meet members by a merge.
+    """
+    sets = sets.where(F.bitmap_count("bits") > 0)
+    n = sets.agg(F.sum(F.bitmap_count("bits"))).first()[0] or 0
+    few = n <= BROADCAST_ROWS
+    sets = sets if few else sets.repartition(-(-n // READ_OUT))
+    found = sets.select(key, F.explode(numbers_in(F.col("bucket"), F.col("bits")) if numbers is None else numbers).alias("number"))
+    found = F.broadcast(found) if few else found.hint("merge")
+    return index.numbers.join(found, "number").select(key, "member")
 
 
 def with_all(index: Index, asked: DataFrame) -> DataFrame:
@@ -77,13 +89,13 @@ def with_all(index: Index, asked: DataFrame) -> DataFrame:
     needed = wanted.groupBy("query_id").agg(F.count("*").alias("needed"))
     met = index.bitmaps.join(wanted, "term")
     sets = met.groupBy("query_id", "bucket").agg(F.bitmap_and_agg("bits").alias("bits"), F.count("*").alias("n")).join(needed, "query_id").where("n = needed")
-    return _members(index, sets)
+    return _members(index, kept(sets.select("query_id", "bucket", "bits")))
 
 
 def with_any(index: Index, asked: DataFrame) -> DataFrame:
     """(query_id, member): the members that hold any term of each query (query_id, term)."""
     met = index.bitmaps.join(asked.select("query_id", "term").distinct(), "term")
-    return _members(index, met.groupBy("query_id", "bucket").agg(F.bitmap_or_agg("bits").alias("bits")))
+    return _members(index, kept(met.groupBy("query_id", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))))
 
 
 def with_all_but(index: Index, asked: DataFrame, but: DataFrame) -> DataFrame:
@@ -92,15 +104,14 @@ def with_all_but(index: Index, asked: DataFrame, but: DataFrame) -> DataFrame:
     needed = wanted.groupBy("query_id").agg(F.count("*").alias("needed"))
     held = index.bitmaps.join(wanted, "term").groupBy("query_id", "bucket").agg(F.bitmap_and_agg("bits").alias("bits"), F.count("*").alias("n"))
     out = index.bitmaps.join(barred, "term").groupBy("query_id", "bucket").agg(F.bitmap_or_agg("bits").alias("out"))
-    sets = held.join(needed, "query_id").where("n = needed").join(out, ["query_id", "bucket"], "left")
+    sets = kept(held.join(needed, "query_id").where("n = needed").join(out, ["query_id", "bucket"], "left").select("query_id", "bucket", "bits", "out"))
     left = F.array_except(numbers_in(F.col("bucket"), F.col("bits")), F.when(F.col("out").isNull(), F.array().cast("array<bigint>")).otherwise(numbers_in(F.col("bucket"), F.col("out"))))
-    return sets.select("query_id", F.explode(left).alias("number")).join(index.numbers, "number").select("query_id", "member")
+    return _members(index, sets, numbers=left)
 
 
 def terms_but(index: Index, but: list[str]) -> DataFrame:
     """(member, term): each member's terms that aren't among the given ones; the bitmaps of those are not read out."""
-    rest = index.bitmaps.where(~F.col("term").isin(but)).select("term", F.explode(numbers_in(F.col("bucket"), F.col("bits"))).alias("number"))
-    return rest.join(index.numbers, "number").select("member", "term")
+    return _members(index, index.bitmaps.where(~F.col("term").isin(but)), "term").select("member", "term")
 
 
 def grams(text: Column) -> Column:

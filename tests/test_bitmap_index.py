@@ -46,3 +46,25 @@ def test_trigrams_make_no_row_for_each_text(spark, tmp_path, monkeypatch):
     assert got == sorted((q, i) for q, w in words.items() for i, t in held if t is not None and w.lower() in t.lower())
     bits = index.bitmaps.selectExpr("term", "bitmap_count(bits) n").collect()
     assert {r.term: r.n for r in bits}["the"] == 2 and len({r.term for r in bits}) == len(bits)
+
+
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_numbers_read_out_are_counted_before_a_broadcast(spark, tmp_path, monkeypatch, most):
+    """Bitmaps of a few KB were broadcast as millions of numbers."""
+    monkeypatch.setattr(bitmap_index, "BROADCAST_ROWS", most)
+    monkeypatch.setattr(bitmap_index, "READ_OUT", 5_000, raising=False)
+    n = 40_000
+    has = {"a": lambda i: True, "b": lambda i: i % 3 == 0, "c": lambda i: i % 5 == 2, "d": lambda i: i == 7}
+    pairs = [(t, i) for t, f in has.items() for i in range(n) if f(i)]
+    index = bitmap_index.build(spark.createDataFrame(pairs, "term string, member long"), str(tmp_path))
+    asked, but = (spark.createDataFrame([(1, t)], "query_id int, term string") for t in "bc")
+    found = {
+        "terms": (bitmap_index.terms_but(index, ["a"]), {(i, t) for t, i in pairs if t != "a"}),
+        "all": (bitmap_index.with_all(index, asked.union(but)), {(1, i) for i in range(n) if has["b"](i) and has["c"](i)}),
+        "any": (bitmap_index.with_any(index, asked.union(but)), {(1, i) for i in range(n) if has["b"](i) or has["c"](i)}),
+        "but": (bitmap_index.with_all_but(index, asked, but), {(1, i) for i in range(n) if has["b"](i) and not has["c"](i)}),
+    }
+    for name, (df, want) in found.items():
+        got = rows(df)
+        assert len(got) == len(want) and set(got) == want, name
+        assert ("Broadcast" in df._jdf.queryExecution().executedPlan().toString()) == (most > 0), name
