@@ -42,3 +42,10 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_flagship_asks_for_every_conversation(spark, duck):
+    """One conversation in twenty was asked for, in the SQL too."""
+    got = [r.query_id for r in QUERIES["q_flagship"](spark, SF).collect()]
+    want = duck.sql("SELECT DISTINCT conv_id FROM conversations WHERE role = 'user' AND conv_id IN (SELECT vec_id FROM embeddings)").fetchall()
+    assert len(want) > 1 and sorted(got) == sorted(i for (i,) in want)
