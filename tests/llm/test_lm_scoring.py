@@ -265,3 +265,19 @@ def test_words_of_the_head_are_not_encoded_again():
     for none in (pa.array([], pa.string()), head):
         ids, begin, length, of_word = lm_scoring.looked_up(head, np.arange(3) if len(none) else np.zeros(3, int), lm_scoring.known_words(none, spell, PATH), spell, encoder)
         assert length.sum() == len(lm_scoring.encoded(encoder, head)[0]) == len(np.concatenate([ids[b : b + n] for b, n in zip(begin, length)]))
+
+
+def test_every_id_of_training_text_has_a_row(spark):
+    """Ids but the 2,046 most frequent shared one row, of which states and attention learnt."""
+    n = 5_000
+    often = np.repeat(np.arange(10), 3)
+    blocks = spark.createDataFrame([(np.arange(n).astype("<u2").tobytes(),), (often.astype("<u2").tobytes(),)], "ids binary")
+    row = lm_scoring.active_rows(blocks)
+    assert sorted(row[:n]) == list(range(n)) and sorted(row[:10]) == list(range(10))
+    assert row[lm_scoring.START] == row[lm_scoring.END] == n and set(row[n : lm_scoring.STOP + 1]) == {n + 1}
+    weights = lm_scoring.Attention.start(row).weights["vector"]
+    assert weights.shape == (n + 2, lm_scoring.WIDTH)
+    topics = lm_scoring.first_topics(row, np.arange(n), np.arange(0, n + 1, 50))
+    more, _ = topics.expected(np.arange(n), np.arange(0, n + 1, 50))
+    assert more.shape == topics.log.shape == weights.shape and np.allclose(more[:n].sum(axis=1), 1)
+    assert lm_scoring.row_count(lm_scoring.active_rows(blocks.limit(0))) == 2
